@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import ann, media, mixing, pii, sharding, toxicity, training_order
+from .common import Scratch, documents
+from .near_dup import near_duplicates
 from .packing import pack
 from .token_counts import prefix_token_table
 
@@ -18,6 +20,60 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are similar by 0.85 or more."""
+    return near_duplicates(documents(spark, sf_dir), words=5, percent=85)
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as lossless WebP and read back: digests of payload and medium, and features of the samples."""
+    stored = media.load(media.store(documents(spark, sf_dir), unit=576))
+    samples, medium = F.col("samples"), F.col("media")
+    return stored.select(
+        "doc_id", "n_bytes", F.octet_length(samples).cast("long").alias("payload_bytes"), F.sha2(samples, 256).alias("payload_sha256"), F.crc32(F.substring(samples, -32, 32)).alias("tail_crc32"),
+        F.octet_length(medium).cast("long").alias("media_bytes"), F.sha2(medium, 256).alias("media_sha256"), "feature",
+    )
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal size; equal texts together."""
+    placed = sharding.assign(documents(spark, sf_dir), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans."""
+    found = pii.detect(documents(spark, sf_dir))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every 256-id sequence in the training order, with the checksum of its ids, as written to shards."""
+    to = f"{Scratch(spark, 'training-order').at}/shards"
+    return training_order.materialise(documents(spark, sf_dir), vocabulary(), to, stride=256)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of each document, at 150 % of all words."""
+    return mixing.mix(documents(spark, sf_dir), ratio=1.5, most=2)
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors of every vector whose id is divisible by 100."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity grade and rejection of each document."""
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", F.round("toxic_severity", 6).alias("severity"), F.col("toxic_rejected").alias("rejected"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 4,096 ids, with the checksum of each piece's ids."""
     pieces = pack(documents(spark, sf_dir), vocabulary(), capacity=4096, end_id=2)
@@ -31,7 +87,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dup": op1_near_dup,
+    "op2_media": op2_media,
+    "op3_sharding": op3_sharding,
+    "op4_pii": op4_pii,
+    "op5_training_order": op5_training_order,
+    "op6_mixing": op6_mixing,
+    "op7_ann": op7_ann,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
