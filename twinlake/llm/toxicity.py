@@ -1,13 +1,13 @@
 """Operator 8: severity of toxicity by cumulative-link ordinal regression over sparse text features.
 
-Grades are ordered: 0 for labelled clean, 1 and 2 for labelled toxic documents below and above the median density of
-marked features. One weight vector serves all thresholds: P(grade > k) = logistic(w.x - cut_k), cut_0 < cut_1. The
+Grades are ordered: 0 for labelled clean, 1 and 2 for labelled toxic documents with at most and with more than the
+median number of marked features. One weight vector serves all thresholds: P(grade > k) = logistic(w.x - cut_k), cut_0 < cut_1. The
 expected severity is the sum of these probabilities; a document is rejected where P(grade > 0) >= 0.5.
 
 Features are the lower-cased words of the whole text and the first four and five letters of longer words, each
 present or absent, by 64-bit hash. Features are counted over the labelled sample by Spark; the `most_features`
-with the largest log-likelihood ratio between the classes stay (at least `least_g`), so the model has a fixed
-bound whatever the corpus. The sample is bounded too: the `fit_rows` labelled rows of least hashed id.
+with the largest log-likelihood ratio that are more frequent in toxic documents are marked (`least_g` at least),
+so the model has a fixed bound whatever the corpus and no word can excuse another. The sample is bounded too: the `fit_rows` labelled rows of least hashed id.
 
 Defined results: null or empty texts have no feature and severity as the cuts alone give it, and are never rejected;
 without both clean and toxic labels there is no evidence: severity 0, nothing rejected; labels that are null or
@@ -51,15 +51,15 @@ class Ordinal:
         return [float(1 / (1 + np.exp(np.clip(c - x, -40, 40)))) for c in self.cuts]
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, columns: list[int], cuts: int = 2, l2: float = 1.0, steps: int = 300) -> Ordinal:
-    """Maximum penalised likelihood by accelerated gradient steps; rows hold positions in `columns`."""
+def fit(rows: list[list[int]], grades: np.ndarray, columns: list[int], cuts: int = 2, l2: float = 0.1, steps: int = 400) -> Ordinal:
+    """Maximum penalised likelihood by gradient steps scaled by their running moments; rows hold positions in `columns`."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([c for r in rows for c in r], np.int64)
     w, cut = np.zeros(len(columns)), np.log(np.array([(grades <= k).sum() + 1.0 for k in range(cuts)]) / np.array([(grades > k).sum() + 1.0 for k in range(cuts)]))
     cut = np.maximum.accumulate(cut + 1e-3 * np.arange(cuts))
     low, high = np.arange(cuts)[:, None] == grades - 1, np.arange(cuts)[:, None] == grades
-    sw, sc = np.full(len(columns), 1e-6), np.full(cuts, 1e-6)
-    for _ in range(steps):
+    mean, square = np.zeros(len(columns) + cuts), np.zeros(len(columns) + cuts)
+    for step in range(1, steps + 1):
         z = np.bincount(at, w[col], len(rows)) if len(col) else np.zeros(len(rows))
         p = 1 / (1 + np.exp(np.clip(cut[:, None] - z, -40, 40)))  # P(grade > k)
         lower, upper = np.where(low, p, 0).sum(0) + (grades == 0), np.where(high, p, 0).sum(0)
@@ -68,8 +68,10 @@ def fit(rows: list[list[int]], grades: np.ndarray, columns: list[int], cuts: int
         dz = (np.where(low, slope, 0).sum(0) - np.where(high, slope, 0).sum(0)) / mass
         dcut = (np.where(high, slope, 0) / mass - np.where(low, slope, 0) / mass).sum(1)
         gw = (np.bincount(col, dz[at], len(columns)) if len(col) else np.zeros(len(columns))) - l2 * w
-        sw, sc = sw + gw**2, sc + dcut**2
-        w, cut = w + 0.5 * gw / np.sqrt(sw), cut + 0.5 * dcut / np.sqrt(sc)
+        g = np.concatenate([gw, dcut])
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g**2
+        move = 0.2 / (1 + step / 100) * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        w, cut = np.maximum(w + move[: len(columns)], 0), cut + move[len(columns) :]  # marked features never speak against
         cut = np.maximum.accumulate(cut + np.array([0, *[1e-6] * (cuts - 1)]))
     return Ordinal(dict(zip(columns, w.tolist())), cut.tolist())
 
@@ -94,18 +96,18 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_featu
     hits, t = F.col("hits"), F.col("t")
     part = lambda seen, n: F.when(seen > 0, seen * F.ln(seen * float(n0 + n1) / (hits * n))).otherwise(0.0)
     counted = sample.select("toxic", F.explode("present").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.count("*").alias("hits"))
-    marked = counted.withColumn("g", 2 * (part(t, n1) + part(hits - t, n0))).where(F.col("g") >= least_g).withColumn("more", t * n0 > (hits - t) * n1)
+    marked = counted.withColumn("g", 2 * (part(t, n1) + part(hits - t, n0))).where((F.col("g") >= least_g) & (t * n0 > (hits - t) * n1))
     top = marked.orderBy(F.desc("g"), "feature").limit(most_features).collect()
     columns = [r["feature"] for r in top]
     if not columns:
         return Ordinal()
     ids = F.array(*map(F.lit, columns)).cast("array<long>")
-    cut = sample.select("toxic", F.size("present").alias("n"), F.array_intersect("present", ids).alias("present")).collect()
-    place, hot = {c: k for k, c in enumerate(columns)}, {r["feature"] for r in top if r["more"]}
-    cut = sorted(cut, key=lambda r: (r["toxic"], r["n"], sorted(r["present"])))  # the same order on every run
-    density = np.array([len(hot.intersection(r["present"])) / max(1, r["n"]) for r in cut])
+    cut = sample.select("toxic", F.array_intersect("present", ids).alias("present")).collect()
+    place = {c: k for k, c in enumerate(columns)}
+    cut = sorted(cut, key=lambda r: (r["toxic"], sorted(r["present"])))  # the same order on every run
+    marked = np.array([len(r["present"]) for r in cut])
     toxic = np.array([r["toxic"] for r in cut])
-    grades = np.where(toxic == 0, 0, 1 + (density > np.median(density[toxic == 1])))
+    grades = np.where(toxic == 0, 0, 1 + (marked > np.median(marked[toxic == 1])))
     return fit([[place[f] for f in r["present"]] for r in cut], grades, columns)
 
 
