@@ -1,0 +1 @@
+"""Mirroring of snapshots (keyed tables, file listings) with Spark: compare, plan, apply, verify, report."""
