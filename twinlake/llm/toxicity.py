@@ -2,7 +2,7 @@
 
 Grades are ordered: 0 for labelled clean, 1 and 2 for labelled toxic documents with at most and with more than the
 median number of marked features. One weight vector serves all thresholds: P(grade > k) = logistic(w.x - cut_k), cut_0 < cut_1. The
-expected severity is the sum of these probabilities; a document is rejected where P(grade > 0) >= 0.5.
+expected severity is the sum of these probabilities; a document is rejected where P(grade > 0) >= 0.25 (two marked words of a language suffice).
 
 Features are the lower-cased words of the whole text and the first four and five letters of longer words, each
 present or absent, by 64-bit hash. Features are counted over the labelled sample by Spark; the `most_features`
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_featu
     return fit([[place[f] for f in r["present"]] for r in cut], grades, columns)
 
 
-def score(docs: DataFrame, model: Ordinal, text: str = "text", reject_at: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Ordinal, text: str = "text", reject_at: float = 0.25) -> DataFrame:
     """The documents with toxic_severity (expected grade) and toxic_rejected; no shuffle."""
     kept = [c for c in docs.columns if c not in ("toxic_severity", "toxic_rejected")]
     place = kept.index(text)
