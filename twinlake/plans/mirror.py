@@ -114,7 +114,7 @@ def sync(spark: SparkSession, source: str, target: str, opts: Options, role: str
     if not opts.dry_run:
         publish(after, target)
         after = read_published(spark, target)
-    mismatches = compare.verify(src, after, "none" if opts.dry_run else opts.verify, plan)
+    mismatches = compare.verify(src, after, "none" if opts.dry_run else opts.verify, plan, opts.tolerance_s)
     return finish(plan, mismatches, errors, opts)
 
 

@@ -15,5 +15,6 @@ class Options:
     hard_links: bool = False
     preserve: frozenset[str] = field(default_factory=lambda: frozenset({"mode", "mtime"}))  # of mode, mtime, owner, group
     verify: str = "none"  # none, changed or all
+    tolerance_s: int | None = None  # how far times may differ in verification; None: not at all
     reserved: str = ".twinlake"  # the engine's own metadata below a root
     rules: tuple[str, ...] = ()  # "+ pattern" or "- pattern", first match wins
