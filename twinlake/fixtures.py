@@ -129,3 +129,9 @@ def contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 CONTENTS_SQL = """pairs AS (SELECT s.path, d.text AS old, s.text AS new FROM src s JOIN dst d ON s.path = d.path WHERE s.kind = 'file' AND d.kind = 'file' AND s.len <> d.len)"""
+
+#: Bytes of old and new contents, a row each: path, pos, v.
+BYTES_SQL = ", ".join(
+    f"""{name} AS (SELECT path, pos, CAST('0x' || substr(h, 2 * pos + 1, 2) AS INTEGER) AS v, n FROM (SELECT path, hex({side}) AS h, strlen({side}) AS n, unnest(range(0, strlen({side}))) AS pos FROM pairs) x)"""
+    for name, side in (("old_bytes", "old"), ("new_bytes", "new"))
+)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .fixtures import BENCH_SQL, CHECKSUM_SQL, CONTENTS_SQL, JOURNAL_SQL, QUICK_SQL, RUN_EVENTS_SQL, SNAPSHOTS_SQL, plan_sql
+from .fixtures import BENCH_SQL, BYTES_SQL, CHECKSUM_SQL, CONTENTS_SQL, JOURNAL_SQL, QUICK_SQL, RUN_EVENTS_SQL, SNAPSHOTS_SQL, plan_sql
 from .functions import paths
 from .functions.globs import glob_match
 from .operators import aggregates, compare, delta, filters, index, planning
@@ -56,6 +56,11 @@ def over_plan(name: str, sql: str | None = None, more: str = "") -> Callable:
 # Sources and sinks
 
 
+@query("src1_scan_files")
+def _(spark, d):
+    return snapshots.scan_files(spark, d, "*.parquet", with_hash=True).select("path", "kind", "len", "hash")
+
+
 @query("src2_normalize", f"WITH {SNAPSHOTS_SQL} SELECT replace(path, 'stale/', '') AS path, kind, CASE WHEN kind = 'file' THEN len ELSE 0 END AS len FROM dst WHERE kind IN ('file', 'dir', 'symlink')")
 def _(spark, d):
     return snapshots.normalize_entries(fx.destination(spark, d), root="stale").select("path", "kind", "len")
@@ -401,7 +406,20 @@ def _(spark, d):
     return delta.signature(fx.contents(spark, d)[0]).groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("win1_rolling_checksum")
+@query(
+    "dlt1_weak",
+    f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL}, {BYTES_SQL}, b AS (SELECT path, pos // 700 AS block_idx, least(700, max(n) - pos // 700 * 700) AS len, sum(v) AS a, sum((least(700, n - pos // 700 * 700) - pos % 700) * v) AS b FROM old_bytes GROUP BY path, pos // 700) SELECT path, CAST(block_idx AS INTEGER) AS block_idx, CAST(len AS INTEGER) AS len, CAST(a % 65536 + (b % 65536) * 65536 AS BIGINT) AS weak FROM b",
+)
+def _(spark, d):
+    return delta.signature(fx.contents(spark, d)[0]).select("path", "block_idx", "len", "weak")
+
+
+@query(
+    "win1_rolling_checksum",
+    f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL}, {BYTES_SQL}, s AS (SELECT path, pos, sum(v) OVER w AS s1, sum(pos * v) OVER w AS s2 FROM new_bytes WINDOW w AS (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
+    "d AS (SELECT path, pos, s1 - coalesce(lag(s1, 700) OVER o, 0) AS a, s2 - coalesce(lag(s2, 700) OVER o, 0) AS j FROM s WINDOW o AS (PARTITION BY path ORDER BY pos)) "
+    "SELECT path, count(*) AS windows, CAST(sum(a % 65536 + (((pos + 1) * a - j) % 65536) * 65536) AS BIGINT) AS weak_sum FROM d WHERE pos >= 699 GROUP BY path",
+)
 def _(spark, d):
     return delta.windows(fx.contents(spark, d)[1]).groupBy("path").agg(F.count("*").alias("windows"), F.sum("weak").alias("weak_sum"))
 
@@ -412,6 +430,20 @@ def _(spark, d):
     return delta.match_blocks(delta.windows(new), delta.signature(old), new)
 
 
+@query("dlt4_selected")
+def _(spark, d):
+    old, new = fx.contents(spark, d)
+    return delta.select_matches(delta.match_blocks(delta.windows(new), delta.signature(old), new))
+
+
+@query("dlt5_tails")
+def _(spark, d):
+    old = fx.contents(spark, d)[1]
+    new = old.select("path", F.concat(F.lit(b"12345"), "content").alias("content"))
+    sig = delta.signature(old)
+    return delta.tail_match(new, delta.select_matches(delta.match_blocks(delta.windows(new), sig, new)), sig)
+
+
 @query("dlt6_ops")
 def _(spark, d):
     return delta.encode(*fx.contents(spark, d)).select("path", "op_seq", "op", "block_idx", F.octet_length("bytes").alias("n"))
