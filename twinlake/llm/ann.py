@@ -94,7 +94,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 64,
         return spark.createDataFrame([], schema)
     dim, total = common["dim"], common["count"]
     rows, asked = usable(df).where(F.size("v") == dim), usable(queries).where(F.size("v") == dim)
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").collect()])
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40)) < int(min(1.0, 1.2 * fit_rows / total + 1e-3) * (1 << 40))  # before the sort: a few more than wanted
+    sample = np.array([r["v"] for r in rows.where(share).orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").collect()])
+    if not len(sample):
+        sample = np.array([r["v"] for r in rows.limit(fit_rows).select("v").collect()])
     half = max(1, dim // 2)
     one = k_means(sample[:, :half], centroids)
     two = k_means(sample[:, half:], centroids) if dim > 1 else np.zeros((1, 0))

@@ -9,6 +9,9 @@ them as files of 2-byte ids under temporary names, renamed when whole; a task th
 The global slot of a sequence is its shard's first slot plus its place in the shard; sequence k of a shard lies at
 byte 2 * stride * k, so reading can resume at any slot.
 
+The input should be a table scan: rows are numbered by its partitions, and a job whose partitions differ from those
+counted before stops with an error.
+
 Defined results: a null or empty text is one sequence of the end id alone; repeated rows are sequences of their own;
 an empty table gives no shards; other columns are ignored.
 """
@@ -73,13 +76,15 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
     sizes = df.select(text_bytes(text).alias("b")).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("b").alias("longest"), F.sum("b").alias("b")).collect()  # a row per input split
     rows, longest = sum(r["n"] for r in sizes), max((r["longest"] for r in sizes), default=0)
     base = dict(zip([r["p"] for r in sorted(sizes)], np.cumsum([0, *[r["n"] for r in sorted(sizes)]]).tolist()))
+    counted = {r["p"]: r["n"] for r in sizes}
     parts = 3 * longest // stride + 1  # normal form may treble a text; each id has a byte at least
     domain = max(1, rows * parts)
     shards = max(1, sum(r["b"] for r in sizes) // shard_bytes)
     permute, width = Feistel(domain, order_key), -(-domain // shards)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, at = worker(ChunkIds, vocabulary), base.get(TaskContext.get().partitionId(), 0)
+        table, number_of = worker(ChunkIds, vocabulary), TaskContext.get().partitionId()
+        at = first = base.get(number_of, 0)
         for whole in batches:
             for batch in slices(whole):
                 keys, part, index, number, ids = [], [], [], [], []
@@ -98,6 +103,8 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
                     at += 1
                 order = permute.slot(np.array(index, np.uint64))
                 yield pa.record_batch([pa.array(order // width, pa.int32()), pa.array(order, pa.int64()), pa.array(keys, batch.schema.field("key").type), pa.array(part, pa.int32()), pa.array(number, pa.int32()), pa.array(ids, pa.binary())], ["shard", "permuted", "key", "part", "n_ids", "ids"])
+        if at - first != counted.get(number_of, 0):
+            raise ValueError("the input's partitions have changed since they were counted; write it to a table first")
 
     cut_up = src.mapInArrow(cut, f"shard int, permuted long, key {kind}, part int, n_ids int, ids binary")
 
