@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
@@ -298,21 +298,23 @@ def _(spark, d):
     return aggregates.progress(fx.run_events(spark, d)).withColumns({c: F.round(c, 9) for c in ("file_ratio", "byte_ratio")})
 
 
-@over_snapshots("srt1_path_order", "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM src")
-def _(s, d):
-    return s.select("path", F.row_number().over(_order(False)).cast("long").alias("place"))
+def _place(down: bool):
+    """The place within a directory, in path order or against it."""
+    by = F.split("path", "/")
+    return F.row_number().over(Window.partitionBy(paths.parent("path")).orderBy(by.desc() if down else by.asc())).cast("long").alias("place")
 
 
-@over_snapshots("srt2_deepest_first", "SELECT path, row_number() OVER (ORDER BY string_split(path, '/') DESC) AS place FROM dst WHERE path NOT IN (SELECT path FROM src)")
-def _(s, d):
-    return planning.deletions(s, d).select("path", F.row_number().over(_order(True)).cast("long").alias("place"))
+_PARENT_SQL = "PARTITION BY regexp_replace(path, '/?[^/]*$', '')"
 
 
-def _order(down: bool):
-    from pyspark.sql import Window
+@over_snapshots("srt1_path_order", f"SELECT path, row_number() OVER ({_PARENT_SQL} ORDER BY string_split(path, '/')) AS place FROM src")
+def _(s, d):
+    return compare.path_order(s).select("path", _place(False))
 
-    by = F.split("path", "/")
-    return Window.orderBy(by.desc() if down else by.asc())
+
+@over_snapshots("srt2_deepest_first", f"SELECT path, row_number() OVER ({_PARENT_SQL} ORDER BY string_split(path, '/') DESC) AS place FROM dst WHERE path NOT IN (SELECT path FROM src)")
+def _(s, d):
+    return planning.deletions(s, d).select("path", _place(True))
 
 
 @over_plan("srt3_apply_order", "SELECT p.path, CASE WHEN action = 'delete' THEN 4 WHEN g.first IS NOT NULL AND p.path <> g.first THEN 2 ELSE 1 END AS phase, len(string_split(p.path, '/')) AS depth FROM plan p LEFT JOIN (SELECT ino, array_to_string(min(string_split(path, '/')), '/') AS first FROM plan WHERE action <> 'delete' GROUP BY ino HAVING count(*) > 1) g ON p.ino = g.ino")
