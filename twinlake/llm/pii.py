@@ -77,16 +77,16 @@ _GAP = r"[\x20\t,-]{1,3}"
 #: At least seven spelled digits (four with "dot" between them), perhaps behind "plus".
 _RUN = rf"(?<![A-Za-z])(?:plus{_GAP})?{_NUMBER}(?:{_GAP}(?:dot{_GAP}|point{_GAP})?{_NUMBER}){{3,}}(?![A-Za-z])"
 _OPEN, _CLOSE = r"[\x20]*[\[({<][\x20]*", r"[\x20]*[\])}>][\x20]*"
-_PLAIN_DOT = r"[\x20]+dot[\x20]+(?=[A-Za-z0-9-])"
-_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_OPEN}dot{_CLOSE}|[\x20]+dot[\x20]+)[A-Za-z0-9-]+)*(?:{_OPEN}dot{_CLOSE}|[\x20]+dot[\x20]+)[A-Za-z]"
+_PLAIN_DOT = r"(?:[\x20]+dot[\x20]+|_dot_)(?=[A-Za-z0-9-])"
+_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_OPEN}dot{_CLOSE}|[\x20]+dot[\x20]+|_dot_)[A-Za-z0-9-]+)*(?:{_OPEN}dot{_CLOSE}|[\x20]+dot[\x20]+|_dot_)[A-Za-z]"
 _REWRITE = re.compile(
-    rf"(?P<none>[{_INVISIBLE}]+)|(?P<run>{_RUN})|(?P<at>(?<=[A-Za-z0-9_%+-]){_OPEN}at{_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9_%+-])[\x20]+at[\x20]+(?={_HOST}))"
-    rf"|(?P<dot>(?<=[A-Za-z0-9_-])(?:{_OPEN}dot{_CLOSE}|{_PLAIN_DOT}))",
+    rf"(?P<none>[{_INVISIBLE}]+)|(?P<run>{_RUN})|(?P<at>(?<=[A-Za-z0-9_%+-]){_OPEN}at{_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9_%+-])(?:[\x20]+at[\x20]+|_at_)(?={_HOST}))"
+    rf"|(?P<dot>(?<=[A-Za-z0-9-])(?:{_OPEN}dot{_CLOSE}|{_PLAIN_DOT}))",
     re.IGNORECASE,
 )
 _INSIDE = re.compile(rf"(?P<number>{_NUMBER})|(?P<dot>dot|point)|(?P<plus>plus)", re.IGNORECASE)
 _FOREIGN = re.compile("[" + "".join(map(re.escape, LOOK_ALIKES)) + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff" + "]")
-_DISGUISED = re.compile(rf"[\[({{<][\x20]*(?:at|dot)[\x20]*[\])}}>]|[\x20]dot[\x20]|[{_INVISIBLE}]|(?:{_NUMBER}{_GAP}(?:(?:dot|point){_GAP})?){{4}}", re.IGNORECASE)
+_DISGUISED = re.compile(rf"[\[({{<][\x20]*(?:at|dot)[\x20]*[\])}}>]|[\x20_]dot[\x20_]|[{_INVISIBLE}]|(?:{_NUMBER}{_GAP}(?:(?:dot|point){_GAP})?){{4}}", re.IGNORECASE)
 
 
 def _ascii(c: str) -> str:
