@@ -24,7 +24,8 @@ def relevant_paths(events: DataFrame, reserved: str = ".twinlake") -> DataFrame:
 def debounce_anchored(events: DataFrame, key: str, window_ms: int, ts: str = "ts") -> DataFrame:
     """key, start, events: the first event opens a window of fixed length, the next one outside opens another.
 
-    A burst depends on where the one before began, so a key's times are folded in order; keys are independent.
+    A burst depends on where the one before began, so times are folded in order; but a quiet time as long as the
+    window always ends a burst, so only the times between two such gaps are gathered, not all of a key's.
     """
     burst = "array<struct<start:bigint,n:bigint>>"
     sorted_up = F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
@@ -36,7 +37,8 @@ def debounce_anchored(events: DataFrame, key: str, window_ms: int, ts: str = "ts
         return F.when(same, F.struct(acc["start"].alias("start"), (acc["n"] + 1).alias("n"), acc["done"].alias("done"))).otherwise(F.struct(t.alias("start"), F.lit(1).cast("bigint").alias("n"), closed.alias("done")))
 
     last = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["n"].alias("n"))))
-    folded = events.groupBy(key).agg(F.aggregate(sorted_up, empty, step, last).alias("bursts"))
+    quiet = F.session_window(F.col(ts).cast("timestamp"), f"{window_ms} milliseconds")
+    folded = events.groupBy(key, quiet).agg(F.aggregate(sorted_up, empty, step, last).alias("bursts"))
     return folded.select(key, F.inline("bursts")).select(key, F.timestamp_micros("start").alias("start"), F.col("n").alias("events"))
 
 
