@@ -29,8 +29,8 @@ def weak_checksum(content: Column | str) -> Column:
     n = F.size(values)
     zero = F.lit(0).cast("long")
     a = F.aggregate(values, zero, lambda x, v: x + v)
-    b = F.aggregate(F.transform(values, lambda v, k: v * (n - k)), zero, lambda x, v: x + v)
-    return weak_of(a, b)
+    j = F.aggregate(F.transform(values, lambda v, k: v * k), zero, lambda x, v: x + v)
+    return weak_of(a, n * a - j)
 
 
 def signature(old: DataFrame, block: int = 700) -> DataFrame:
@@ -73,14 +73,20 @@ def match_blocks(window_rows: DataFrame, sig: DataFrame, new: DataFrame, block:
     return sure.groupBy("path", "pos").agg(F.min("block_idx").alias("block_idx"))
 
 
-def select_matches(candidates: DataFrame, block: int = 700) -> DataFrame:
-    """Greedy from the left: path, pos, block_idx of matches that do not overlap."""
-    kept = "array<struct<pos:int,block_idx:int>>"
+_KEPT = "array<struct<pos:int,block_idx:int>>"
+
+
+def _greedy(candidates: DataFrame, block: int) -> DataFrame:
+    """path, kept: the matches that do not overlap, from the left, as one array per path."""
     sorted_up = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("block_idx").cast("int").alias("block_idx"))))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(kept).alias("kept"))
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(_KEPT).alias("kept"))
     step = lambda acc, m: F.when(m["pos"] >= acc["next"], F.struct((m["pos"] + block).alias("next"), F.concat(acc["kept"], F.array(m)).alias("kept"))).otherwise(acc)
-    folded = candidates.groupBy("path").agg(sorted_up.alias("m")).select("path", F.aggregate("m", start, step)["kept"].alias("kept"))
-    return folded.select("path", F.inline("kept"))
+    return candidates.groupBy("path").agg(sorted_up.alias("m")).select("path", F.aggregate("m", start, step)["kept"].alias("kept"))
+
+
+def select_matches(candidates: DataFrame, block: int = 700) -> DataFrame:
+    """Greedy from the left: path, pos, block_idx of matches that do not overlap."""
+    return _greedy(candidates, block).select("path", F.inline("kept"))
 
 
 def tail_match(new: DataFrame, matches: DataFrame, sig: DataFrame, block: int = 700) -> DataFrame:
@@ -94,20 +100,34 @@ def tail_match(new: DataFrame, matches: DataFrame, sig: DataFrame, block: int =
 
 
 def encode(old: DataFrame, new: DataFrame, block: int = 700) -> DataFrame:
-    """path, op_seq, op (copy or literal), block_idx, bytes: how to make `new` from `old`."""
+    """path, op_seq, op (copy or literal), block_idx, bytes: how to make `new` from `old`.
+
+    The matches of a path are one array, and its operations follow from it in a row: no further shuffle or window.
+    """
     sig = signature(old, block)
-    chosen = select_matches(match_blocks(windows(new, block), sig, new, block), block)
-    tail = tail_match(new, chosen, sig, block)
-    copies = chosen.select("path", "pos", "block_idx", (F.col("pos") + block).alias("stop"))
-    ends = new.select("path", F.octet_length("content").alias("n"))
-    copies = copies.union(tail.join(ends, "path").select("path", "pos", "block_idx", F.col("n").alias("stop")))
-    marks = copies.union(ends.select("path", F.col("n").alias("pos"), F.lit(None).cast("int"), F.col("n").alias("stop")))
-    order = Window.partitionBy("path").orderBy("pos", F.col("block_idx").asc_nulls_last())
-    gaps = marks.withColumn("from", F.coalesce(F.lag("stop").over(order), F.lit(0)))
-    literal = gaps.where("pos > from").join(new, "path").select("path", F.col("from").alias("at"), F.lit("literal").alias("op"), F.lit(None).cast("int").alias("block_idx"), F.substring("content", F.col("from") + 1, F.col("pos") - F.col("from")).alias("bytes"))
-    copy = copies.select("path", F.col("pos").alias("at"), F.lit("copy").alias("op"), F.col("block_idx").cast("int"), F.lit(None).cast("binary").alias("bytes"))
-    every = literal.union(copy)
-    return every.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).alias("op_seq"), "op", "block_idx", "bytes")
+    chosen = _greedy(match_blocks(windows(new, block), sig, new, block), block)
+    short = sig.where(F.col("len") < block).select("path", F.col("block_idx").alias("s_idx"), F.col("strong").alias("s_strong"), F.col("len").alias("s_len"))
+    base = new.join(chosen, "path", "left").join(short, "path", "left").withColumn("n", F.octet_length("content")).withColumn("kept", F.coalesce("kept", F.array().cast(_KEPT)))
+    base = base.withColumn("stop", F.when(F.size("kept") > 0, F.element_at("kept", -1)["pos"] + block).otherwise(0))
+    copy = lambda pos, stop, idx: F.struct(pos.cast("int").alias("pos"), stop.cast("int").alias("stop"), idx.cast("int").alias("idx"))
+    rest = F.substring("content", F.col("stop") + 1, F.col("n") - F.col("stop"))
+    tail = (F.col("n") > F.col("stop")) & (F.col("s_len") == F.col("n") - F.col("stop")) & (F.col("s_strong") == strong_hash(rest))
+    spans = "array<struct<pos:int,stop:int,idx:int>>"
+    copies = F.concat(F.transform("kept", lambda m: copy(m["pos"], m["pos"] + block, m["block_idx"])), F.when(tail, F.array(copy(F.col("stop"), F.col("n"), F.col("s_idx")))).otherwise(F.array().cast(spans)))
+    marked = base.select("path", "content", "n", copies.alias("copies"))
+    end = F.array(copy(F.col("n"), F.col("n"), F.lit(None)))  # where the last literal stops
+    marks = marked.select("path", "content", F.concat("copies", end).alias("marks"))
+    ops = "array<struct<op:string,idx:int,bytes:binary>>"
+
+    def both(mark: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.lit(0)).otherwise(F.get("marks", k - 1)["stop"])
+        literal = F.struct(F.lit("literal").alias("op"), F.lit(None).cast("int").alias("idx"), F.substring("content", before + 1, mark["pos"] - before).alias("bytes"))
+        copied = F.struct(F.lit("copy").alias("op"), mark["idx"].alias("idx"), F.lit(None).cast("binary").alias("bytes"))
+        none = F.array().cast(ops)
+        return F.concat(F.when(mark["pos"] > before, F.array(literal)).otherwise(none), F.when(mark["idx"].isNotNull(), F.array(copied)).otherwise(none))
+
+    every = marks.select("path", F.posexplode(F.flatten(F.transform("marks", both))).alias("op_seq", "o"))
+    return every.select("path", "op_seq", F.col("o.op").alias("op"), F.col("o.idx").alias("block_idx"), F.col("o.bytes").alias("bytes"))
 
 
 def split_ops(old: DataFrame, ops: DataFrame, block: int = 700) -> tuple[DataFrame, DataFrame]:
