@@ -153,6 +153,16 @@ def test_mixing_against_sql_and_limits(spark, odd, none):
     assert {r.doc_id: r["count"] for r in times} == {i: t // s for i, (s, _, _, t) in got.items() if t}
 
 
+def test_mixing_where_the_rest_is_all_of_the_first_document(spark):
+    """Two sources of two one-word documents: targets 4 and 2 of sizes 2 and 2, then 1 of 2 where sizes differ."""
+    rows = [(k, "w", "en", "a" if k < 2 else "b", 1) for k in range(4)] + [(9, "w w", "en", "a", 3)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    assert {(r.doc_id, r.target, r.taken) for r in got} == set(con.execute(f"SELECT doc_id, target, taken FROM ({mixing.SQL}) x").fetchall())
+
+
 def test_targets_fill_up_to_their_caps(spark):
     sizes = {"a": 10, "b": 1000, "c": 20, "d": 500, None: 70}
     df = spark.createDataFrame([*sizes.items()], "source string, source_size long")

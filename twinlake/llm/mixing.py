@@ -66,7 +66,7 @@ def _plan(scratch: Scratch, keyed: DataFrame, ratio: float, most: int) -> DataFr
     wanted = scratch.keep(wanted.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
     upto = F.sum("s").over(Window.partitionBy("source").orderBy("bucket"))
     cuts = sums.withColumn("upto", upto).join(wanted.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
-    cuts = cuts.where("upto > rest AND upto - s < rest").select(F.col("name").alias("cut_source"), F.col("bucket").alias("cut_bucket"), (F.col("upto") - F.col("s")).alias("before"), "rest")
+    cuts = cuts.where("rest > 0 AND upto >= rest AND upto - s < rest").select(F.col("name").alias("cut_source"), F.col("bucket").alias("cut_bucket"), (F.col("upto") - F.col("s")).alias("before"), "rest")
     cuts = scratch.keep(cuts, "cuts")
     inside = keyed.select("source", "bucket", "k", "doc_id", "size").join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("bucket") == F.col("cut_bucket")))
     peers = inside.groupBy("cut_source", "cut_bucket", "before", "rest", "k", "doc_id", "size").agg(F.sum("size").alias("tied"))
@@ -81,7 +81,7 @@ def _times(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     """keyed with source_size, target and how often each row is taken; the plan has a row per source and is
     broadcast only where its files are below spark.sql.autoBroadcastJoinThreshold."""
     below = F.coalesce(F.struct("k", "doc_id", "size") <= F.col("last"), F.lit(False)) & (F.col("bucket") == F.col("cut_bucket"))
-    part = F.when(F.col("cut_bucket").isNull(), F.col("rest") > 0).otherwise((F.col("bucket") < F.col("cut_bucket")) | below)
+    part = F.when(F.col("cut_bucket").isNull(), F.lit(False)).otherwise((F.col("bucket") < F.col("cut_bucket")) | below)
     joined = keyed.join(plan, F.col("source").eqNullSafe(F.col("name")))
     return joined.withColumn("times", F.col("epochs") + part.cast("long"))
 
