@@ -43,6 +43,16 @@ def test_random_texts(text):
     assert int(np.frombuffer(p.of([text])[0], "<i2").sum()) == len(ids)
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "thequickbrownfox", "étéañß", "-", "=-_", "etaoinshrdlu"])
+def test_long_runs_by_dynamic_programming(letters):
+    t, _, p = _shared()
+    rng = random.Random(letters)
+    for n in (65, 150, 400):
+        run = "".join(rng.choice(letters) for _ in range(n))
+        counts = np.cumsum(np.frombuffer(p.of([run])[0], "<i2")).tolist()
+        assert counts == [len(e) for e in t.encode_batch([run[:k] for k in range(1, n + 1)], add_special_tokens=False)]
+
+
 def _shared(kept=[]):  # noqa: B006
     if not kept:
         kept.append((load(vocabulary()), ChunkIds(vocabulary()), PrefixCounts(vocabulary(), limit=50)))

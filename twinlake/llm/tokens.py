@@ -67,6 +67,7 @@ class WordBpe:
             ranks[bytes(byte_of[c] for c in body) + _END.encode() * (body != token)] = n
         if b"\x01" in ranks:  # byte 1 is in no Latin chunk; its place is taken by the end of a word
             ranks = {k: v for k, v in ranks.items() if k == b"\x01" or k.find(b"\x01", 0, -1) < 0}
+        self.ranks, self.longest, self.fits = ranks, max(map(len, ranks)), {}
         self.encoding = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
@@ -114,6 +115,40 @@ class WordBpe:
         return [*map(found.__getitem__, chunks)]
 
 
+    def _compatible(self, first: bytes, second: bytes) -> bool:
+        """Whether two tokens stay side by side when their bytes are merged."""
+        pair = first, second
+        if pair not in self.fits:
+            if len(self.fits) > 1_000_000:
+                self.fits = {}
+            self.fits[pair] = self.encoding._core_bpe.encode_single_piece(first + second) == [self.ranks[first], self.ranks[second]]
+        return self.fits[pair]
+
+    def run_counts(self, run: str) -> list[int]:
+        """Token counts of all prefixes of one long piece of Latin text, by dynamic programming over its bytes.
+
+        The encoding of a prefix is that of a shorter prefix and one more token, and it is the one whose last two
+        tokens are compatible. Inside a word this holds for tokens without the word's end; a prefix's own count
+        takes one last token with it.
+        """
+        raw, end, ranks = run.lower().encode(), _END.encode(), self.ranks
+        last, count = [b""], [0]
+
+        def extend(stop: int, mark: bytes) -> tuple[bytes, int]:
+            for n in range(min(self.longest, stop), 0, -1):
+                token = raw[stop - n : stop] + mark
+                if token in ranks and (stop == n or (last[stop - n] and self._compatible(last[stop - n], token))):
+                    return token, count[stop - n] + 1
+            return b"", 0
+
+        for stop in range(1, len(raw) + 1):
+            token, n = extend(stop, b"")
+            last.append(token)
+            count.append(n)
+        ends = np.cumsum([len(c.encode()) for c in run.lower()]).tolist()
+        return [extend(stop, end)[1] for stop in ends]
+
+
 def blanks(text: str) -> str:
     """The text with a space for each ASCII white space; other white space stays, the library handles it."""
     for c in "\n\t\r\x0b\x0c":
@@ -233,7 +268,9 @@ class PrefixCounts(_Table):
         if len(part) <= KEEP_CHARS:
             count, n = self.count, [0]
             n += [count[part[:j]] for j in range(1, len(part) + 1)]
-        else:  # one long run of letters or signs: a block of its prefixes at a time, none kept
+        elif _LATIN.fullmatch(part) and "<|" not in part and len(_PIECES.findall(part.lower())) == 1:
+            n = [0, *self.words.run_counts(part)]
+        else:  # a long run of other letters or signs: a block of its prefixes at a time, none kept
             n = [0]
             for at in range(1, len(part) + 1, 256):
                 n += self.words.counts([part[:j] for j in range(at, min(at + 256, len(part) + 1))])
