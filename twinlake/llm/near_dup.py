@@ -8,7 +8,7 @@
    is within five standard errors of it; then full sets decide.
 4. Components of these links, by alternating large-star and small-star steps over checkpointed tables.
 5. Buckets that still hold several components have their remaining cross-component pairs tested too, in blocks of
-   at most `block` classes, each pair only in its first common band; then components again.
+   about `block` classes, each pair only in its first common band; then components again.
 
 A link at the threshold is missed by all bands with probability (1 - 0.85^5)^25 = 4e-7. No bucket is capped.
 
@@ -173,15 +173,26 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         at, before = new, state
 
 
-def _block_pairs(percent: int, allowance: float):
-    """Pairs of different components within a block of a bucket, each in its first common band."""
+def _block_links(percent: int, allowance: float, words: int):
+    """Confirmed links between different components within a block of a bucket.
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    A pair is looked at only in its first common band, and exactly compared only if the estimate allows it and the
+    block's own links have not joined its components already; so a block gives fewer links than it has members.
+    """
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi, chunk = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["chunk"].to_numpy()
-        bands, planes = np.stack(pdf["bands"].to_numpy()), np.stack(pdf["planes"].to_numpy()).astype(np.int64)
-        n, root, key, lead = pdf["n"].to_numpy(np.int64), pdf["root"].to_numpy(), pdf["set_key"].to_numpy(), pdf["lead"].iat[0]
-        here, chance, half = bands[0] == pdf["bkey"].iat[0], 2.0**-BITS, HASHES // 64
-        band, found = int(np.flatnonzero(here)[0]), []
+        bands, planes = np.stack(pdf["bands"].to_numpy()), np.stack(pdf["planes"].to_numpy()).astype(np.int64).view(np.uint64)  # unsigned: numpy counts the bits of absolute values
+        n, key, texts, lead = pdf["n"].to_numpy(np.int64), pdf["set_key"].to_numpy(), pdf["text"].to_numpy(), pdf["lead"].iat[0]
+        root = pd.factorize(pdf["root"])[0]
+        chance, half, sets, found = 2.0**-BITS, HASHES // 64, Shingles(words), []
+        band, known = int(np.flatnonzero(bands[0] == pdf["bkey"].iat[0])[0]), {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in known:
+                known[k] = sets.of(texts[k])
+            return known[k]
+
         for i in np.flatnonzero(chunk == lo):
             if key[i] == lead:
                 continue
@@ -194,19 +205,24 @@ def _block_pairs(percent: int, allowance: float):
             equal = 1 - np.bitwise_count(differ).sum(axis=1) / HASHES
             j = j[(equal - chance) / (1 - chance) >= percent / 100 - allowance]
             j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
-            found += [(key[i], k) for k in key[j]]
+            for k in j:
+                if root[k] != root[i]:
+                    both = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[k] - both):
+                        found.append((key[i], key[k]))
+                        root[root == root[k]] = root[i]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return pairs
+    return links
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 85, key: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 85, key: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key reachable over links) and kept."""
     spark = df.sparkSession
     scratch, allowance = Scratch(spark, "near-dup"), slack(percent)
     docs = scratch.keep(sketch(df, key, text, words), "sketch")
-    classes = docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("key").alias("first_key"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
-    classes = scratch.keep(classes, "classes")
+    classes = docs.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_key")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
+    classes = scratch.keep(classes.select("set_key", F.col("first.key").alias("first_key"), F.col("first.text_key").alias("text_key"), "n", "bands", "planes"), "classes")
     rows = scratch.keep(docs.select("key", "n_shingles", "set_key"), "rows")
 
     members = classes.select(F.explode("bands").alias("bkey"), "set_key", F.xxhash64("set_key").alias("h"))
@@ -224,25 +240,26 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 85, key: str =
 
     several = members.where("size > 2").select("set_key")
     needed = tested.select(F.col("a").alias("set_key")).union(tested.select("b")).union(several).distinct()
-    needed = classes.join(needed, "set_key").select("set_key", "text_key")
-    whole = df.select(F.md5(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    texts = scratch.keep(whole.join(needed, "text_key").dropDuplicates(["text_key"]).select("set_key", "text"), "texts", "zstd")
+    needed = classes.join(needed, "set_key").select("set_key", "text_key", "first_key")
+    whole = df.select(F.md5(F.col(text)).alias("whole_key"), F.col(key).alias("whole_id"), F.col(text).alias("text"))
+    one = (F.col("whole_key") == F.col("text_key")) & F.col("whole_id").eqNullSafe(F.col("first_key"))  # by id too: copies are dealt out
+    texts = scratch.keep(whole.join(needed, one).dropDuplicates(["set_key"]).select("set_key", "text"), "texts", "zstd")
     links = scratch.keep(confirm(tested, texts, words, percent), "links")
     roots = components(scratch, links, "first")
 
     placed = members.where("size > 2").join(roots, members["set_key"] == roots["node"], "left").select("bkey", "set_key", "size", F.coalesce("root", "set_key").alias("root"))
     mixed = placed.groupBy("bkey").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bkey")
-    rest = placed.join(mixed, "bkey").join(leads, "bkey").join(classes.select("set_key", "n", "bands", "planes"), "set_key")
+    rest = placed.join(mixed, "bkey").join(leads, "bkey").join(classes.select("set_key", "n", "bands", "planes"), "set_key").join(texts, "set_key")
     blocks = F.ceil(F.col("size") / block).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("chunk", F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    more = rest.select("bkey", "lo", "hi", "chunk", "set_key", "root", "lead", "n", "bands", "planes").groupBy("bkey", "lo", "hi").applyInPandas(_block_pairs(percent, allowance), "a binary, b binary")
+    more = rest.select("bkey", "lo", "hi", "chunk", "set_key", "root", "lead", "n", "bands", "planes", "text").groupBy("bkey", "lo", "hi").applyInPandas(_block_links(percent, allowance, words), "a binary, b binary")
     more = scratch.keep(more, "more")
     if more.isEmpty():
         final = roots
     else:
-        final = components(scratch, links.union(confirm(more, texts, words, percent)), "last")
+        final = components(scratch, links.union(more), "last")
     final = scratch.keep(final, "roots")
     scratch.drop("sketch", "members", "texts", "star", "more")
 
