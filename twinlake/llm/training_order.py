@@ -135,8 +135,7 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
                 yield pa.record_batch([batch.column("shard"), pa.array(places, pa.int64()), batch.column("key"), batch.column("part"), batch.column("n_ids"), pa.array(sums, pa.int64())], ["shard", "place", "key", "part", "n_ids", "ids_crc32"])
         close()
 
-    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4))
-    sorted_up = cut_up.repartition(tasks, "shard").sortWithinPartitions("shard", "permuted")
+    sorted_up = cut_up.repartitionById(int(shards), "shard").sortWithinPartitions("shard", "permuted")  # a task per shard
     log = scratch.keep(sorted_up.mapInArrow(written, f"shard int, place long, key {kind}, part int, n_ids int, ids_crc32 long"), "log")
     counts = log.groupBy("shard").agg(F.count("*").alias("n"))  # a row per shard
     first = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
