@@ -122,12 +122,19 @@ BENCH_SQL = "bench AS (SELECT o_orderpriority AS scenario, o_orderstatus AS tool
 
 
 def contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(old, new) contents of the files that a plan updates."""
+    """(old, new) contents of the files whose length differs, as CONTENTS_SQL has them; see delta_pairs for all."""
     src, dst = source(spark, sf_dir), destination(spark, sf_dir)
     both = src.alias("s").join(dst.alias("d"), "path").where("s.kind = 'file' AND d.kind = 'file' AND s.len != d.len")
     return both.select("path", F.col("d.text").cast("binary").alias("content")), both.select("path", F.col("s.text").cast("binary").alias("content"))
 
 
+def delta_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(old, new) contents of all files at both sides: all that transfer_plan(checksum=True) sends as delta."""
+    src, dst = source(spark, sf_dir), destination(spark, sf_dir)
+    both = src.alias("s").join(dst.alias("d"), "path").where("s.kind = 'file' AND d.kind = 'file'")
+    return both.select("path", F.col("d.text").cast("binary").alias("content")), both.select("path", F.col("s.text").cast("binary").alias("content"))
+
+
 CONTENTS_SQL = """pairs AS (SELECT s.path, d.text AS old, s.text AS new FROM src s JOIN dst d ON s.path = d.path WHERE s.kind = 'file' AND d.kind = 'file' AND s.len <> d.len)"""
 
 #: Bytes of old and new contents, a row each: path, pos, v.

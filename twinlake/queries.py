@@ -400,7 +400,7 @@ def _(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", paths.strong_hash("text").alias("strong"))
 
 
-# Block delta, over the files that a plan updates
+# Block delta: all files at both sides, or, where there is SQL, those whose length differs
 
 
 @query("dlt1_signature", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL} SELECT path, count(*) AS n FROM (SELECT path, unnest(range(0, CAST(ceil(strlen(old) / 700.0) AS BIGINT))) AS b FROM pairs) x GROUP BY path")
@@ -428,19 +428,19 @@ def _(spark, d):
 
 @query("dlt3_matches")
 def _(spark, d):
-    old, new = fx.contents(spark, d)
+    old, new = fx.delta_pairs(spark, d)
     return delta.match_blocks(delta.windows(new), delta.signature(old), new)
 
 
 @query("dlt4_selected")
 def _(spark, d):
-    old, new = fx.contents(spark, d)
+    old, new = fx.delta_pairs(spark, d)
     return delta.select_matches(delta.match_blocks(delta.windows(new), delta.signature(old), new))
 
 
 @query("dlt5_tails")
 def _(spark, d):
-    old = fx.contents(spark, d)[1]
+    old = fx.delta_pairs(spark, d)[1]
     new = old.select("path", F.concat(F.lit(b"12345"), "content").alias("content"))
     sig = delta.signature(old)
     return delta.tail_match(new, delta.select_matches(delta.match_blocks(delta.windows(new), sig, new)), sig)
@@ -448,7 +448,7 @@ def _(spark, d):
 
 @query("dlt6_ops")
 def _(spark, d):
-    return delta.encode(*fx.contents(spark, d)).select("path", "op_seq", "op", "block_idx", F.octet_length("bytes").alias("n"))
+    return delta.encode(*fx.delta_pairs(spark, d)).select("path", "op_seq", "op", "block_idx", F.octet_length("bytes").alias("n"))
 
 
 @query("dlt7_rebuilt", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL} SELECT path, sha256(new) AS hash FROM pairs WHERE new <> ''")
@@ -466,7 +466,7 @@ def _(spark, d):
 
 @query("dlt9_stats")
 def _(spark, d):
-    return delta.delta_stats(delta.encode(*fx.contents(spark, d)))
+    return delta.delta_stats(delta.encode(*fx.delta_pairs(spark, d)))
 
 
 # Index
