@@ -1,6 +1,7 @@
 """Jobs that once left rows out: every pair of files, every event."""
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from test_delta import expected_ops
 from twinlake import fixtures as fx
 from twinlake import queries as core
 from twinlake.operators import delta, planning
+from twinlake.plans import mirror
 
 DATA = "/root/testdata/sf0.001"
 BLOCK = 700
@@ -57,3 +59,18 @@ def test_delta_operators_on_every_pair_of_files(spark):
     assert {r.path: r["count"] for r in delta.windows(new).groupBy("path").count().collect()} == {p: len(n) - BLOCK + 1 for p, (_, n) in pairs.items() if len(n) >= BLOCK}
     rebuilt = delta.apply_delta(old, delta.encode(old, new)).select("path", F.sha2("content", 256).alias("h"))
     assert {r.path: r.h for r in rebuilt.collect()} == {p: hashlib.sha256(n).hexdigest() for p, (_, n) in pairs.items() if n}
+
+
+def test_reports_hold_every_event_of_every_run(spark):
+    many = spark.range(24_000).select(
+        F.when(F.col("id") < 12_000, "early").otherwise("late").alias("run_id"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"),
+        F.when(F.col("id") % 50 == 0, "phase").otherwise("error").alias("event"), F.when(F.col("id") % 50 == 0, "copying").alias("phase"), F.concat(F.lit("p"), "id").alias("path"), F.lit(None).cast("string").alias("action"), F.lit(1).alias("bytes"),
+    )
+    quiet = many.limit(1).withColumns({"run_id": F.lit("quiet"), "event": F.lit("done"), "phase": F.lit(None).cast("string"), "action": F.lit("copy")})
+    none = spark.createDataFrame([], "path string, detail string")
+    rows = mirror.run_report(many.union(quiet), none).collect()
+    heads = {r.run_id: json.loads(r.report) for r in rows if r.part is None}
+    seqs = {run: sorted(e["seq"] for r in rows if r.run_id == run and r.part is not None for e in json.loads(r.report)["events"]) for run in heads}
+    assert seqs == {"early": list(range(12_000)), "late": list(range(12_000, 24_000)), "quiet": []}
+    assert all(len(json.loads(r.report)["events"]) <= 10_000 for r in rows if r.part is not None)
+    assert {run: (h["status"], h["n_events"], h["event_parts"]) for run, h in heads.items()} == {"early": ("failed", 12_000, 2), "late": ("failed", 12_000, 2), "quiet": ("success", 0, 0)}

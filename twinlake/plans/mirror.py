@@ -118,14 +118,22 @@ def sync(spark: SparkSession, source: str, target: str, opts: Options, role: str
     return finish(plan, mismatches, errors, opts)
 
 
-def run_report(events: DataFrame, mismatches: DataFrame, most_events: int = 10_000) -> DataFrame:
-    """One JSON document per run: statistics, phase times, mismatches and the first events, a bounded number."""
+def run_report(events: DataFrame, mismatches: DataFrame, part_seqs: int = 10_000) -> DataFrame:
+    """JSON documents per run: a head (part is null) with statistics, phase times, mismatches and numbers of events and
+    of their parts; then a document per part with all its errors and phase marks.
+
+    A part is a range of `part_seqs` sequence numbers, which are unique in a run: it is bounded, and no run is gathered whole.
+    """
     stats = aggregates.run_stats(events)
-    first = events.where("event != 'done'").orderBy("seq").limit(most_events)
-    log = first.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "event", "phase", "path"))).alias("events"))
+    logged = events.where("event != 'done'").withColumn("part", F.floor(F.col("seq") / part_seqs))
+    log = logged.groupBy("run_id", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "event", "phase", "path"))).alias("events"))
+    sizes = logged.groupBy("run_id", "part").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.sum("n").alias("n_events"), F.count("*").alias("parts"))
     times = aggregates.phase_timings(events).groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("phase", "ms")))).alias("timings"))
     wrong = mismatches.agg(F.count("*").alias("mismatches"))  # one row
-    joined = stats.join(times, "run_id", "left").join(log, "run_id", "left").crossJoin(F.broadcast(wrong))
+    joined = stats.join(times, "run_id", "left").join(sizes, "run_id", "left").crossJoin(F.broadcast(wrong))
     status = F.when((F.col("errors") == 0) & (F.col("mismatches") == 0), "success").otherwise("failed")
     summary = F.struct("copied", "updated", "skipped", "deleted", "errors", "bytes")
-    return joined.select("run_id", F.to_json(F.struct(status.alias("status"), summary.alias("summary"), "timings", "mismatches", "events")).alias("report"))
+    count = lambda c, name: F.coalesce(F.col(c), F.lit(0)).alias(name)
+    head = F.to_json(F.struct(status.alias("status"), summary.alias("summary"), "timings", "mismatches", count("n_events", "n_events"), count("parts", "event_parts")))
+    heads = joined.select("run_id", F.lit(None).cast("long").alias("part"), head.alias("report"))
+    return heads.union(log.select("run_id", "part", F.to_json(F.struct("events")).alias("report")))
