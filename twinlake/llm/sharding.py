@@ -2,12 +2,13 @@
 
 Groups (rows with equal texts) go, largest first, into the bin whose remaining capacity is the tightest that still
 fits; a balanced search tree over (remaining capacity, bin) finds it. Packing billions of groups one by one would
-need one task, so sizes are first gathered into classes (logarithmic, 64 to an octave) by a distributed count, and
-the driver packs runs of equal items: at most 64 x 40 classes, however many rows there are. Within a class, items
+need one task, so sizes are first gathered into classes (logarithmic, 64 to an octave, 4096 above `1 / pieces` of
+the capacity) by a distributed count, and the driver packs runs of equal items: at most some 64 x 40 + 4096 x 4
+classes, however many rows there are. Within a class, items
 are numbered by two-level counts, so no task sorts a whole class, and a range of numbers goes to each bin.
 
-A group above `1 / pieces` of the capacity cannot stay whole in a near-equal packing: its equal rows are dealt, by
-hash of the key, over pieces below that size, each an item of its own.
+Only a group above a whole shard's capacity (with `shards`: the mean shard) is broken up: its equal rows are dealt,
+by hash of the key, over pieces of about `1 / pieces` of it, each an item of its own. All others stay whole.
 
 Defined results: a null text has size 16 and forms a group of its own; an empty text likewise; rows with equal key
 and text stay in one piece; an empty table gives an empty result; other columns are ignored.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, text_bytes
 
-#: Size classes to an octave.
-FINE = 64
+#: Size classes to an octave, and those of items that fill much of a shard.
+FINE, FINER = 64, 4096
 
 
 @dataclass
@@ -168,12 +169,13 @@ def assign(df: DataFrame, shards: int | None = 40, capacity: int | None = None,
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
     target = capacity or max(1.0, total / shards)
     groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    # Groups above a fraction of the capacity: at most pieces * shards of them, so small whatever the input.
-    large = groups.where(F.col("bytes") * pieces > target).select(F.col("g").alias("large_g"), F.ceil(F.col("bytes") * pieces / target).cast("int").alias("parts"))
+    # Groups above the capacity: at most as many as shards, so small whatever the input.
+    large = groups.where(F.col("bytes") > target).select(F.col("g").alias("large_g"), F.ceil(F.col("bytes") * pieces / target).cast("int").alias("parts"))
     large = scratch.keep(large, "large")
     rows = rows.join(large, F.col("g") == F.col("large_g"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("key", F.lit(11)), F.col("parts")), F.lit(0)).cast("int")).drop("large_g", "parts")
     items = rows.groupBy("g", "part").agg(F.sum("size").alias("bytes"))
-    octave = F.floor(F.log2("bytes") * FINE).cast("int")
+    big = F.col("bytes") * pieces > target
+    octave = F.when(big, F.floor(F.log2("bytes") * FINER) + (1 << 16)).otherwise(F.floor(F.log2("bytes") * FINE)).cast("int")
     items = scratch.keep(items.withColumn("class", octave).withColumn("sub", F.pmod(F.xxhash64("g", "part"), F.lit(subs)).cast("int")), "items")
     counts = scratch.keep(items.groupBy("class", "sub").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")), "counts")
     found = counts.groupBy("class").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).orderBy(F.desc("class")).collect()  # a row per class
