@@ -205,7 +205,7 @@ class _Table:
 class ChunkIds(_Table):
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    _doubled = re.compile(r"[^\w ][.,](?= |$)")
+    _doubled = re.compile(r"(?:[^\w ]|_)[.,](?= |$)")
 
     def split(self, text: str) -> list[str]:
         text = blanks(text)
