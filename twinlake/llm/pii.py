@@ -3,7 +3,8 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers as they stand. For disguised ones a text goes
 through two transducers: one maps look-alike letters and foreign digits to ASCII, code point by code point; the
 other rewrites "at" and "dot" disguises, runs of spelled digits and invisible characters, and notes for each written
-character the source characters it came from. The same detectors run on the rewritten text, and a match that holds
+character the source characters it came from. Spelled digits are English; fewer than seven are rewritten only around
+"dot" or next to digits, and the detectors' length and Luhn tests decide. The same detectors run on the rewritten text, and a match that holds
 a rewritten character is mapped back and added, if no base span is the same. Base spans always stay.
 
 Defined results: a null text counts as empty: no spans; a plain text costs a few substring searches; spans count
@@ -74,19 +75,31 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _INVISIBLE = "­​‌‍⁠﻿"
 _NUMBER = "(?:" + "|".join(SPELLED) + ")"
 _GAP = r"[\x20\t,-]{1,3}"
-#: At least seven spelled digits (four with "dot" between them), perhaps behind "plus".
+#: At least seven spelled digits (four with "dot" between them, any number next to digits), perhaps behind "plus".
 _RUN = rf"(?<![A-Za-z])(?:plus{_GAP})?{_NUMBER}(?:{_GAP}(?:dot{_GAP}|point{_GAP})?{_NUMBER}){{3,}}(?![A-Za-z])"
+_SHORT = rf"(?<![A-Za-z])(?:plus{_GAP})?{_NUMBER}(?:{_GAP}{_NUMBER}){{0,2}}(?![A-Za-z])"
+#: What may stand between a digit and a spelled one next to it.
+_JOINT = rf"(?:[\x20\t,-]{{0,3}}|\.|\)[\x20-]?|[\x20-]?\(|[\x20]dot[\x20]|_dot_)"
+_AFTER_DIGIT, _DIGIT_NEXT = re.compile(rf"[0-9]{_JOINT}$", re.IGNORECASE), re.compile(rf"{_JOINT}[0-9]", re.IGNORECASE)
 _OPEN, _CLOSE = r"[\x20]*[\[({<][\x20]*", r"[\x20]*[\])}>][\x20]*"
 _PLAIN_DOT = r"(?:[\x20]+dot[\x20]+|_dot_)(?=[A-Za-z0-9-])"
-_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_OPEN}dot{_CLOSE}|[\x20]+dot[\x20]+|_dot_)[A-Za-z0-9-]+)*(?:{_OPEN}dot{_CLOSE}|[\x20]+dot[\x20]+|_dot_)[A-Za-z]"
+_DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}"
+#: A host behind a plain "at": with a disguised dot, or with a plain one before a name of at least two letters.
+_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT}|[\x20]+dot[\x20]+|_dot_)[A-Za-z0-9-]+)*(?:{_DOT}|[\x20]+dot[\x20]+|_dot_)[A-Za-z]"
+_PLAIN_HOST = r"(?!www\.)(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2}"
 _REWRITE = re.compile(
-    rf"(?P<none>[{_INVISIBLE}]+)|(?P<run>{_RUN})|(?P<at>(?<=[A-Za-z0-9_%+-]){_OPEN}at{_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9_%+-])(?:[\x20]+at[\x20]+|_at_)(?={_HOST}))"
-    rf"|(?P<dot>(?<=[A-Za-z0-9-])(?:{_OPEN}dot{_CLOSE}|{_PLAIN_DOT}))",
+    rf"(?P<none>[{_INVISIBLE}]+)|(?P<run>{_RUN}|{_SHORT})|(?P<at>(?<=[A-Za-z0-9_%+-]){_OPEN}(?:at|@){_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9_%+-])(?:[\x20]+at[\x20]+|_at_)(?={_HOST}|{_PLAIN_HOST}))"
+    rf"|(?P<dot>(?<=[A-Za-z0-9-])(?:{_DOT}|{_PLAIN_DOT}))",
     re.IGNORECASE,
 )
 _INSIDE = re.compile(rf"(?P<number>{_NUMBER})|(?P<dot>dot|point)|(?P<plus>plus)", re.IGNORECASE)
 _FOREIGN = re.compile("[" + "".join(map(re.escape, LOOK_ALIKES)) + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff" + "]")
-_DISGUISED = re.compile(rf"[\[({{<][\x20]*(?:at|dot)[\x20]*[\])}}>]|[\x20_]dot[\x20_]|[{_INVISIBLE}]|(?:{_NUMBER}{_GAP}(?:(?:dot|point){_GAP})?){{4}}", re.IGNORECASE)
+#: Implied by every branch of _REWRITE that can lead to a span: brackets, dots, plain "at", invisible characters, long runs, digits next to spelled ones.
+_DISGUISED = re.compile(
+    rf"[\[({{<][\x20]*(?:at|dot|@|\.)[\x20]*[\])}}>]|[\x20_]dot[\x20_]|[\x20_]at[\x20_]+(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2}}|[{_INVISIBLE}]"
+    rf"|{_NUMBER}(?:{_GAP}(?:(?:dot|point){_GAP})?{_NUMBER}){{3}}|[0-9]{_JOINT}(?:plus{_GAP})?{_NUMBER}|{_NUMBER}{_JOINT}[0-9]",
+    re.IGNORECASE,
+)
 
 
 def _ascii(c: str) -> str:
@@ -118,7 +131,8 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[tuple[int, int
 
     for m in _REWRITE.finditer(even):
         if m["run"] and len(re.findall(_NUMBER, m[0], re.IGNORECASE)) < 7 and not re.search("dot|point", m[0], re.IGNORECASE):
-            continue
+            if not (_AFTER_DIGIT.search(even, max(0, m.start() - 6), m.start()) or _DIGIT_NEXT.match(even, m.end())):
+                continue
         if m.start() > done:
             put(even[done : m.start()], done)
         if m["run"]:
