@@ -1,5 +1,4 @@
 import random
-import zlib
 
 from twinlake.operators import delta
 
@@ -58,15 +57,47 @@ def test_ops_and_round_trip(spark):
     for p in old:
         assert got.get(p, []) == expected_ops(old[p], new[p], 8), p
     rebuilt = {r.path: bytes(r.content) for r in delta.apply_delta(o, ops, 8).collect()}
-    assert {p: rebuilt.get(p, b"") for p in new} == new
+    assert rebuilt == new
     stats = {r.path: r for r in delta.delta_stats(ops).collect()}
     assert stats["3"].copies == 4 and stats["3"].literal_bytes == 0 and stats["3"].reuse == 1.0
-    assert zlib.crc32(b"") == 0
+
+
+def test_blocks_sized_by_each_content(spark):
+    rng = random.Random(3)
+    long = rng.randbytes(900_000)  # blocks of 949 bytes
+    old = {"a": b"", "b": long, "c": long[:3000], "d": b"x" * 5000, "gone": b"old"}
+    new = {"a": b"abc", "b": long[:400_000] + b"!" + long[400_000:], "c": long[100:3000], "d": b"", "gone": b""}
+    o, n = frame(spark, old), frame(spark, new)
+    ops = delta.encode(o, n, None)
+    got = {}
+    for r in ops.orderBy("path", "op_seq").collect():
+        got.setdefault(r.path, []).append((r.op, r.block_idx if r.op == "copy" else bytes(r.bytes)))
+    for p in old:
+        block = max(700, min(131072, round(len(old[p]) ** 0.5)))
+        assert got.get(p, []) == expected_ops(old[p], new[p], block), p
+    assert {r.path: bytes(r.content) for r in delta.apply_delta(o, ops, None).collect()} == new
+
+
+def test_a_long_repetitive_file(spark):
+    one = b"\0" * 1_000_000
+    o, n = frame(spark, {"x": one}), frame(spark, {"x": b"ab" + one})
+    ops = delta.encode(o, n, 700)
+    assert {r.path: bytes(r.content) for r in delta.apply_delta(o, ops, 700).collect()} == {"x": b"ab" + one}
+    assert ops.where("op = 'copy'").count() == 1_000_000 // 700 + 1
+
+
+def test_fifty_megabytes(spark, tmp_path):
+    data = random.Random(5).randbytes(50_000_000)
+    o, n = frame(spark, {"x": data}), frame(spark, {"x": data[:25_000_000] + b"new" + data[25_000_000:]})
+    rebuilt = delta.apply_delta(o, delta.encode(o, n, None), None).first()
+    assert bytes(rebuilt.content) == data[:25_000_000] + b"new" + data[25_000_000:]
 
 
 def test_out_of_range_copies_are_rejected(spark):
-    ops = spark.createDataFrame([("a", 0, "copy", 5, None), ("b", 0, "copy", 0, None)], "path string, op_seq int, op string, block_idx int, bytes binary")
-    old = frame(spark, {"a": b"xyz", "b": b"xyz"})
+    ops = spark.createDataFrame([("a", 0, "copy", 5, None), ("b", 0, "copy", 0, None), ("e", 0, "copy", 0, None), ("f", 0, "copy", 1, None)], "path string, op_seq int, op string, block_idx int, bytes binary")
+    old = frame(spark, {"a": b"xyz", "b": b"xyz", "e": b"", "f": b""})
+    assert {r.path: bytes(r.content) for r in delta.apply_delta(old, ops, 2).collect()} == {"b": b"xy", "e": b""}
+    ops, old = ops.where("path IN ('a', 'b')"), old.where("path IN ('a', 'b')")
     good, bad = delta.split_ops(old, ops, 2)
     assert [r.path for r in good.collect()] == ["b"]
     assert [(r.path, r.error) for r in bad.collect()] == [("a", "copy block 5 out of range")]

@@ -65,22 +65,103 @@ def test_publish_sync_and_index(spark, sides, tmp_path):
     assert mirror.sync(spark, a, f"file://{tmp_path}/new", Options(verify="changed")).stats["copies"] == src.count()
     home = f"file://{tmp_path}/index"
     assert index.try_load_index(spark, home) is None
-    snapshots.publish(index.build_index(planning.build_plan(src, dst)), f"{home}/snapshot")
+    index.save_index(index.build_index(planning.build_plan(src, dst)), home)
     assert index.try_load_index(spark, home).count() == src.count()
-    snapshots.publish(src.withColumn("version", F.lit(INDEX_VERSION - 1)), f"{home}/snapshot")
+    index.save_index(src.withColumn("version", F.lit(INDEX_VERSION - 1)), home)
     assert index.try_load_index(spark, home) is None
 
 
-def test_journal_compaction(spark, tmp_path):
+def _entry(path, n, mtime=5):
+    return path, "file", n, mtime, 0, 0o644, 1, 1, 1, 1, None, None
+
+
+def test_journal_appends_then_compaction_then_load(spark, tmp_path):
     home = f"file://{tmp_path}/j"
-    snapshots.publish(spark.createDataFrame([("a", "1"), ("b", "1")], "path string, record string"), f"{home}/snapshot")
-    index.append_journal(spark.createDataFrame([], "path string, op string, record string"), home)
+    index.save_index(index.build_index(spark.createDataFrame([_entry("a", 1), _entry("b", 1)], ENTRIES)), home)
+    change = lambda op, *rows: index.as_records(spark.createDataFrame(rows, ENTRIES)).select("path", F.lit(op).alias("op"), "record")
+    index.append_journal(change("upsert", _entry("a", 0)).limit(0), home)
     assert snapshots.stored_bytes(spark, f"{home}/journal") == 0
-    index.append_journal(spark.createDataFrame([("a", "upsert", "2"), ("b", "delete", None), ("c", "upsert", "3")], "path string, op string, record string").coalesce(1), home)
-    assert index.needs_compaction(spark, home)
+    for n in (2, 3, 4):
+        index.append_journal(change("upsert", _entry("a", n), _entry(f"new{n}", n)), home)
+    index.append_journal(change("delete", _entry("new3", 0)), home)
+    seqs = [r.seq for r in index.read_journal(spark, home).collect()]
+    assert len(set(seqs)) == len(seqs) == 7
+    want = {("a", 4), ("b", 1), ("new2", 2), ("new4", 4)}
+    load = lambda: {(r.path, r.len) for r in index.try_load_index(spark, home).collect()}
+    assert load() == want and index.needs_compaction(spark, home)
+    schema = index.try_load_index(spark, home).schema
     index.compact(spark, home)
-    got = {(r.path, r.record) for r in snapshots.read_published(spark, f"{home}/snapshot").collect()}
-    assert got == {("a", "2"), ("c", "3")} and not index.needs_compaction(spark, home)
+    assert load() == want and not index.needs_compaction(spark, home) and index.try_load_index(spark, home).schema == schema
+    index.append_journal(change("upsert", _entry("b", 9)), home)
+    assert load() == want - {("b", 1)} | {("b", 9)}
+    index.compact(spark, home)
+    assert load() == want - {("b", 1)} | {("b", 9)}
+
+
+def test_replay_stops_at_a_broken_record(spark, tmp_path):
+    home = f"file://{tmp_path}/broken"
+    index.save_index(index.build_index(spark.createDataFrame([_entry("a", 1)], ENTRIES)), home)
+    for n in (2, 3, 4):
+        rows = index.sealed(index.as_records(spark.createDataFrame([_entry("a", n)], ENTRIES)).select("path", F.lit("upsert").alias("op"), "record"), n)
+        rows.withColumn("checksum", F.when(F.lit(n == 3), "torn").otherwise(F.col("checksum"))).write.mode("append").parquet(f"{home}/journal")
+    assert [r.len for r in index.try_load_index(spark, home).collect()] == [2]
+
+
+def test_sync_keeps_the_index_up_to_date(spark, sides, tmp_path):
+    src, dst = sides
+    a, b, home = (f"file://{tmp_path}/{x}" for x in ("a", "b", "i"))
+    state = lambda df: {(r.path, r.kind, r.len, r.mtime_ns, r.mode & 0o777) for r in df.collect()}
+    for step, source in enumerate((dst, src)):
+        snapshots.publish(source, a)
+        run = mirror.sync(spark, a, b, ALL, index_dir=home)
+        assert run.status == "success" and run.persist_index, step
+        assert state(index.try_load_index(spark, home)) == state(source) == state(snapshots.read_published(spark, b)), step
+    assert mirror.sync(spark, a, b, ALL, index_dir=home).stats["skips"] == src.count()
+    failed = mirror.finish(planning.mirror_plan(src, dst), spark.createDataFrame([("p", "x")], "path string, detail string"), src.limit(0), ALL)
+    assert failed.status == "failed" and not failed.persist_index
+
+
+def test_publish_keeps_two_versions_and_recovers(spark, tmp_path):
+    at = f"file://{tmp_path}/p"
+    for n in range(4):
+        snapshots.publish(spark.range(n + 1), at)
+    assert len(list((tmp_path / "p").glob("v-*"))) == 2 and snapshots.read_published(spark, at).count() == 4
+    (tmp_path / "p/current").rename(tmp_path / "p/old-broken")
+    assert snapshots.read_published(spark, at).count() == 4
+    snapshots.publish(spark.range(9), at)
+    assert snapshots.read_published(spark, at).count() == 9 and not list((tmp_path / "p").glob("old-*"))
+
+
+def test_continuous_mirror(spark, sides, tmp_path):
+    src, dst = sides
+    a, b, changes = (f"file://{tmp_path}/{x}" for x in ("a", "b", "changes"))
+    snapshots.publish(dst, a)
+    spark.createDataFrame([(".twinlake/journal",)], "path string").write.mode("append").parquet(changes)
+    stream = watch.changes_stream(spark, changes, "path string")
+    mirror.mirror_on_changes(stream, a, b, ALL, f"{tmp_path}/c").awaitTermination(120)
+    assert compare.verify(dst, snapshots.read_published(spark, b), "all").isEmpty()
+    snapshots.publish(src, a)
+    spark.createDataFrame([("src1/en/1.txt",)], "path string").write.mode("append").parquet(changes)
+    watch_again = watch.watch(watch.relevant_paths(stream), lambda batch, n: mirror.sync(spark, a, b, ALL), f"{tmp_path}/c")
+    watch_again.awaitTermination(120)
+    assert compare.verify(src, snapshots.read_published(spark, b), "all", tolerance_s=1).isEmpty()
+    with pytest.raises(ValueError):
+        mirror.mirror_on_changes(stream, a, b, Options(dry_run=True), f"{tmp_path}/d")
+
+
+def test_requested_paths_and_dry_run(spark, sides):
+    src, dst = sides
+    some = src.limit(3).select("path").union(spark.createDataFrame([("no/such",)], "path string"))
+    found, missing = planning.requested(src, some)
+    assert found.count() == 3 and [(r.path, r.error) for r in missing.collect()] == [("no/such", "not found at the source")]
+    stats, events = mirror.dry_run(src, dst, Options(delete=True, yes=True))
+    s = stats.first()
+    assert events.count() == s.copied + s.updated + s.skipped + s.deleted and s.deleted == events.where("event = 'deleted'").count()
+
+
+def test_keys_with_slashes_and_nulls_stay_apart(spark):
+    rows = spark.createDataFrame([("a/b", "c", 1), ("a", "b/c", 2), (None, "c", 3), ("%N", "c", 4), ("", "c", 5)], "k string, l string, v int")
+    assert len({r.path for r in snapshots.entries_from_table(rows, ["k", "l"], ["v"]).collect()}) == 5
 
 
 def test_scan_and_path_list(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Every registered query of the core library against its DuckDB SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from twinlake import queries as core
@@ -19,7 +20,7 @@ def duck():
 
 def rows(frame):
     def norm(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if isinstance(v, (int, float)) or type(v).__module__ == "numpy" and type(v).__name__ != "bool":
             return repr(round(float(v), 6))

@@ -54,11 +54,11 @@ def test_delta_queries_take_every_pair_of_files(spark):
 
 def test_delta_operators_on_every_pair_of_files(spark):
     pairs = _pairs(spark)
-    old, new = fx.delta_pairs(spark, DATA)
+    old, new = fx.contents(spark, DATA)
     assert {r.path: r["count"] for r in delta.signature(old).groupBy("path").count().collect()} == {p: -(-len(o) // BLOCK) for p, (o, _) in pairs.items() if o}
     assert {r.path: r["count"] for r in delta.windows(new).groupBy("path").count().collect()} == {p: len(n) - BLOCK + 1 for p, (_, n) in pairs.items() if len(n) >= BLOCK}
     rebuilt = delta.apply_delta(old, delta.encode(old, new)).select("path", F.sha2("content", 256).alias("h"))
-    assert {r.path: r.h for r in rebuilt.collect()} == {p: hashlib.sha256(n).hexdigest() for p, (_, n) in pairs.items() if n}
+    assert {r.path: r.h for r in rebuilt.collect()} == {p: hashlib.sha256(n).hexdigest() for p, (_, n) in pairs.items()}
 
 
 def test_reports_hold_every_event_of_every_run(spark):

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.snapshots import keep
+
 EPOCH_US = 1704067200000000
 
 
@@ -122,23 +124,34 @@ BENCH_SQL = "bench AS (SELECT o_orderpriority AS scenario, o_orderstatus AS tool
 
 
 def contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(old, new) contents of the files whose length differs, as CONTENTS_SQL has them; see delta_pairs for all."""
-    src, dst = source(spark, sf_dir), destination(spark, sf_dir)
-    both = src.alias("s").join(dst.alias("d"), "path").where("s.kind = 'file' AND d.kind = 'file' AND s.len != d.len")
-    return both.select("path", F.col("d.text").cast("binary").alias("content")), both.select("path", F.col("s.text").cast("binary").alias("content"))
-
-
-def delta_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(old, new) contents of all files at both sides: all that transfer_plan(checksum=True) sends as delta."""
     src, dst = source(spark, sf_dir), destination(spark, sf_dir)
     both = src.alias("s").join(dst.alias("d"), "path").where("s.kind = 'file' AND d.kind = 'file'")
-    return both.select("path", F.col("d.text").cast("binary").alias("content")), both.select("path", F.col("s.text").cast("binary").alias("content"))
-
-
-CONTENTS_SQL = """pairs AS (SELECT s.path, d.text AS old, s.text AS new FROM src s JOIN dst d ON s.path = d.path WHERE s.kind = 'file' AND d.kind = 'file' AND s.len <> d.len)"""
-
-#: Bytes of old and new contents, a row each: path, pos, v.
-BYTES_SQL = ", ".join(
-    f"""{name} AS (SELECT path, pos, CAST('0x' || substr(h, 2 * pos + 1, 2) AS INTEGER) AS v, n FROM (SELECT path, hex({side}) AS h, strlen({side}) AS n, unnest(range(0, strlen({side}))) AS pos FROM pairs) x)"""
-    for name, side in (("old_bytes", "old"), ("new_bytes", "new"))
-)
+    both = keep(both.select("path", F.col("d.text").cast("binary").alias("old"), F.col("s.text").cast("binary").alias("new")), "contents")
+    return both.select("path", F.col("old").alias("content")), both.select("path", F.col("new").alias("content"))
+
+
+CONTENTS_SQL = """pairs AS (SELECT s.path, d.text AS old, s.text AS new FROM src s JOIN dst d ON s.path = d.path WHERE s.kind = 'file' AND d.kind = 'file')"""
+
+
+def delta_sql(old: str = "old", new: str = "new") -> str:
+    """Further table expressions, for blocks of 700 bytes: hx (contents in hex), blocks, wins (windows), cand (matches),
+    chosen (greedy from the left), tails, and ops; the statement needs WITH RECURSIVE."""
+    some_bytes = lambda h: f"(SELECT path, unnest(range(0, len({h}) // 2)) AS pos, CAST('0x' || unnest(regexp_extract_all({h}, '..')) AS BIGINT) AS v, len({h}) // 2 AS n FROM hx)"
+    return f"""hx AS MATERIALIZED (SELECT path, hex({old}) AS oh, hex({new}) AS nh FROM pairs),
+blocks AS MATERIALIZED (SELECT path, pos // 700 AS block_idx, count(*) AS len, CAST(sum(v) % 65536 + (sum((least(700, n - pos // 700 * 700) - pos % 700) * v) % 65536) * 65536 AS BIGINT) AS weak FROM {some_bytes("oh")} x GROUP BY path, pos // 700),
+sums AS (SELECT path, pos, sum(v) OVER w AS s1, sum(pos * v) OVER w AS s2 FROM {some_bytes("nh")} x WINDOW w AS (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+diffs AS (SELECT path, pos, s1 - coalesce(lag(s1, 700) OVER o, 0) AS a, s2 - coalesce(lag(s2, 700) OVER o, 0) AS j FROM sums WINDOW o AS (PARTITION BY path ORDER BY pos)),
+wins AS (SELECT path, pos - 699 AS pos, CAST(a % 65536 + (((pos + 1) * a - j) % 65536) * 65536 AS BIGINT) AS weak FROM diffs WHERE pos >= 699),
+cand AS MATERIALIZED (SELECT w.path, w.pos, min(b.block_idx) AS block_idx FROM wins w JOIN blocks b ON w.path = b.path AND w.weak = b.weak AND b.len = 700 JOIN hx h ON h.path = w.path
+  WHERE substr(h.nh, 2 * w.pos + 1, 1400) = substr(h.oh, 1400 * b.block_idx + 1, 1400) GROUP BY w.path, w.pos),
+after AS (SELECT a.path, a.pos, a.block_idx, n.pos AS next FROM cand a ASOF LEFT JOIN cand n ON a.path = n.path AND a.pos + 700 <= n.pos),
+chosen AS (SELECT a.path, a.pos, a.block_idx, a.next FROM after a JOIN (SELECT path, min(pos) AS pos FROM cand GROUP BY path) f ON a.path = f.path AND a.pos = f.pos
+  UNION ALL SELECT a.path, a.pos, a.block_idx, a.next FROM chosen c JOIN after a ON a.path = c.path AND a.pos = c.next),
+ends AS (SELECT h.path, len(h.nh) // 2 AS n, coalesce(max(c.pos) + 700, 0) AS stop FROM hx h LEFT JOIN chosen c ON c.path = h.path GROUP BY h.path, h.nh),
+tails AS (SELECT e.path, e.stop AS pos, min(b.block_idx) AS block_idx FROM ends e JOIN hx h ON h.path = e.path JOIN blocks b ON b.path = e.path AND b.len < 700 AND b.len = e.n - e.stop
+  WHERE substr(h.nh, 2 * e.stop + 1) = substr(h.oh, 1400 * b.block_idx + 1) GROUP BY e.path, e.stop),
+marks AS (SELECT path, pos, pos + 700 AS stop, block_idx FROM chosen UNION ALL SELECT t.path, t.pos, e.n, t.block_idx FROM tails t JOIN ends e ON e.path = t.path UNION ALL SELECT path, n, n, NULL FROM ends),
+gaps AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY path ORDER BY pos, stop), 0) AS start FROM marks),
+ops AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY place) - 1 AS INTEGER) AS op_seq, op, CAST(block_idx AS INTEGER) AS block_idx, CAST(n AS INTEGER) AS n FROM (
+  SELECT path, 'literal' AS op, NULL AS block_idx, pos - start AS n, start AS place FROM gaps WHERE pos > start UNION ALL SELECT path, 'copy', block_idx, NULL, pos FROM gaps WHERE block_idx IS NOT NULL) x)"""

@@ -57,11 +57,18 @@ def throughput(df: DataFrame) -> DataFrame:
 def workload_profile(plan: DataFrame) -> DataFrame:
     """One row: files to transfer, the upper median of their sizes, and whether these are many small files.
 
-    Counts by length, and a running sum over the distinct lengths, find the median without sorting the files.
+    Counts by class of length (64 to an octave, so at most some 4,000) tell in which class the median lies; only that
+    class's distinct lengths are ordered.
     """
     by_len = plan.where("kind = 'file' AND action IN ('copy', 'update')").groupBy("len").agg(F.count("*").alias("n"))
-    run = by_len.withColumn("upto", F.sum("n").over(Window.orderBy("len"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    found = run.agg(F.coalesce(F.max("total"), F.lit(0)).alias("files"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("len"))).alias("upper_median"))
+    by_len = by_len.withColumn("class", F.floor(F.log2(F.col("len") + 1) * 64).cast("int"))
+    classes = by_len.groupBy("class").agg(F.sum("n").alias("m"))  # a bounded number of rows
+    upto, whole = Window.orderBy("class"), Window.partitionBy()
+    classes = classes.select("class", (F.sum("m").over(upto) - F.col("m")).alias("before"), F.sum("m").over(upto).alias("upto"), F.sum("m").over(whole).alias("total"))
+    half = F.floor(F.col("total") / 2)
+    middle = classes.where((F.col("before") <= half) & (F.col("upto") > half))  # one row
+    inside = by_len.join(F.broadcast(middle), "class").withColumn("run", F.col("before") + F.sum("n").over(Window.partitionBy("class").orderBy("len")))
+    found = inside.agg(F.coalesce(F.max("total"), F.lit(0)).alias("files"), F.min(F.when(F.col("run") > half, F.col("len"))).alias("upper_median"))
     small = (F.col("files") >= MANY_FILES) & (F.col("upper_median") < SMALL_MEDIAN)
     return found.select("files", "upper_median", F.coalesce(small, F.lit(False)).alias("many_small"), F.when(small, "many small files (count high, median < 64 KiB)").otherwise("few or large files").alias("reason"))
 
@@ -93,17 +100,23 @@ def phase_timings(events: DataFrame) -> DataFrame:
     return phases.where("next IS NOT NULL").groupBy("run_id", "phase").agg(F.max_by(ms.cast("long"), "seq").alias("ms"))
 
 
-def progress(events: DataFrame) -> DataFrame:
+def progress(events: DataFrame, part_seqs: int = 65_536) -> DataFrame:
     """Files and bytes done after each event, and the shares of the run's totals, between 0 and 1.
 
-    The order within a run is inherent; runs are independent of each other.
+    A part is a range of `part_seqs` sequence numbers of a run. Sums of parts are run up over a few rows per run, and
+    events only within their part, so a hot run is many groups.
     """
-    upto = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    done = events.where("event = 'done'").withColumn("part", F.floor(F.col("seq") / part_seqs))
+    parts = done.groupBy("run_id", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    before = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("run_id")
-    done = events.where("event = 'done'")
+    zero = F.lit(0)
+    sums = parts.select("run_id", "part", F.coalesce(F.sum("n").over(before), zero).alias("n0"), F.coalesce(F.sum("b").over(before), zero).alias("b0"), F.sum("n").over(whole).alias("n"), F.sum("b").over(whole).alias("b"))
+    upto = Window.partitionBy("run_id", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     share = lambda part, total: F.when(total == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), part / total))
-    out = done.withColumn("files_done", F.count("*").over(upto)).withColumn("bytes_done", F.sum("bytes").over(upto))
-    return out.select("run_id", "seq", "files_done", "bytes_done", share(F.col("files_done"), F.count("*").over(whole)).alias("file_ratio"), share(F.col("bytes_done"), F.sum("bytes").over(whole)).alias("byte_ratio"))
+    local = done.select("run_id", "part", "seq", F.count("*").over(upto).alias("ln"), F.sum("bytes").over(upto).alias("lb"))
+    out = local.join(sums, ["run_id", "part"]).select("run_id", "seq", (F.col("n0") + F.col("ln")).alias("files_done"), (F.col("b0") + F.coalesce("lb", zero)).alias("bytes_done"), "n", "b")
+    return out.select("run_id", "seq", "files_done", "bytes_done", share(F.col("files_done"), F.col("n")).alias("file_ratio"), share(F.col("bytes_done"), F.col("b")).alias("byte_ratio"))
 
 
 def log_tail(events: DataFrame, kind: str, needle: str, n: int) -> DataFrame:

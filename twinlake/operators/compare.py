@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import mode_bits
+from ..sources.snapshots import keep
 
 
 def path_order(df: DataFrame, deepest_first: bool = False) -> DataFrame:
@@ -14,6 +15,23 @@ def path_order(df: DataFrame, deepest_first: bool = False) -> DataFrame:
     return df.orderBy(by.desc() if deepest_first else by.asc())
 
 
+def places(df: DataFrame, *order: Column, down: bool = False, name: str = "place") -> DataFrame:
+    """The rows with their place, from 1, in a total order or, with `down`, against it (SRT-1 to SRT-3).
+
+    Ranges of the order are sorted apart and written once; a row per range gives each range's first place. No task sees
+    more than its range.
+    """
+    by = {f"{name}_{k}": o for k, o in enumerate(order)}
+    keys = [F.desc(c) if down else F.asc(c) for c in by]
+    sorted_up = df.withColumns(by).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*by)
+    inner, part = F.monotonically_increasing_id(), F.spark_partition_id()
+    fixed = keep(sorted_up.withColumns({f"{name}_part": part, name: F.pmod(inner, F.lit(1 << 33)) + 1}), "places")
+    counts = fixed.groupBy(f"{name}_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(f"{name}_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    first = counts.select(f"{name}_part", F.coalesce(before, F.lit(0)).alias("n"))
+    return fixed.join(F.broadcast(first), f"{name}_part").withColumn(name, F.col(name) + F.col("n")).select(*df.columns, name)
+
+
 def path_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Paths on one side only: path, side (left or right)."""
     both = a.select(F.col("path").alias("l")).distinct().join(b.select(F.col("path").alias("r")).distinct(), F.col("l") == F.col("r"), "full_outer")

@@ -1,150 +1,199 @@
 """Block delta of all changed entries in one job (WIN-1, DLT-1 to DLT-9).
 
-Contents are DataFrames (path, content binary) with unique paths. Only entries that are to be sent as deltas should
-come here: their bytes become rows, partitioned by path, and prefix sums over a path give every window's checksum.
+Contents are DataFrames (path, content binary) with unique paths. Blocks have one size for all, or, with block=None, one
+by the length of each old content. New contents are cut into overlapping chunks, so that a long one is many rows; the
+checksums of a chunk's windows are prefix sums over its bytes, and only windows whose weak checksum is that of a block of
+the same path become rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import strong_hash
+from ..functions.paths import block_size_for, strong_hash
 
 _BASE = 1 << 16
+#: Window starts in a chunk.
+CHUNK = 1 << 18
+
 
+def block_of(contents: DataFrame, block: int | None) -> Column:
+    """The block size of each row: the given one, the row's own, or one by the length of its content."""
+    if block is not None:
+        return F.lit(block)
+    return F.col("block") if "block" in contents.columns else block_size_for(F.octet_length("content"))
 
-def _chars(content: Column | str) -> Column:
-    """One-character strings, a byte each."""
-    return F.filter(F.split(F.decode(content, "ISO-8859-1"), ""), lambda c: c != "")
 
+def window_sums(part: bytes, size: int) -> np.ndarray:
+    """The weak checksums of all windows of `size` bytes: a = sum of bytes, b = sum of (size - k) * byte k, both modulo 2^16."""
+    v = np.frombuffer(part, np.uint8).astype(np.int64)
+    at = np.arange(len(v) - size + 1, dtype=np.int64)
+    s, j = (np.concatenate([[0], np.cumsum(x)]) for x in (v, v * np.arange(len(v))))
+    a, j = s[size:] - s[: len(at)], j[size:] - j[: len(at)]
+    return a % _BASE + ((at + size) * a - j) % _BASE * _BASE
 
-def weak_of(a: Column, b: Column) -> Column:
-    return F.pmod(a, F.lit(_BASE)) + F.pmod(b, F.lit(_BASE)) * _BASE
 
+def strong_of(part: bytes) -> str:
+    """strong_hash() of one value."""
+    return hashlib.sha256(part).hexdigest()[:32]
 
-def weak_checksum(content: Column | str) -> Column:
-    """a = sum of bytes, b = sum of (L - k) * byte k; both modulo 2^16."""
-    values = F.transform(_chars(content), lambda c: F.ascii(c).cast("long"))
-    n = F.size(values)
-    zero = F.lit(0).cast("long")
-    a = F.aggregate(values, zero, lambda x, v: x + v)
-    j = F.aggregate(F.transform(values, lambda v, k: v * k), zero, lambda x, v: x + v)
-    return weak_of(a, n * a - j)
 
+def _columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in names))
 
-def signature(old: DataFrame, block: int = 700) -> DataFrame:
-    """path, block_idx, block_size, weak, strong, len of every block; the last may be short; none for empty content."""
-    n = F.octet_length("content")
-    blocks = old.where(n > 0).select("path", "content", F.explode(F.sequence(F.lit(0), ((n - 1) / block).cast("int"))).alias("block_idx"))
-    parts = blocks.select("path", "block_idx", F.substring("content", F.col("block_idx") * block + 1, F.lit(block)).alias("part"))
-    return parts.select("path", "block_idx", F.lit(block).alias("block_size"), weak_checksum("part").alias("weak"), strong_hash("part").alias("strong"), F.octet_length("part").alias("len"))
 
+def signature(old: DataFrame, block: int | None = 700) -> DataFrame:
+    """path, block_idx, block_size, weak, strong, len of every block; the last may be short; none for empty content.
 
-def bytes_of(contents: DataFrame) -> DataFrame:
-    """path, pos, v: a row per byte."""
-    rows = contents.select("path", F.posexplode(_chars("content")).alias("pos", "c"))
-    return rows.select("path", "pos", F.ascii("c").cast("long").alias("v"))
+    Contents are cut in Arrow functions here and below: a column expression copies the whole value for each part of it.
+    """
 
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content, size in _columns(batches, "path", "content", "size"):
+            parts = [content[k : k + size] for k in range(0, len(content), size)]
+            made = [[path] * len(parts), [*range(len(parts))], [size] * len(parts), [int(window_sums(p, len(p))[0]) for p in parts], [*map(strong_of, parts)], [*map(len, parts)]]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(made, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32()))], ["path", "block_idx", "block_size", "weak", "strong", "len"])
 
-def rolling_checksum(byte_rows: DataFrame, length: int) -> DataFrame:
-    """path, pos, weak of every window of `length` bytes, from two prefix sums and their values `length` bytes back.
+    sized = old.where(F.octet_length("content") > 0).select("path", "content", block_of(old, block).alias("size"))
+    return sized.mapInArrow(signed, "path string, block_idx int, block_size int, weak long, strong string, len int")
 
-    A sliding frame would be evaluated anew at every row; this is linear.
-    """
-    order = Window.partitionBy("path").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    sums = byte_rows.withColumn("s1", F.sum("v").over(upto)).withColumn("s2", F.sum(F.col("pos") * F.col("v")).over(upto))
-    a = F.col("s1") - F.coalesce(F.lag("s1", length).over(order), F.lit(0))
-    j = F.col("s2") - F.coalesce(F.lag("s2", length).over(order), F.lit(0))
-    ends = sums.select("path", (F.col("pos") - length + 1).alias("pos"), a.alias("a"), j.alias("j")).where("pos >= 0")
-    return ends.select("path", "pos", weak_of(F.col("a"), (F.col("pos") + length) * F.col("a") - F.col("j")).alias("weak"))
 
+def chunks(new: DataFrame, block: int | None = 700) -> DataFrame:
+    """path, start, block, part: stretches of CHUNK window starts each, overlapping by a block less one byte."""
 
-def windows(new: DataFrame, block: int = 700) -> DataFrame:
-    return rolling_checksum(bytes_of(new), block)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content, size in _columns(batches, "path", "content", "block"):
+            for start in range(0, len(content) - size + 1, CHUNK):
+                part = content[start : start + CHUNK + size - 1]
+                yield pa.record_batch([pa.array([path]), pa.array([start], pa.int32()), pa.array([size], pa.int32()), pa.array([part], pa.binary())], ["path", "start", "block", "part"])
 
+    return new.select("path", "content", block_of(new, block).alias("block")).mapInArrow(cut, "path string, start int, block int, part binary")
 
-def match_blocks(window_rows: DataFrame, sig: DataFrame, new: DataFrame, block: int = 700) -> DataFrame:
-    """path, pos, block_idx: the lowest block equal to the window; strong hashes only where the weak ones agree."""
-    full = sig.where(F.col("len") == block).select("path", "weak", "strong", "block_idx")
-    likely = window_rows.join(full, ["path", "weak"]).join(new, "path")
-    sure = likely.where(strong_hash(F.substring("content", F.col("pos") + 1, F.lit(block))) == F.col("strong"))
-    return sure.groupBy("path", "pos").agg(F.min("block_idx").alias("block_idx"))
 
+def windows(new: DataFrame, block: int | None = 700) -> DataFrame:
+    """path, pos, weak of every window: the rolling checksum."""
 
-_KEPT = "array<struct<pos:int,block_idx:int>>"
+    def rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, start, size, part in _columns(batches, "path", "start", "block", "part"):
+            weak = window_sums(part, size)
+            yield pa.record_batch([pa.array([path] * len(weak)), pa.array(np.arange(start, start + len(weak), dtype=np.int32)), pa.array(weak)], ["path", "pos", "weak"])
 
+    return chunks(new, block).mapInArrow(rolled, "path string, pos int, weak long")
 
-def _greedy(candidates: DataFrame, block: int) -> DataFrame:
-    """path, kept: the matches that do not overlap, from the left, as one array per path."""
-    sorted_up = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("block_idx").cast("int").alias("block_idx"))))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(_KEPT).alias("kept"))
-    step = lambda acc, m: F.when(m["pos"] >= acc["next"], F.struct((m["pos"] + block).alias("next"), F.concat(acc["kept"], F.array(m)).alias("kept"))).otherwise(acc)
-    return candidates.groupBy("path").agg(sorted_up.alias("m")).select("path", F.aggregate("m", start, step)["kept"].alias("kept"))
 
+def match_blocks(new: DataFrame, sig: DataFrame, block: int | None = 700) -> DataFrame:
+    """path, pos, block_size, block_idx: the lowest block equal to the window; strong hashes only where weak ones agree."""
+    full = sig.where(F.col("len") == F.col("block_size"))
+    weak = full.groupBy("path").agg(F.collect_set("weak").alias("known"))  # eight bytes a block
+    joined = chunks(new, block).join(weak, "path")
 
-def select_matches(candidates: DataFrame, block: int = 700) -> DataFrame:
-    """Greedy from the left: path, pos, block_idx of matches that do not overlap."""
-    return _greedy(candidates, block).select("path", F.inline("kept"))
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, start, size, part, known in _columns(batches, "path", "start", "block", "part", "known"):
+            sums = window_sums(part, size)
+            at = np.flatnonzero(np.isin(sums, np.array(known, np.int64)))
+            strong = [strong_of(part[p : p + size]) for p in at.tolist()]
+            yield pa.record_batch([pa.array([path] * len(at), pa.string()), pa.array((at + start).astype(np.int32)), pa.array(sums[at]), pa.array(strong, pa.string())], ["path", "pos", "weak", "strong"])
 
+    found = joined.mapInArrow(likely, "path string, pos int, weak long, strong string")
+    first = full.groupBy("path", "weak", "strong").agg(F.min("block_idx").alias("block_idx"), F.first("block_size").alias("block_size"))
+    return found.join(first, ["path", "weak", "strong"]).select("path", "pos", "block_size", "block_idx")
 
-def tail_match(new: DataFrame, matches: DataFrame, sig: DataFrame, block: int = 700) -> DataFrame:
+
+def select_matches(candidates: DataFrame) -> DataFrame:
+    """Greedy from the left: the matches (path, pos, block_size, block_idx) that do not overlap.
+
+    Where one ends decides about the next, so a path's positions come together: at most one for each byte of a content,
+    which is one value of a row itself.
+    """
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pos, size, kept, k = pdf["pos"].to_numpy(), int(pdf["block_size"].iat[0]), [], 0
+        while k < len(pos):
+            kept.append(k)
+            k = int(np.searchsorted(pos, pos[k] + size))
+        return pdf.iloc[kept]
+
+    return candidates.groupBy("path").applyInPandas(chosen, candidates.schema)
+
+
+def tail_match(new: DataFrame, matches: DataFrame, sig: DataFrame) -> DataFrame:
     """path, pos, block_idx where all that is left after the last match equals a short block."""
-    last = matches.groupBy("path").agg((F.max("pos") + block).alias("pos"))
+    last = matches.groupBy("path").agg(F.max(F.col("pos") + F.col("block_size")).alias("pos"))
     rest = new.join(last, "path", "left").select("path", F.coalesce("pos", F.lit(0)).alias("pos"), "content")
     rest = rest.select("path", "pos", F.substring("content", F.col("pos") + 1, F.octet_length("content")).alias("rest")).where(F.octet_length("rest") > 0)
-    short = sig.where(F.col("len") < block).select("path", "block_idx", "strong", "len")
+    short = sig.where(F.col("len") < F.col("block_size")).select("path", "block_idx", "strong", "len")
     joined = rest.join(short, "path").where((F.octet_length("rest") == F.col("len")) & (strong_hash("rest") == F.col("strong")))
     return joined.groupBy("path", "pos").agg(F.min("block_idx").alias("block_idx"))
 
 
-def encode(old: DataFrame, new: DataFrame, block: int = 700) -> DataFrame:
-    """path, op_seq, op (copy or literal), block_idx, bytes: how to make `new` from `old`.
+def encode(old: DataFrame, new: DataFrame, block: int | None = 700) -> DataFrame:
+    """path, op_seq, op (copy or literal), block_idx, bytes: how to make `new` from `old`; with block=None for blocks whose
+    size follows from each old content's length.
 
-    The matches of a path are one array, and its operations follow from it in a row: no further shuffle or window.
+    The chosen matches of a path are one array, no longer than its content has blocks; its operations follow from it in a row.
     """
+    if block is None:
+        sizes = old.select("path", block_of(old, None).alias("block"))
+        old, new = old.drop("block").join(sizes, "path"), new.drop("block").join(sizes, "path", "left").withColumn("block", F.coalesce("block", block_size_for(F.lit(0))))
     sig = signature(old, block)
-    chosen = _greedy(match_blocks(windows(new, block), sig, new, block), block)
-    short = sig.where(F.col("len") < block).select("path", F.col("block_idx").alias("s_idx"), F.col("strong").alias("s_strong"), F.col("len").alias("s_len"))
-    base = new.join(chosen, "path", "left").join(short, "path", "left").withColumn("n", F.octet_length("content")).withColumn("kept", F.coalesce("kept", F.array().cast(_KEPT)))
-    base = base.withColumn("stop", F.when(F.size("kept") > 0, F.element_at("kept", -1)["pos"] + block).otherwise(0))
-    copy = lambda pos, stop, idx: F.struct(pos.cast("int").alias("pos"), stop.cast("int").alias("stop"), idx.cast("int").alias("idx"))
-    rest = F.substring("content", F.col("stop") + 1, F.col("n") - F.col("stop"))
-    tail = (F.col("n") > F.col("stop")) & (F.col("s_len") == F.col("n") - F.col("stop")) & (F.col("s_strong") == strong_hash(rest))
-    spans = "array<struct<pos:int,stop:int,idx:int>>"
-    copies = F.concat(F.transform("kept", lambda m: copy(m["pos"], m["pos"] + block, m["block_idx"])), F.when(tail, F.array(copy(F.col("stop"), F.col("n"), F.col("s_idx")))).otherwise(F.array().cast(spans)))
-    marked = base.select("path", "content", "n", copies.alias("copies"))
-    end = F.array(copy(F.col("n"), F.col("n"), F.lit(None)))  # where the last literal stops
-    marks = marked.select("path", "content", F.concat("copies", end).alias("marks"))
-    ops = "array<struct<op:string,idx:int,bytes:binary>>"
-
-    def both(mark: Column, k: Column) -> Column:
-        before = F.when(k == 0, F.lit(0)).otherwise(F.get("marks", k - 1)["stop"])
-        literal = F.struct(F.lit("literal").alias("op"), F.lit(None).cast("int").alias("idx"), F.substring("content", before + 1, mark["pos"] - before).alias("bytes"))
-        copied = F.struct(F.lit("copy").alias("op"), mark["idx"].alias("idx"), F.lit(None).cast("binary").alias("bytes"))
-        none = F.array().cast(ops)
-        return F.concat(F.when(mark["pos"] > before, F.array(literal)).otherwise(none), F.when(mark["idx"].isNotNull(), F.array(copied)).otherwise(none))
-
-    every = marks.select("path", F.posexplode(F.flatten(F.transform("marks", both))).alias("op_seq", "o"))
-    return every.select("path", "op_seq", F.col("o.op").alias("op"), F.col("o.idx").alias("block_idx"), F.col("o.bytes").alias("bytes"))
-
-
-def split_ops(old: DataFrame, ops: DataFrame, block: int = 700) -> tuple[DataFrame, DataFrame]:
-    """(entries whose copies all lie within the old content, rejected paths with an error)."""
-    sized = ops.join(old.select("path", F.octet_length("content").alias("n")), "path", "left")
-    beyond = sized.where((F.col("op") == "copy") & (F.col("block_idx") * block >= F.coalesce("n", F.lit(0))))
+    match = F.struct("pos", (F.col("pos") + F.col("block_size")).alias("stop"), F.col("block_idx").alias("idx"))
+    chosen = select_matches(match_blocks(new, sig, block)).groupBy("path").agg(F.array_sort(F.collect_list(match)).alias("kept"))
+    short = sig.where(F.col("len") < F.col("block_size")).select("path", F.struct("block_idx", "strong", "len").alias("short"))
+    joined = new.select("path", "content").join(chosen, "path", "left").join(short, "path", "left")
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content, kept, short in _columns(batches, "path", "content", "kept", "short"):
+            ops, at = [], 0
+            for m in kept or []:
+                if m["pos"] > at:
+                    ops.append(("literal", None, content[at : m["pos"]]))
+                ops.append(("copy", m["idx"], None))
+                at = m["stop"]
+            if rest := content[at:]:
+                tail = short and len(rest) == short["len"] and strong_of(rest) == short["strong"]
+                ops.append(("copy", short["block_idx"], None) if tail else ("literal", None, rest))
+            for k in range(0, len(ops), 10_000):
+                op, idx, data = zip(*ops[k : k + 10_000])
+                yield pa.record_batch([pa.array([path] * len(op)), pa.array(range(k, k + len(op)), pa.int32()), pa.array(op), pa.array(idx, pa.int32()), pa.array(data, pa.binary())], ["path", "op_seq", "op", "block_idx", "bytes"])
+
+    return joined.mapInArrow(coded, "path string, op_seq int, op string, block_idx int, bytes binary")
+
+
+def split_ops(old: DataFrame, ops: DataFrame, block: int | None = 700) -> tuple[DataFrame, DataFrame]:
+    """(entries whose copies all lie within the old content, rejected paths with an error). Block 0 of an empty content is
+    in range, and empty."""
+    sized = ops.join(old.select("path", F.octet_length("content").alias("n"), block_of(old, block).alias("size")), "path", "left")
+    start, n = F.col("block_idx").cast("long") * F.coalesce("size", F.lit(1)), F.coalesce("n", F.lit(0))
+    beyond = sized.where((F.col("op") == "copy") & ((start < 0) | (start >= n) & ~((start == 0) & (n == 0))))
     rejected = beyond.groupBy("path").agg(F.concat(F.lit("copy block "), F.min("block_idx").cast("string"), F.lit(" out of range")).alias("error"))
     return ops.join(rejected.select("path"), "path", "left_anti"), rejected
 
 
-def apply_delta(old: DataFrame, ops: DataFrame, block: int = 700) -> DataFrame:
-    """path, content rebuilt; a copy ends with the old content. Paths without operations are empty and not listed."""
-    good, _ = split_ops(old, ops, block)
-    part = F.when(F.col("op") == "copy", F.substring("content", F.col("block_idx") * block + 1, F.lit(block))).otherwise(F.col("bytes"))
-    parts = good.join(old, "path", "left").select("path", F.struct("op_seq", F.hex(part).alias("h")).alias("p"))
-    joined = parts.groupBy("path").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return joined.select("path", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("content"))
+def apply_delta(old: DataFrame, ops: DataFrame, block: int | None = 700) -> DataFrame:
+    """path, content rebuilt for every path of `old` and `ops` but the rejected ones; a copy ends with the old content, and
+    a path without operations is empty."""
+    good, rejected = split_ops(old, ops, block)
+    listed = good.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("op_seq", "op", "block_idx", "bytes"))).alias("ops"))
+    sized = old.select("path", "content", block_of(old, block).alias("size"))
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content, size, ops in _columns(batches, "path", "content", "size", "ops"):
+            size = size or 0
+            parts = [(content or b"")[o["block_idx"] * size : (o["block_idx"] + 1) * size] if o["op"] == "copy" else o["bytes"] for o in ops]
+            yield pa.record_batch([pa.array([path]), pa.array([b"".join(parts)], pa.binary())], ["path", "content"])
+
+    rebuilt = listed.join(sized, "path", "left").select("path", "content", "size", "ops").mapInArrow(built, "path string, content binary")
+    paths = old.select("path").union(ops.select("path")).distinct().join(rejected.select("path"), "path", "left_anti")
+    return paths.join(rebuilt, "path", "left").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
 
 
 def delta_stats(ops: DataFrame) -> DataFrame:

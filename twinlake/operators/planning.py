@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import depth, mode_bits
@@ -100,6 +100,23 @@ def plan_from_index(src: DataFrame, index: DataFrame, live: DataFrame | None = N
     return joined.select("s.*", action.alias("action"))
 
 
+def indexed_plan(src: DataFrame, dst: DataFrame, index: DataFrame, checksum: bool = False, delete: bool = True) -> DataFrame:
+    """The mirror plan by recorded state: actions from the index, checked against the live destination, and deletions
+    from the live destination alone."""
+    columns = [c for c in src.columns if c in dst.columns]
+    plan = plan_from_index(src, index, dst, checksum).select(*columns, "action")
+    if delete:
+        plan = plan.union(dst.join(src.select("path"), "path", "left_anti").select(*columns, F.lit("delete")))
+    return plan.withColumn("depth", depth("path"))
+
+
+def requested(src: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the entries that were asked for, an error row for each path asked for that the source does not have)."""
+    wanted = paths.select("path").distinct()
+    missing = wanted.join(src.select("path"), "path", "left_anti").select("path", F.lit("not found at the source").alias("error"))
+    return src.join(wanted, "path", "left_semi"), missing
+
+
 def transfer_plan(src: DataFrame, dst: DataFrame, whole_file: bool = False, checksum: bool = False) -> DataFrame:
     """How each source file is sent: skip (same length and time to the nanosecond), delta (dst has a file) or whole."""
     existing = F.coalesce(_c("d", "kind") == "file", F.lit(False))
@@ -113,18 +130,30 @@ def guard_empty(src: DataFrame, delete: bool) -> None:
         raise EmptySourceError("the source is empty; refusing to delete everything")
 
 
-def apply_order(plan: DataFrame) -> DataFrame:
-    """phase and depth columns, in the order of application (SRT-3): dirs, files, hard links, symlinks, deletions."""
+def apply_phases(plan: DataFrame) -> DataFrame:
+    """phase and depth columns (SRT-3): dirs 0, files 1, hard links 2, symlinks 3, deletions 4."""
     linked = plan.where("kind = 'file' AND action != 'delete' AND dev IS NOT NULL AND ino IS NOT NULL")
     first = linked.groupBy(F.col("dev").alias("g_dev"), F.col("ino").alias("g_ino")).agg(F.min(F.split("path", "/")).alias("first"), F.count("*").alias("members")).where("members > 1")
     joined = plan.join(first, (F.col("dev") == F.col("g_dev")) & (F.col("ino") == F.col("g_ino")), "left")
     later = F.col("first").isNotNull() & (F.split("path", "/") != F.col("first"))
     phase = F.when(F.col("action") == "delete", 4).when(F.col("kind") == "dir", 0).when(F.col("kind") == "symlink", 3).when(later, 2).otherwise(1)
-    out = joined.select(*[c for c in plan.columns if c not in ("phase", "depth")], phase.alias("phase"), depth("path").alias("depth"))
-    return out.orderBy("phase", F.when(F.col("phase") == 4, -F.col("depth")).otherwise(F.col("depth")), F.split("path", "/"))
+    return joined.select(*[c for c in plan.columns if c not in ("phase", "depth")], phase.alias("phase"), depth("path").alias("depth"))
+
+
+def apply_keys() -> list[Column]:
+    """The order of application: phases, parents before children, deletions deepest first, then by path."""
+    return [F.col("phase"), F.when(F.col("phase") == 4, -F.col("depth")).otherwise(F.col("depth")), F.split("path", "/")]
+
+
+def apply_order(plan: DataFrame) -> DataFrame:
+    """apply_phases() sorted by apply_keys()."""
+    return apply_phases(plan).orderBy(*apply_keys())
 
 
 def canonical_members(entries: DataFrame) -> DataFrame:
-    """Each file with the first path of its (dev, ino) group (WIN-2)."""
-    w = Window.partitionBy("dev", "ino").orderBy(F.split("path", "/"))
-    return entries.where("kind = 'file'").withColumn("canonical", F.first_value("path").over(w))
+    """Each file with the first path of its (dev, ino) group (WIN-2): a partial aggregate joined back, so a group may be
+    of any size; a file without dev or ino is its own."""
+    files = entries.where("kind = 'file'")
+    first = files.where("dev IS NOT NULL AND ino IS NOT NULL").groupBy(F.col("dev").alias("g_dev"), F.col("ino").alias("g_ino")).agg(F.min(F.split("path", "/")).alias("first"))
+    joined = files.join(first, (F.col("dev") == F.col("g_dev")) & (F.col("ino") == F.col("g_ino")), "left")
+    return joined.select(*entries.columns, F.coalesce(F.array_join("first", "/"), "path").alias("canonical"))

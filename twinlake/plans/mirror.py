@@ -1,15 +1,18 @@
-"""Applying plans and whole runs (APL-1 to APL-7, PLN-11, SNK-2, VFY-2)."""
+"""Applying plans and whole runs (APL-1 to APL-7, PLN-11, SNK-2, STR-1, VFY-2)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import safe_mode
 from ..operators import aggregates, compare, filters, planning
+from ..operators import index as index_ops
 from ..sources.snapshots import publish, read_published
+from ..streaming.watch import relevant_paths, watch
 from .options import Options
 
 
@@ -80,12 +83,15 @@ class Run:
     persist_index: bool
 
 
-def mirror(src: DataFrame, dst: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(plan, destination afterwards, error rows); nothing is written here, so a dry run stops at the plan."""
+def mirror(src: DataFrame, dst: DataFrame, opts: Options, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plan, destination afterwards, error rows); nothing is written here, so a dry run stops at the plan.
+
+    With an index, what is recorded decides about unchanged entries.
+    """
     planning.guard_empty(src, opts.delete)
     rules = filters.rules_of(opts.rules)
     src, dst = (filters.apply_rules(filters.drop_reserved(x, opts.reserved), rules) for x in (src, dst))
-    plan = planning.mirror_plan(src, dst, opts.checksum, opts.delete)
+    plan = planning.mirror_plan(src, dst, opts.checksum, opts.delete) if index is None else planning.indexed_plan(src, dst, index, opts.checksum, opts.delete)
     if opts.hard_links:
         plan = planning.enforce_links(plan, dst)
     ok, errors = split_failures(plan)
@@ -102,20 +108,55 @@ def finish(plan: DataFrame, mismatches: DataFrame, errors: DataFrame, opts: Opti
     return Run("success" if clean else "failed", stats, wrong, failed, clean and not opts.dry_run and (stats["deletions"] == 0 or (opts.delete and opts.yes)))
 
 
-def sync(spark: SparkSession, source: str, target: str, opts: Options, role: str = "push") -> Run:
-    """Mirrors a published snapshot into another one; role pull swaps the sides."""
+def dry_run(src: DataFrame, dst: DataFrame, opts: Options, run_id: str = "dry-run") -> tuple[DataFrame, DataFrame]:
+    """(statistics, events) of what a run would do, a planned event per entry and a deleted one per deletion."""
+    plan, _, _ = mirror(src, dst, replace(opts, dry_run=True))
+    count = lambda action: F.count_if(F.col("action") == action)
+    moved = (F.col("kind") == "file") & F.col("action").isin("copy", "update")
+    size = F.when(moved, F.col("len")).otherwise(0)
+    stats = plan.agg(count("copy").alias("copied"), count("update").alias("updated"), count("skip").alias("skipped"), count("delete").alias("deleted"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    event = F.when(F.col("action") == "delete", "deleted").otherwise("planned")
+    return stats, plan.select(F.lit(run_id).alias("run_id"), event.alias("event"), "path", "action", size.cast("long").alias("bytes"))
+
+
+def sync(spark: SparkSession, source: str, target: str, opts: Options, role: str = "push", index_dir: str | None = None) -> Run:
+    """Mirrors a published snapshot into another one; role pull swaps the sides.
+
+    With `index_dir`, a recorded state there speeds up the plan, and a run without fault brings it up to date.
+    """
     source, target = (source, target) if role == "push" else (target, source)
     src = read_published(spark, source)
     try:
         dst = read_published(spark, target)
     except FileNotFoundError:
         dst = src.limit(0)
-    plan, after, errors = mirror(src, dst, opts)
+    plan, after, errors = mirror(src, dst, opts, index_ops.try_load_index(spark, index_dir) if index_dir else None)
     if not opts.dry_run:
         publish(after, target)
         after = read_published(spark, target)
     mismatches = compare.verify(src, after, "none" if opts.dry_run else opts.verify, plan, opts.tolerance_s)
-    return finish(plan, mismatches, errors, opts)
+    run = finish(plan, mismatches, errors, opts)
+    if index_dir and run.persist_index:
+        index_ops.persist_after_plan(plan, after, index_dir, opts.checksum)
+    return run
+
+
+def mirror_on_changes(changes: DataFrame, source: str, target: str, opts: Options, checkpoint: str, index_dir: str | None = None, errors: str | None = None, once: bool = True) -> StreamingQuery:
+    """STR-1: a sync at the start, then one for each micro-batch of changes (path) outside the reserved folder.
+
+    A micro-batch is a burst: its trigger, or the rate caps of changes_stream(), gather what comes together. A cycle
+    that fails is logged in `errors`, and the stream goes on.
+    """
+    if opts.dry_run:
+        raise ValueError("a continuous mirror cannot be a dry run")
+    spark = changes.sparkSession
+    sync(spark, source, target, opts, index_dir=index_dir)
+
+    def cycle(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            sync(batch.sparkSession, source, target, opts, index_dir=index_dir)
+
+    return watch(relevant_paths(changes, opts.reserved), cycle, checkpoint, errors, once)
 
 
 def run_report(events: DataFrame, mismatches: DataFrame, part_seqs: int = 10_000) -> DataFrame:
@@ -123,14 +164,18 @@ def run_report(events: DataFrame, mismatches: DataFrame, part_seqs: int = 10_000
     of their parts; then a document per part with all its errors and phase marks.
 
     A part is a range of `part_seqs` sequence numbers, which are unique in a run: it is bounded, and no run is gathered whole.
+    Mismatches (path, detail) count for their run_id if they have one, else for every run.
     """
     stats = aggregates.run_stats(events)
     logged = events.where("event != 'done'").withColumn("part", F.floor(F.col("seq") / part_seqs))
     log = logged.groupBy("run_id", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "event", "phase", "path"))).alias("events"))
     sizes = logged.groupBy("run_id", "part").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.sum("n").alias("n_events"), F.count("*").alias("parts"))
     times = aggregates.phase_timings(events).groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("phase", "ms")))).alias("timings"))
-    wrong = mismatches.agg(F.count("*").alias("mismatches"))  # one row
-    joined = stats.join(times, "run_id", "left").join(sizes, "run_id", "left").crossJoin(F.broadcast(wrong))
+    joined = stats.join(times, "run_id", "left").join(sizes, "run_id", "left")
+    if "run_id" in mismatches.columns:
+        joined = joined.join(mismatches.groupBy("run_id").agg(F.count("*").alias("mismatches")), "run_id", "left").na.fill(0, ["mismatches"])
+    else:
+        joined = joined.crossJoin(F.broadcast(mismatches.agg(F.count("*").alias("mismatches"))))  # one row
     status = F.when((F.col("errors") == 0) & (F.col("mismatches") == 0), "success").otherwise("failed")
     summary = F.struct("copied", "updated", "skipped", "deleted", "errors", "bytes")
     count = lambda c, name: F.coalesce(F.col(c), F.lit(0)).alias(name)

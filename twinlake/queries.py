@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .fixtures import BENCH_SQL, BYTES_SQL, CHECKSUM_SQL, CONTENTS_SQL, JOURNAL_SQL, QUICK_SQL, RUN_EVENTS_SQL, SNAPSHOTS_SQL, plan_sql
+from .fixtures import BENCH_SQL, CHECKSUM_SQL, CONTENTS_SQL, JOURNAL_SQL, QUICK_SQL, RUN_EVENTS_SQL, SNAPSHOTS_SQL, plan_sql
 from .functions import paths
 from .functions.globs import glob_match
 from .operators import aggregates, compare, delta, filters, index, planning
@@ -298,28 +299,25 @@ def _(spark, d):
     return aggregates.progress(fx.run_events(spark, d)).withColumns({c: F.round(c, 9) for c in ("file_ratio", "byte_ratio")})
 
 
-def _place(down: bool):
-    """The place within a directory, in path order or against it."""
-    by = F.split("path", "/")
-    return F.row_number().over(Window.partitionBy(paths.parent("path")).orderBy(by.desc() if down else by.asc())).cast("long").alias("place")
-
-
-_PARENT_SQL = "PARTITION BY regexp_replace(path, '/?[^/]*$', '')"
-
-
-@over_snapshots("srt1_path_order", f"SELECT path, row_number() OVER ({_PARENT_SQL} ORDER BY string_split(path, '/')) AS place FROM src")
+@over_snapshots("srt1_path_order", "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM src")
 def _(s, d):
-    return compare.path_order(s).select("path", _place(False))
+    return compare.places(s.select("path"), paths.components("path"))
 
 
-@over_snapshots("srt2_deepest_first", f"SELECT path, row_number() OVER ({_PARENT_SQL} ORDER BY string_split(path, '/') DESC) AS place FROM dst WHERE path NOT IN (SELECT path FROM src)")
+@over_snapshots("srt2_deepest_first", "SELECT path, row_number() OVER (ORDER BY string_split(path, '/') DESC) AS place FROM dst WHERE path NOT IN (SELECT path FROM src)")
 def _(s, d):
-    return planning.deletions(s, d).select("path", _place(True))
+    return compare.places(d.select("path").join(s.select("path"), "path", "left_anti"), paths.components("path"), down=True)
 
 
-@over_plan("srt3_apply_order", "SELECT p.path, CASE WHEN action = 'delete' THEN 4 WHEN g.first IS NOT NULL AND p.path <> g.first THEN 2 ELSE 1 END AS phase, len(string_split(p.path, '/')) AS depth FROM plan p LEFT JOIN (SELECT ino, array_to_string(min(string_split(path, '/')), '/') AS first FROM plan WHERE action <> 'delete' GROUP BY ino HAVING count(*) > 1) g ON p.ino = g.ino")
+@over_plan(
+    "srt3_apply_order",
+    """SELECT path, phase, depth, row_number() OVER (ORDER BY phase, CASE WHEN phase = 4 THEN -depth ELSE depth END, string_split(path, '/')) AS place FROM (
+  SELECT p.path, CASE WHEN action = 'delete' THEN 4 WHEN g.first IS NOT NULL AND p.path <> g.first THEN 2 ELSE 1 END AS phase, len(string_split(p.path, '/')) AS depth
+  FROM plan p LEFT JOIN (SELECT ino, array_to_string(min(string_split(path, '/')), '/') AS first FROM plan WHERE action <> 'delete' GROUP BY ino HAVING count(*) > 1) g ON p.ino = g.ino) x""",
+)
 def _(plan):
-    return planning.apply_order(plan).select("path", F.col("phase").cast("int").alias("phase"), F.col("depth").cast("long").alias("depth"))
+    ordered = compare.places(planning.apply_phases(plan), *planning.apply_keys())
+    return ordered.select("path", F.col("phase").cast("int").alias("phase"), F.col("depth").cast("long").alias("depth"), "place")
 
 
 @query("srt4_log_tail", f"WITH {RUN_EVENTS_SQL} SELECT run_id, seq, path FROM re WHERE event = 'done' AND contains(path, 'purchase') ORDER BY seq DESC LIMIT 50")
@@ -400,73 +398,75 @@ def _(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", paths.strong_hash("text").alias("strong"))
 
 
-# Block delta: all files at both sides, or, where there is SQL, those whose length differs
+# Block delta of all files at both sides
 
+_DELTA = f"WITH RECURSIVE {SNAPSHOTS_SQL}, {CONTENTS_SQL}, {fx.delta_sql()}"
 
-@query("dlt1_signature", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL} SELECT path, count(*) AS n FROM (SELECT path, unnest(range(0, CAST(ceil(strlen(old) / 700.0) AS BIGINT))) AS b FROM pairs) x GROUP BY path")
+
+@query("dlt1_signature", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL} SELECT path, CAST(b AS INTEGER) AS block_idx, substr(sha256(unhex(substr(hex(old), 1400 * b + 1, 1400))), 1, 32) AS strong FROM (SELECT path, old, unnest(range(0, CAST(ceil(strlen(old) / 700.0) AS BIGINT))) AS b FROM pairs) x")
 def _(spark, d):
-    return delta.signature(fx.contents(spark, d)[0]).groupBy("path").agg(F.count("*").alias("n"))
+    return delta.signature(fx.contents(spark, d)[0]).select("path", "block_idx", "strong")
 
 
-@query(
-    "dlt1_weak",
-    f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL}, {BYTES_SQL}, b AS (SELECT path, pos // 700 AS block_idx, least(700, max(n) - pos // 700 * 700) AS len, sum(v) AS a, sum((least(700, n - pos // 700 * 700) - pos % 700) * v) AS b FROM old_bytes GROUP BY path, pos // 700) SELECT path, CAST(block_idx AS INTEGER) AS block_idx, CAST(len AS INTEGER) AS len, CAST(a % 65536 + (b % 65536) * 65536 AS BIGINT) AS weak FROM b",
-)
+@query("dlt1_weak", f"{_DELTA} SELECT path, CAST(block_idx AS INTEGER) AS block_idx, CAST(len AS INTEGER) AS len, weak FROM blocks")
 def _(spark, d):
     return delta.signature(fx.contents(spark, d)[0]).select("path", "block_idx", "len", "weak")
 
 
-@query(
-    "win1_rolling_checksum",
-    f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL}, {BYTES_SQL}, s AS (SELECT path, pos, sum(v) OVER w AS s1, sum(pos * v) OVER w AS s2 FROM new_bytes WINDOW w AS (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
-    "d AS (SELECT path, pos, s1 - coalesce(lag(s1, 700) OVER o, 0) AS a, s2 - coalesce(lag(s2, 700) OVER o, 0) AS j FROM s WINDOW o AS (PARTITION BY path ORDER BY pos)) "
-    "SELECT path, count(*) AS windows, CAST(sum(a % 65536 + (((pos + 1) * a - j) % 65536) * 65536) AS BIGINT) AS weak_sum FROM d WHERE pos >= 699 GROUP BY path",
-)
+@query("dlt1_auto_blocks", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL}, sized AS (SELECT path, strlen(old) AS n, greatest(700, least(131072, CAST(round(sqrt(strlen(old))) AS BIGINT))) AS size FROM pairs) SELECT path, CAST(size AS INTEGER) AS block_size, (n + size - 1) // size AS blocks, (n - 1) % size + 1 AS last_len FROM sized WHERE n > 0")
 def _(spark, d):
-    return delta.windows(fx.contents(spark, d)[1]).groupBy("path").agg(F.count("*").alias("windows"), F.sum("weak").alias("weak_sum"))
+    sig = delta.signature(fx.contents(spark, d)[0], None)
+    return sig.groupBy("path", "block_size").agg(F.count("*").alias("blocks"), F.max_by("len", "block_idx").cast("long").alias("last_len"))
 
 
-@query("dlt3_matches")
+@query("win1_rolling_checksum", f"{_DELTA} SELECT path, count(*) AS windows, CAST(sum(weak) AS BIGINT) AS weak_sum, CAST(sum((pos + 1) * (weak % 1009)) AS BIGINT) AS placed FROM wins GROUP BY path")
 def _(spark, d):
-    old, new = fx.delta_pairs(spark, d)
-    return delta.match_blocks(delta.windows(new), delta.signature(old), new)
+    placed = (F.col("pos") + 1) * F.pmod("weak", F.lit(1009))
+    return delta.windows(fx.contents(spark, d)[1]).groupBy("path").agg(F.count("*").alias("windows"), F.sum("weak").alias("weak_sum"), F.sum(placed).alias("placed"))
 
 
-@query("dlt4_selected")
+@query("dlt3_matches", f"{_DELTA} SELECT path, CAST(pos AS INTEGER) AS pos, CAST(block_idx AS INTEGER) AS block_idx FROM cand")
 def _(spark, d):
-    old, new = fx.delta_pairs(spark, d)
-    return delta.select_matches(delta.match_blocks(delta.windows(new), delta.signature(old), new))
+    old, new = fx.contents(spark, d)
+    return delta.match_blocks(new, delta.signature(old)).select("path", "pos", "block_idx")
+
+
+@query("dlt4_selected", f"{_DELTA} SELECT path, CAST(pos AS INTEGER) AS pos, CAST(block_idx AS INTEGER) AS block_idx FROM chosen")
+def _(spark, d):
+    old, new = fx.contents(spark, d)
+    return delta.select_matches(delta.match_blocks(new, delta.signature(old))).select("path", "pos", "block_idx")
 
 
-@query("dlt5_tails")
+@query("dlt5_tails", f"WITH RECURSIVE {SNAPSHOTS_SQL}, {CONTENTS_SQL}, {fx.delta_sql('new', chr(39) + '12345' + chr(39) + ' || new')} SELECT path, CAST(pos AS INTEGER) AS pos, CAST(block_idx AS INTEGER) AS block_idx FROM tails")
 def _(spark, d):
-    old = fx.delta_pairs(spark, d)[1]
+    old = fx.contents(spark, d)[1]
     new = old.select("path", F.concat(F.lit(b"12345"), "content").alias("content"))
     sig = delta.signature(old)
-    return delta.tail_match(new, delta.select_matches(delta.match_blocks(delta.windows(new), sig, new)), sig)
+    return delta.tail_match(new, delta.select_matches(delta.match_blocks(new, sig)), sig)
 
 
-@query("dlt6_ops")
+@query("dlt6_ops", f"{_DELTA} SELECT path, op_seq, op, block_idx, n FROM ops")
 def _(spark, d):
-    return delta.encode(*fx.delta_pairs(spark, d)).select("path", "op_seq", "op", "block_idx", F.octet_length("bytes").alias("n"))
+    return delta.encode(*fx.contents(spark, d)).select("path", "op_seq", "op", "block_idx", F.octet_length("bytes").alias("n"))
 
 
-@query("dlt7_rebuilt", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL} SELECT path, sha256(new) AS hash FROM pairs WHERE new <> ''")
+@query("dlt7_rebuilt", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL} SELECT path, sha256(new) AS hash FROM pairs")
 def _(spark, d):
     old, new = fx.contents(spark, d)
-    return delta.apply_delta(old, delta.encode(old, new)).select("path", F.sha2("content", 256).alias("hash"))
+    return delta.apply_delta(old, delta.encode(old, new, None), None).select("path", F.sha2("content", 256).alias("hash"))
 
 
-@query("dlt8_rejected", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL} SELECT path, 'copy block 100000 out of range' AS error FROM pairs")
+@query("dlt8_rejected", f"WITH {SNAPSHOTS_SQL}, {CONTENTS_SQL}, asked AS (SELECT path, strlen(old) AS n, strlen(new) % 7 AS b FROM pairs) SELECT path, 'copy block ' || CAST(b AS VARCHAR) || ' out of range' AS error FROM asked WHERE b * 700 >= n AND NOT (b = 0 AND n = 0)")
 def _(spark, d):
-    old, _new = fx.contents(spark, d)
-    ops = old.select("path", F.lit(0).alias("op_seq"), F.lit("copy").alias("op"), F.lit(100000).alias("block_idx"), F.lit(None).cast("binary").alias("bytes"))
+    old, new = fx.contents(spark, d)
+    block = F.pmod(F.octet_length("content"), F.lit(7)).cast("int")
+    ops = new.select("path", F.lit(0).alias("op_seq"), F.lit("copy").alias("op"), block.alias("block_idx"), F.lit(None).cast("binary").alias("bytes"))
     return delta.split_ops(old, ops)[1]
 
 
-@query("dlt9_stats")
+@query("dlt9_stats", f"{_DELTA} SELECT path, CAST(coalesce(sum(n), 0) AS BIGINT) AS literal_bytes, count(*) FILTER (op = 'copy') AS copies, count(*) FILTER (op = 'literal') AS literals, CAST(count(*) FILTER (op = 'copy') AS DOUBLE) / count(*) AS reuse FROM ops GROUP BY path")
 def _(spark, d):
-    return delta.delta_stats(delta.encode(*fx.delta_pairs(spark, d)))
+    return delta.delta_stats(delta.encode(*fx.contents(spark, d)))
 
 
 # Index
@@ -490,7 +490,40 @@ def _(spark, d):
 
 @over_snapshots("idx4_journal_records", "SELECT path, CASE WHEN action = 'delete' THEN 'delete' ELSE 'upsert' END AS op FROM plan WHERE action IN ('copy', 'update') OR (action = 'delete' AND path LIKE '%1.txt')", plan_sql())
 def _(s, d):
-    return index.journal_records(planning.mirror_plan(s, d), d.where("path LIKE '%1.txt'"))
+    return index.journal_records(planning.mirror_plan(s, d), d.where("path LIKE '%1.txt'")).select("path", "op")
+
+
+@over_snapshots("idx5_compacted", f"SELECT path, kind, len, mtime_ns, mode FROM src", plan_sql())
+def _(s, d):
+    """The destination's index, two rounds of changes behind it (the first is overruled), and compaction."""
+    at = f"{snapshots.shared_dir(s.sparkSession)}/index-{uuid.uuid4().hex}"
+    index.save_index(index.build_index(d), at)
+    plan = planning.mirror_plan(s, d)
+    turned = plan.where("action = 'skip'").select("path", F.lit("delete").alias("op"), F.lit("").alias("record"))
+    index.append_journal(turned, at)
+    index.append_journal(index.as_records(s).select("path", F.lit("upsert").alias("op"), "record"), at)
+    index.append_journal(index.journal_records(plan, d).where("op = 'delete'"), at)
+    index.compact(s.sparkSession, at)
+    return index.try_load_index(s.sparkSession, at).select("path", "kind", "len", "mtime_ns", "mode")
+
+
+_VERSIONED = "s.kind = d.kind AND s.len = d.len AND s.mtime_s = d.mtime_s AND s.mtime_ns = d.mtime_ns AND (s.mode & 4095) = (d.mode & 4095)"
+
+
+@over_snapshots(
+    "idx6_versions",
+    f"SELECT coalesce(s.path, d.path) AS path, v.version, CASE WHEN s.path IS NULL THEN 'delete' WHEN d.path IS NULL THEN 'copy' WHEN v.version = 3 AND {_VERSIONED} THEN 'skip' WHEN v.version = 2 AND s.kind = d.kind AND NOT ({QUICK_SQL}) THEN 'skip' ELSE 'update' END AS action FROM src s FULL OUTER JOIN dst d ON s.path = d.path CROSS JOIN (VALUES (2), (3)) v(version)",
+)
+def _(s, d):
+    """Plans by an index of another version (a full plan) and by one of this version (recorded state, in nanoseconds)."""
+    spark, made = s.sparkSession, []
+    for version in (2, 3):
+        at = f"{snapshots.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.save_index(index.build_index(d).withColumn("version", F.lit(version)), at)
+        known = index.try_load_index(spark, at)
+        plan = planning.mirror_plan(s, d) if known is None else planning.indexed_plan(s, d, known)
+        made.append(plan.select("path", F.lit(version).alias("version"), "action"))
+    return made[0].union(made[1])
 
 
 @query("str8_merge", f"WITH {JOURNAL_SQL} SELECT path, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(record, seq) AS record FROM journal GROUP BY path")
@@ -511,9 +544,19 @@ def _(s, d):
     return mirror.mirror(s, d, _approved())[1].select("path", "kind", "len", "mtime_s")
 
 
-@over_snapshots("apl2_dry_run", "SELECT path, kind, len, mtime_s FROM dst")
+@over_snapshots("apl2_dry_run", "SELECT CASE WHEN action = 'delete' THEN 'deleted' ELSE 'planned' END AS event, path, action, CASE WHEN kind = 'file' AND action IN ('copy', 'update') THEN len ELSE 0 END AS bytes FROM plan", plan_sql())
+def _(s, d):
+    return mirror.dry_run(s, d, Options(delete=True, yes=True))[1].select("event", "path", "action", "bytes")
+
+
+@over_snapshots("apl2_dry_stats", "SELECT count(*) FILTER (action = 'copy') AS copied, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'delete') AS deleted, CAST(sum(CASE WHEN kind = 'file' AND action IN ('copy', 'update') THEN len ELSE 0 END) AS BIGINT) AS bytes FROM plan", plan_sql())
 def _(s, d):
-    return mirror.mirror(s, d, Options(dry_run=True))[1].select("path", "kind", "len", "mtime_s")
+    return mirror.dry_run(s, d, Options(delete=True, yes=True))[0]
+
+
+@over_snapshots("pln11_requested", "SELECT path, 'not found at the source' AS error FROM dst WHERE path NOT IN (SELECT path FROM src)")
+def _(s, d):
+    return planning.requested(s, d)[1]
 
 
 @over_snapshots("apl3_deletes_kept", "SELECT path FROM src UNION SELECT path FROM dst")
@@ -537,10 +580,22 @@ def _(s, d):
     return mirror.mirror(unread, d.limit(0), Options())[2]
 
 
-@query("snk2_report")
+@query(
+    "snk2_report",
+    f"""WITH {RUN_EVENTS_SQL}, wrong AS (SELECT 'run-' || CAST(user_id % 16 AS VARCHAR) AS run_id, count(*) AS mismatches FROM events WHERE event_type = 'error' GROUP BY 1),
+log AS (SELECT run_id, seq // 10000 AS part, count(*) AS n, min(seq) AS first FROM re WHERE event <> 'done' GROUP BY 1, 2)
+SELECT s.run_id, NULL AS part, CASE WHEN s.errors = 0 AND coalesce(w.mismatches, 0) = 0 THEN 'success' ELSE 'failed' END AS status, s.copied, s.errors, coalesce(w.mismatches, 0) AS mismatches, (SELECT CAST(sum(n) AS BIGINT) FROM log l WHERE l.run_id = s.run_id) AS events, (SELECT count(*) FROM log l WHERE l.run_id = s.run_id) AS parts, NULL AS first
+FROM (SELECT run_id, {_STATS_SQL} FROM re GROUP BY run_id) s LEFT JOIN wrong w ON w.run_id = s.run_id
+UNION ALL SELECT run_id, part, NULL, NULL, NULL, NULL, n, NULL, first FROM log""",
+)
 def _(spark, d):
-    none = spark.createDataFrame([], "path string, detail string")
-    return mirror.run_report(fx.run_events(spark, d), none)
+    """The reports, their JSON read back; error events stand for mismatches found by verification."""
+    wrong = fx.table(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("run-"), F.pmod("user_id", F.lit(16)).cast("string")).alias("run_id"), F.lit("p").alias("path"), F.lit("content differs").alias("detail"))
+    report = mirror.run_report(fx.run_events(spark, d), wrong)
+    schema = "status string, summary struct<copied:long,errors:long>, mismatches long, n_events long, event_parts long, events array<struct<seq:long>>"
+    r = report.select("run_id", "part", F.from_json("report", schema).alias("r"))
+    events = F.coalesce("r.n_events", F.when(F.col("r.events").isNotNull(), F.size("r.events")).cast("long"))
+    return r.select("run_id", "part", "r.status", "r.summary.copied", "r.summary.errors", "r.mismatches", events.alias("events"), F.col("r.event_parts").alias("parts"), F.col("r.events")[0]["seq"].alias("first"))
 
 
 # Streaming operators, as batches
@@ -574,8 +629,3 @@ def _(spark, d):
 @query("str6_live_state", f"WITH {RUN_EVENTS_SQL} SELECT run_id, count(*) FILTER (event = 'done') AS files_done, CAST(sum(CASE WHEN event = 'done' THEN bytes ELSE 0 END) AS BIGINT) AS bytes_done, {_STATS_SQL}, arg_max(phase, seq) FILTER (event = 'phase') AS phase FROM re GROUP BY run_id")
 def _(spark, d):
     return watch.live_run_state(fx.run_events(spark, d))
-
-
-@query("relevant_paths", f"WITH {RUN_EVENTS_SQL} SELECT run_id, seq FROM re WHERE NOT (path = 'u/7' OR path LIKE 'u/7/%')")
-def _(spark, d):
-    return watch.relevant_paths(fx.run_events(spark, d), "u/7").select("run_id", "seq")

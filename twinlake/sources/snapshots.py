@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,8 +63,12 @@ def read_path_list(spark: SparkSession, file: str, max_lines: int = 1_000_000) -
 
 
 def entries_from_table(df: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
-    """A keyed table as entries: the path from its keys, the hash from its payload."""
-    return df.select(F.concat_ws("/", *keys).alias("path"), F.lit("file").alias("kind"), F.sha2(F.to_json(F.struct(*payload)), 256).alias("hash"))
+    """A keyed table as entries: the path from its keys, the hash from its payload.
+
+    Within a key '%' and '/' are escaped, and a null key is '%N', so different keys have different paths.
+    """
+    part = lambda k: F.coalesce(F.replace(F.replace(F.col(k).cast("string"), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("%N"))
+    return df.select(F.concat_ws("/", *map(part, keys)).alias("path"), F.lit("file").alias("kind"), F.sha2(F.to_json(F.struct(*payload)), 256).alias("hash"))
 
 
 def read_bench(spark: SparkSession, path: str) -> DataFrame:
@@ -80,30 +85,87 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def _pointers(spark: SparkSession, target: str) -> list:
+    """Pointers set aside while a new one was put in place, newest first: more than none only behind a broken switch."""
+    fs, _ = _fs(spark, target)
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/old-*")) or []
+    return [s.getPath() for s in sorted(found, key=lambda s: -s.getModificationTime())]
+
+
 def publish(df: DataFrame, target: str) -> str:
-    """Writes a new version beside the others and switches the pointer by renaming it; readers see old or new."""
+    """Writes a new version beside the others and switches the pointer by renaming it; readers see old or new.
+
+    The version that was current stays for those who still read it; older ones, and what broken runs left, go.
+    """
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{target}/v-{version}")
     staged = f"{target}/staged-{version}"
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(staged)
-    fs, at = _fs(spark, target)
+    fs, _ = _fs(spark, target)
     path = spark._jvm.org.apache.hadoop.fs.Path
     current, old = path(f"{target}/current"), path(f"{target}/old-{version}")
+    try:
+        before = current_version(spark, target)
+    except FileNotFoundError:
+        before = version
     if fs.exists(current):
         fs.rename(current, old)
     if not fs.rename(path(staged), current):
         raise OSError(f"cannot switch {target} to {version}")
-    fs.delete(old, True)
+    for pattern in ("old-*", "staged-*", "v-*"):
+        for status in fs.globStatus(path(f"{target}/{pattern}")) or []:
+            if status.getPath().getName() not in (f"v-{version}", f"v-{before}"):
+                fs.delete(status.getPath(), True)
     return version
 
 
-def read_published(spark: SparkSession, target: str) -> DataFrame:
+def current_version(spark: SparkSession, target: str) -> str:
     """The version the pointer names; while it is being switched, the one it named before."""
     fs, at = _fs(spark, f"{target}/current")
     if not fs.exists(at):
-        olds = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/old-*"))
+        olds = _pointers(spark, target)
         if not olds:
             raise FileNotFoundError(target)
-        at = olds[0].getPath()
-    version = spark.read.text(at.toString()).first()["value"]
-    return spark.read.parquet(f"{target}/v-{version}")
+        at = olds[0]
+    return spark.read.text(at.toString()).first()["value"]
+
+
+def read_published(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(f"{target}/v-{current_version(spark, target)}")
+
+
+def published_bytes(spark: SparkSession, target: str) -> int:
+    """Stored bytes of the current version alone; 0 where there is none."""
+    try:
+        return stored_bytes(spark, f"{target}/v-{current_version(spark, target)}")
+    except FileNotFoundError:
+        return 0
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, local sessions get one for the application; a
+    cluster has no folder that all its machines share, and the job stops."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        at = _OWN[app]
+    return at.rstrip("/")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: what follows sees one fixed result."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
