@@ -1,13 +1,11 @@
 """Operators for preparing language-model training data; nothing else in the library imports this subpackage."""
 
+from .registry import ORACLE_SQL, QUERIES
 
-def queries() -> dict:
-    from .registry import QUERIES
 
+def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from .registry import ORACLE_SQL
-
     return dict(ORACLE_SQL)

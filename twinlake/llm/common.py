@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,19 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), one local folder for the application."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        at = _OWN[app]
-    return at.rstrip("/")
+from ..sources.snapshots import shared_dir
 
 
 class Scratch:
