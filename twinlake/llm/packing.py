@@ -1,11 +1,14 @@
 """Operator 9: packing token sequences with the sum-of-squares rule.
 
-Each task reads its part of the documents in order, encodes them and packs the pieces online: among the fill
-levels that have room, a piece goes to the one that leaves the smallest sum of squared counts of partially
-filled windows, counted in an array by level. Nothing is shuffled and no task sees another's documents.
+Each task reads its part of the documents in order, encodes them and packs the pieces online: a piece goes where it
+leaves the smallest sum of squared counts of partially filled windows, counted in an array by fill level. It may go whole
+into a window with room or into a new one; or it may be cut, to fill a window exactly while the rest is placed by the
+same rule, at a price of `cut_price` squares, so documents stay whole where the levels are balanced. The price also bounds
+what is open: a level that holds many windows makes cuts cheaper than one more. Nothing is shuffled, and no task sees
+another's documents.
 
-Windows still partly filled when a task ends (or when they hold over `max_open` ids) are closed out: their ids
-flow, in order, into full windows, with a cut where one is full; so a task leaves one window short at most.
+When a task ends, cuts are free and no window is opened while another is: the emptiest window is taken apart and its
+pieces are placed by the same rule, until one is left; so a task leaves one window short at most.
 
 Defined results: a null text is empty and yields just the end id; documents longer than a window fill whole
 windows first; repeated rows are packed as often as they occur; an empty table gives no pieces; extra columns
@@ -30,69 +33,78 @@ from .tokens import ChunkIds, worker
 W = 4
 
 
+_NEVER = 1 << 60
+
+
 class SumOfSquares:
-    """Windows of one task. A piece is (key, start, ids, document's tokens); finish() yields closed windows."""
+    """Windows of one task. A piece is (key, start, ids, document's tokens); add() and finish() yield closed windows."""
 
-    def __init__(self, capacity: int, max_open: int = 4_000_000):
-        self.capacity, self.max_open = capacity, max_open
+    def __init__(self, capacity: int, cut_price: int = 8):
+        self.capacity, self.price = capacity, cut_price
         self.level = np.zeros(capacity + 1, np.int64)  # partially filled windows by fill level
-        self.cost = np.zeros(capacity + 1, np.int64)  # 2 * level + 1, what one more there adds to the sum
-        self.cost[:capacity] = 1
+        self.more = np.ones(capacity + 1, np.int64)  # 2 * level + 1: what one more there adds to the sum
+        self.more[capacity] = 0
+        self.less = np.full(capacity, _NEVER)  # 1 - 2 * level: what one fewer there adds; none where there is no window
+        self.less[0] = 0  # a new window
         self.windows: dict[int, list[list]] = defaultdict(list)
-        self.open = 0
-
-    def choose(self, size: int) -> int:
-        """The fill level, 0 for a new window, whose use leaves the smallest sum of squares; the fullest on a tie."""
-        after = self.cost[size : self.capacity + 1].copy()
-        used = self.level[: len(after)]
-        after[1:] -= 2 * used[1:] - 1
-        after[1:][used[1:] == 0] = np.iinfo(np.int64).max
-        return len(after) - 1 - int(after[::-1].argmin())
 
-    def _count(self, at: int, change: int) -> None:
+    def _set(self, at: int, change: int) -> None:
         if 0 < at < self.capacity:
-            self.level[at] += change
-            self.cost[at] += 2 * change
+            n = self.level[at] = self.level[at] + change
+            self.more[at], self.less[at] = 2 * n + 1, 1 - 2 * n if n else _NEVER
+
+    def choose(self, size: int, price: int, least: int = 0) -> int:
+        """The fill level (0: a new window; `least` 1: none) whose use leaves the smallest sum of squares.
+
+        A piece with more ids than the level has room is cut. On a tie whole comes before cut, and fuller before emptier.
+        """
+        first = self.capacity - size + 1  # from this level on the piece is cut
+        cost = self.less + np.concatenate([self.more[size:], self.more[1:size] + price])
+        cost[:least] = _NEVER
+        whole, cut = cost[least:first][::-1], cost[first:][::-1]
+        best = self.capacity - size - int(whole.argmin()) if len(whole) else 0
+        if not len(whole) or (len(cut) and cut.min() < cost[best]):
+            return self.capacity - 1 - int(cut.argmin())
+        return best
+
+    def _place(self, key: object, start: int, ids: bytes, tokens: int, price: int, least: int = 0) -> Iterator[list]:
+        while ids:
+            at = self.choose(len(ids) // W, price, least if self.windows else 0)
+            window = []
+            if at:
+                window = self.windows[at].pop()
+                if not self.windows[at]:
+                    del self.windows[at]
+            self._set(at, -1)
+            part, ids = ids[: (self.capacity - at) * W], ids[(self.capacity - at) * W :]
+            window.append((key, start, part, tokens))
+            n = len(part) // W
+            start += n
+            if at + n == self.capacity:
+                yield window
+            else:
+                self.windows[at + n].append(window)
+                self._set(at + n, 1)
 
     def add(self, key: object, ids: bytes) -> Iterator[list]:
         tokens, start = len(ids) // W, 0
         while tokens - start >= self.capacity:
             yield [(key, start, ids[start * W : (start + self.capacity) * W], tokens)]
             start += self.capacity
-        if (size := tokens - start) == 0:
-            return
-        at = self.choose(size)
-        window = self.windows[at].pop() if at else []
-        self._count(at, -1)
-        window.append((key, start, ids[start * W :], tokens))
-        self.open += size
-        if at + size == self.capacity:
-            self.open -= self.capacity
-            yield window
-        else:
-            self._count(at + size, 1)
-            self.windows[at + size].append(window)
-            if self.open > self.max_open:
-                yield from self.finish()
+        yield from self._place(key, start, ids[start * W :], tokens, self.price)
 
     def finish(self) -> Iterator[list]:
-        window, room = [], self.capacity
-        for at in sorted(self.windows, reverse=True):
-            for key, start, ids, tokens in (p for w in self.windows[at] for p in w):
-                while ids:
-                    part, ids = ids[: room * W], ids[room * W :]
-                    window.append((key, start, part, tokens))
-                    start += len(part) // W
-                    room -= len(part) // W
-                    if not room:
-                        yield window
-                        window, room = [], self.capacity
-        if window:
-            yield window
-        self.windows.clear()
-        self.level[:] = 0
-        self.cost[: self.capacity] = 1
-        self.open = 0
+        while sum(map(len, self.windows.values())) > 1:
+            at = min(self.windows)
+            pieces = self.windows[at].pop()
+            if not self.windows[at]:
+                del self.windows[at]
+            self._set(at, -1)
+            for piece in pieces:
+                yield from self._place(*piece, price=0, least=1)
+        for at in [*self.windows]:
+            yield from self.windows.pop(at)
+            self._set(at, -1)
 
 
 def pack(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
