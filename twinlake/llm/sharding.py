@@ -160,7 +160,9 @@ def least_capacity(classes: list[tuple[float, int]], bins: int) -> list[tuple[in
 def assign(df: DataFrame, shards: int | None = 40, capacity: int | None = None, pieces: int = 8, subs: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard, slot for every row.
 
-    shards: that many of near-equal sizes; or capacity: as few bins of this capacity as best-fit decreasing needs.
+    shards: that many of near-equal sizes; or capacity: as few bins of this capacity as best-fit decreasing needs. With
+    `shards` an item counts as its class's mean, with `capacity` as its class's largest, so no bin holds more than its
+    capacity, but for one that holds a single larger item.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "shards")
@@ -177,9 +179,9 @@ def assign(df: DataFrame, shards: int | None = 40, capacity: int | None = None,
     big = F.col("bytes") * pieces > target
     octave = F.when(big, F.floor(F.log2("bytes") * FINER) + (1 << 16)).otherwise(F.floor(F.log2("bytes") * FINE)).cast("int")
     items = scratch.keep(items.withColumn("class", octave).withColumn("sub", F.pmod(F.xxhash64("g", "part"), F.lit(subs)).cast("int")), "items")
-    counts = scratch.keep(items.groupBy("class", "sub").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")), "counts")
-    found = counts.groupBy("class").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).orderBy(F.desc("class")).collect()  # a row per class
-    classes = [(r["b"] / r["n"], r["n"]) for r in found]
+    counts = scratch.keep(items.groupBy("class", "sub").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("bytes").alias("m")), "counts")
+    found = counts.groupBy("class").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("m").alias("m")).orderBy(F.desc("class")).collect()  # a row per class
+    classes = [(r["b"] / r["n"] if capacity is None else float(r["m"]), r["n"]) for r in found]
     runs = least_capacity(classes, shards) if capacity is None else best_fit(classes, float(capacity))
     plan = spark.createDataFrame([(found[k]["class"], a, b, s) for k, a, b, s in runs], "class int, first long, end long, shard int")
     before = F.sum("n").over(Window.partitionBy("class").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1))
