@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import slices
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_HOST_NAME = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: A match begins where a run of digits begins: behind a failed start, later ones in its run fail alike.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
@@ -47,11 +49,24 @@ def _octet(part: str) -> bool:
     return len(part) <= 3 and int(part) <= 255
 
 
+def _emails(text: str) -> Iterator[tuple[str, int, int]]:
+    """From each "@" to both sides: no part of the text is looked at twice, however long its runs are."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(_LOCAL))
+        host = _HOST_NAME.match(text, at + 1) if start < at else None
+        if host:
+            yield "email", start, host.end()
+        done = host.end() if host else at + 1
+        at = text.find("@", done)
+
+
 def plain_spans(text: str) -> list[tuple[str, int, int]]:
     """The base spans: leftmost non-overlapping matches of each kind; matches that fail the test are dropped."""
     found = []
     if "@" in text:
-        found += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+        found += _emails(text)
     if any(d in text for d in "0123456789"):
         found += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))] if "." in text else []
         for m in _CARD.finditer(text):
