@@ -11,6 +11,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ class WordBpe:
             ranks[bytes(byte_of[c] for c in body) + _END.encode() * (body != token)] = n
         if b"\x01" in ranks:  # byte 1 is in no Latin chunk; its place is taken by the end of a word
             ranks = {k: v for k, v in ranks.items() if k == b"\x01" or k.find(b"\x01", 0, -1) < 0}
-        self.ranks, self.longest, self.fits = ranks, max(map(len, ranks)), {}
+        self.ranks, self.fits, self.known = ranks, {}, 0
         self.encoding = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
@@ -115,38 +116,19 @@ class WordBpe:
         return [*map(found.__getitem__, chunks)]
 
 
-    def _compatible(self, first: bytes, second: bytes) -> bool:
-        """Whether two tokens stay side by side when their bytes are merged."""
-        pair = first, second
-        if pair not in self.fits:
-            if len(self.fits) > 1_000_000:
-                self.fits = {}
-            self.fits[pair] = self.encoding._core_bpe.encode_single_piece(first + second) == [self.ranks[first], self.ranks[second]]
-        return self.fits[pair]
-
-    def run_counts(self, run: str) -> list[int]:
-        """Token counts of all prefixes of one long piece of Latin text, by dynamic programming over its bytes.
-
-        The encoding of a prefix is that of a shorter prefix and one more token, and it is the one whose last two
-        tokens are compatible. Inside a word this holds for tokens without the word's end; a prefix's own count
-        takes one last token with it.
-        """
-        raw, end, ranks = run.lower().encode(), _END.encode(), self.ranks
-        last, count = [b""], [0]
-
-        def extend(stop: int, mark: bytes) -> tuple[bytes, int]:
-            for n in range(min(self.longest, stop), 0, -1):
-                token = raw[stop - n : stop] + mark
-                if token in ranks and (stop == n or (last[stop - n] and self._compatible(last[stop - n], token))):
-                    return token, count[stop - n] + 1
-            return b"", 0
-
-        for stop in range(1, len(raw) + 1):
-            token, n = extend(stop, b"")
-            last.append(token)
-            count.append(n)
-        ends = np.cumsum([len(c.encode()) for c in run.lower()]).tolist()
-        return [extend(stop, end)[1] for stop in ends]
+    def behind(self, first: bytes) -> dict[bytes, bool]:
+        """What is known of the tokens that may follow a token."""
+        if self.known > 1_000_000:
+            self.known = 0
+            for some in self.fits.values():
+                some.clear()
+        return self.fits.setdefault(first, {})
+
+    def compatible(self, first: bytes, second: bytes, behind: dict[bytes, bool]) -> bool:
+        """Whether two tokens stay side by side when their bytes are merged; kept in `behind`, that of the first."""
+        self.known += 1
+        fit = behind[second] = self.encoding._core_bpe.encode_single_piece(first + second) == [self.ranks[first], self.ranks[second]]
+        return fit
 
 
 def blanks(text: str) -> str:
@@ -219,27 +201,168 @@ class ChunkIds(_Table):
         return self.words.many(chunks)
 
 
-#: Where two neighbouring ASCII characters never share a pre-token, whatever follows; used only for long chunks.
-_SAFE_CUT = re.compile(
-    r"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])|(?<=[0-9])(?=[A-Za-z0-9])|(?<=[A-Za-z])(?=[0-9])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])"
-)
+# The vocabulary file's contractions.
+_CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+
+
+def joining() -> set[str]:
+    """Characters that normal form C may join to or sort among the ones before them; a normal form can be taken apart in
+    front of all others."""
+    found = {chr(c) for r in (range(0x1161, 0x1176), range(0x11A8, 0x11C3)) for c in r}  # Hangul vowels and finals
+    for c in map(chr, range(0x300, 0x110000)):
+        if unicodedata.combining(c) or unicodedata.combining(unicodedata.normalize("NFD", c)[0]):
+            found.add(c)
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(chr(int(parts[1], 16)))
+    return found
+
 
+class PrefixScan:
+    """Token counts of all prefixes of a text without ASCII blanks, by dynamic programming over its normalised bytes.
 
-def segments(chunk: str) -> Iterator[str]:
-    """Parts of a long chunk that are tokenised one by one with the same ids."""
-    for k, part in enumerate(_SPECIAL.split(chunk)):
-        if k % 2:
-            yield part
-        elif part:
-            yield from _SAFE_CUT.split(part)
+    A piece's plain encoding (no end of word yet) at a byte is the one at an earlier byte and one more token; the right
+    token is the one compatible with the token before it, for tokens that are compatible in pairs are the encoding. A
+    prefix's count takes one last token, with the end of a word. The step at a byte depends on the bytes before it only,
+    so the time is in proportion to the text, for every script. The state behind each normalised character is kept, so
+    that a mark which changes the characters before it (normal form C) only takes those back.
+    """
+
+    def __init__(self, words: WordBpe):
+        self.words, self.kinds, self.single, self.even, self.join = words, {}, {}, {}, None
+        tails: dict[bool, set[bytes]] = {False: set(), True: set()}
+        for token in words.ranks:
+            ended = token.endswith(_END.encode()) and len(token) > 1
+            body = token[:-1] if ended else token
+            tails[ended].update(body[k:] for k in range(len(body)))
+        self.plain_tails, self.end_tails = tails[False], tails[True]
+        self.whole = {c: words.counts([c])[0] for c in _CONTRACTIONS}
+
+    def kind(self, c: str) -> str:
+        """Letter, Number, Sign or White, as the vocabulary file's own splitter takes a character."""
+        if c not in self.kinds:
+            split = self.words.library.pre_tokenizer.pre_tokenize_str
+            n = len(split(c + c))
+            self.kinds[c] = "W" if n == 0 else "N" if n == 2 else "L" if len(split("a" + c)) == 1 else "S"
+        return self.kinds[c]
+
+    def normal(self, some: str) -> str:
+        """A stretch of text that normal form C takes on its own."""
+        if some not in self.even:
+            if len(self.even) > 100_000:
+                self.even = {}
+            self.even[some] = self.words.library.normalizer.normalize_str(some)
+        return self.even[some]
+
+    def _extend(self, start: int, tails: set[bytes], mark: bytes) -> tuple[bytes, int]:
+        """The last token of the piece from `start` to the end, and how many tokens it has."""
+        raw, last, ranks = self.raw, self.last, self.words.ranks
+        stop, found, n = len(raw), [], 1
+        while stop - n >= start and (token := bytes(raw[stop - n :])) in tails:
+            if token + mark in ranks:
+                found.append(token + mark)
+            n += 1
+        for token in reversed(found):
+            at = stop - len(token) + len(mark)
+            if at == start:
+                return token, 1
+            if last[at - 1]:
+                behind = self.words.behind(last[at - 1])
+                if behind[token] if token in behind else self.words.compatible(last[at - 1], token, behind):
+                    return token, self.count[at - 1] + 1
+        return b"", 0
+
+    def _push(self, c: str) -> None:
+        """The state behind one more normalised character: tokens before its piece, where the piece starts, bytes so far,
+        kind (lower case where the piece is complete), tokens in all."""
+        states = self.states
+        base, start, size, kind, total = states[-1]
+        new = self.kind(c)
+        if new == "W":
+            states.append((total, size, size, "w", total))
+            return
+        if new == "L" and kind in "SL":
+            at = states[-1] if kind == "S" else states[-2]
+            word = bytes(self.raw[at[1] : size]).decode() + c if kind == "S" or (size - start == 1 and states[-2][3] == "S" and start == states[-2][2]) else ""
+            if word in self.whole and at[2] - at[1] == 1:
+                self._bytes(c, size)
+                states.append((at[0], at[1], len(self.raw), "l", at[0] + self.whole[word]))
+                return
+        if new != kind or new == "N":
+            base, start = total, size
+        self._bytes(c, start)
+        if c == _END:
+            n = self.words.counts([bytes(self.raw[start:]).decode()])[0]
+        elif self.clean[-1] >= start:
+            n = self.words.counts([bytes(self.raw[start:]).decode()])[0]
+        else:
+            n = self._extend(start, self.end_tails, _END.encode())[1]
+        states.append((base, start, len(self.raw), "n" if new == "N" else new, base + n))
+
+    def _bytes(self, c: str, start: int) -> None:
+        for b in c.encode():
+            self.raw.append(b)
+            if b == 1:
+                self.clean.append(len(self.raw) - 1)
+            token, n = self._extend(start, self.plain_tails, b"")
+            self.last.append(token)
+            self.count.append(n)
+
+    def _reset(self, total: int) -> None:
+        self.raw, self.last, self.count, self.clean = bytearray(), [], [], [-1]
+        self.states = [(total, 0, 0, "w", total)]
+
+    def _cluster(self, some: str) -> Iterator[int]:
+        """Counts behind each character of a stretch of its own."""
+        first, done = len(self.states), ""
+        for k in range(1, len(some) + 1):
+            text = self.normal(some[:k])
+            same = len(os.path.commonprefix([done, text]))
+            while len(self.states) > first + same:
+                size = self.states.pop() and self.states[-1][2]
+                del self.raw[size:], self.last[size:], self.count[size:]
+                while self.clean[-1] >= size:
+                    self.clean.pop()
+            for c in text[same:]:
+                self._push(c)
+            done = text
+            yield self.states[-1][4]
+
+    def _plain(self, text: str) -> Iterator[int]:
+        if text.isascii():
+            for c in text.lower():
+                self._push(c)
+                yield self.states[-1][4]
+            return
+        self.join = self.join or joining()
+        at = 0
+        for k in range(1, len(text) + 1):
+            if k == len(text) or text[k] not in self.join:
+                yield from self._cluster(text[at:k])
+                at = k
+
+    def counts(self, text: str) -> list[int]:
+        """The count of each prefix of one and more characters."""
+        out, total = [], 0
+        for k, part in enumerate(_SPECIAL.split(text)):
+            if k % 2:  # all but its last character is text like the one before
+                out += self._plain(part[:-1])
+                total += 1
+                out.append(total)
+                self._reset(total)
+            else:
+                if not k:
+                    self._reset(0)
+                out += self._plain(part)
+                total = self.states[-1][4]
+        return out
 
 
 class PrefixCounts(_Table):
     """Token counts of every prefix of a text, as changes from one code point to the next (int16, little-endian).
 
-    A table over prefixes of chunks holds count(prefix); words share most of their prefixes, so a new word adds
-    only a few entries. The count at a text position is the count at the start of its chunk plus the entry for
-    the part of the chunk before it, which gives all positions from left to right. Blanks add no token.
+    The count at a text position is the count at the start of its chunk plus PrefixScan's for the part of the chunk
+    before it, which gives all positions from left to right. Blanks add no token. A table keeps the changes of chunks.
     """
 
     joint = b"\0\0"
@@ -250,30 +373,55 @@ class PrefixCounts(_Table):
 
     def __init__(self, path: str, limit: int = TABLE_LIMIT):
         super().__init__(path, limit)
-        self.count: dict[str, int] = {"": 0}
+        self.scan, self.pieces = PrefixScan(self.words), {}
+        self.plain: dict[bytes, tuple[bytes, int, int, dict]] = {}  # prefix -> last token, tokens, tokens with the end of a word, followers of the last
 
     def values(self, chunks: list[str]) -> list[bytes]:
-        parts = {c: [*segments(c)] if len(c) > KEEP_CHARS else [c] for c in chunks}
-        short = {p for x in parts.values() for p in x if len(p) <= KEEP_CHARS}
-        new = [*{p[:j] for p in short for j in range(1, len(p) + 1)}.difference(self.count)]
-        if len(self.count) + len(new) > 2 * self.limit:
-            self.count = {"": 0}
-            new = [*{p[:j] for p in short for j in range(1, len(p) + 1)}]
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            self.count.update(zip(some, self.words.counts(some)))
-        return [self._changes(parts[c][0]) if len(parts[c]) == 1 else b"".join(map(self._changes, parts[c])) for c in chunks]
-
-    def _changes(self, part: str) -> bytes:
-        if len(part) <= KEEP_CHARS:
-            count, n = self.count, [0]
-            n += [count[part[:j]] for j in range(1, len(part) + 1)]
-        elif _LATIN.fullmatch(part) and "<|" not in part and len(_PIECES.findall(part.lower())) == 1:
-            n = [0, *self.words.run_counts(part)]
-        else:  # a long run of other letters or signs: a block of its prefixes at a time, none kept
-            n = [0]
-            for at in range(1, len(part) + 1, 256):
-                n += self.words.counts([part[:j] for j in range(at, min(at + 256, len(part) + 1))])
+        return [self._changes(c) for c in chunks]
+
+    def _changes(self, chunk: str) -> bytes:
+        if len(chunk) > KEEP_CHARS or "'" in chunk or "<|" in chunk or not _LATIN.fullmatch(chunk):
+            n = self.scan.counts(chunk)
+            return struct.pack(f"<{len(n)}h", *map(int.__sub__, n, [0, *n]))
+        found, known = [], self.pieces
+        for piece in _PIECES.findall(chunk.lower()):
+            if piece not in known:
+                if len(self.plain) + len(known) > 2 * self.limit:
+                    known.clear()
+                    self.plain.clear()
+                known[piece] = self._piece(piece.encode())
+            found.append(known[piece])
+        return b"".join(found)
+
+    def _piece(self, raw: bytes) -> bytes:
+        """The changes within one short piece of Latin text: PrefixScan's step, with a table of the prefixes that words share."""
+        plain, ranks, words = self.plain, self.words.ranks, self.words
+        tails, end_tails, end, n, size = self.scan.plain_tails, self.scan.end_tails, _END.encode(), [0], len(raw)
+        for stop in range(1, size + 1):
+            before = raw[:stop]
+            state = plain.get(before)
+            if state is None:
+                last, count = (before, 1) if before in ranks else (b"", 0)
+                at = 0 if count else stop - 1
+                while at > 0 and (token := raw[at:stop]) in tails:
+                    if token in ranks:
+                        first, m, _, behind = plain[raw[:at]]
+                        if m and (behind[token] if token in behind else words.compatible(first, token, behind)):
+                            last, count = token, m + 1
+                            break
+                    at -= 1
+                ended = int(before + end in ranks)
+                at = 0 if ended or (stop < size and raw[stop] & 0xC0 == 0x80) else stop - 1  # not inside a character
+                while at > 0 and (token := raw[at:stop]) in end_tails:
+                    if (token := token + end) in ranks:
+                        first, m, _, behind = plain[raw[:at]]
+                        if m and (behind[token] if token in behind else words.compatible(first, token, behind)):
+                            ended = m + 1
+                            break
+                    at -= 1
+                state = plain[before] = last, count, ended, words.behind(last)
+            if stop == size or raw[stop] & 0xC0 != 0x80:
+                n.append(state[2])
         return struct.pack(f"<{len(n) - 1}h", *map(int.__sub__, n[1:], n))
 
 
