@@ -100,9 +100,13 @@ def test_shards(spark, odd, none):
     for r in rows:
         assert r["size"] == len(text[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode())
         shards[text[r.doc_id]].add(r.shard)
-    assert sum(len(s) > 1 for s in shards.values()) <= 8  # only groups above an eighth of a shard are split
-    least = sharding.assign(docs, shards=None, capacity=70_000).groupBy("shard").agg(F.sum("size").alias("s")).collect()
-    assert max(r.s for r in least) <= 70_000 * 1.02 and len(least) <= -(-sum(r.s for r in least) // 70_000) + 1
+    held = collections.Counter()
+    for r in rows:
+        held[text[r.doc_id]] += r["size"]
+    assert all(len(s) == 1 for t, s in shards.items() if held[t] <= sum(total.values()) / 12)  # only groups above a shard are split
+    for capacity in (40_000, 70_000):
+        least = sharding.assign(docs, shards=None, capacity=capacity).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+        assert max(r.s for r in least) <= capacity and len(least) <= -(-sum(r.s for r in least) // capacity) + 1
     assert sharding.assign(odd, shards=3).count() == odd.count() and sharding.assign(none, shards=3).count() == 0
 
 
@@ -198,9 +202,30 @@ def test_search_recall_and_odd_vectors(spark):
     odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [0.0, 3.0]), (9, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(odd, odd.where("vec_id % 100 = 0")).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 9, 0.0), (0, 3, 8, pytest.approx(10**0.5))]
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.9]), (0, None)], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id) for r in ann.search(odd, twice, k=2).where("query_id = 0").collect())
+    assert got == [(1, 1), (1, 8), (2, 1), (2, 9)]  # a list for each of the two rows
     assert ann.search(odd.limit(0), odd.limit(0)).count() == 0 and ann.search(odd.where("vec_id = 3"), odd).count() == 0
 
 
+def test_recall_at_scale(spark):
+    """Recall at 10 against brute force on the largest test table."""
+    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
+    queries = df.where("vec_id % 1000 = 0")
+    some = df.collect()
+    ids, vectors = np.array([r.vec_id for r in some]), np.array([r.embedding for r in some], float)
+    hits = n = 0
+    found = collections.defaultdict(set)
+    for r in ann.search(df, queries).collect():
+        found[r.query_id].add(r.vec_id)
+    for q in ids[ids % 1000 == 0].tolist():
+        exact = np.argsort(((vectors - vectors[ids == q][0]) ** 2).sum(1), kind="stable")
+        hits += len(set(ids[exact][ids[exact] != q][:10].tolist()) & found[q])
+        n += 10
+    print("recall", hits / n)
+    assert hits >= 0.9 * n
+
+
 def test_toxicity_held_out(spark, odd, none):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels.where("doc_id % 4 != 0"))
