@@ -123,23 +123,26 @@ def test_pii_rows(odd, none, spark):
 
 def test_training_order_round_trip(spark, odd, none, tmp_path):
     to = f"file://{tmp_path}/shards"
-    rows = training_order.materialise(odd, registry.vocabulary(), to, stride=64, shard_bytes=20_000).collect()
-    table = tokens.ChunkIds(registry.vocabulary())
+    rows = training_order.materialise(odd, registry.vocabulary(), to, stride=64, shard_rows=300).collect()
+    library = tokens.load(registry.vocabulary())
     expected = collections.Counter()
     for r in odd.collect():
-        ids = [*np.frombuffer(table.of([r.text or ""])[0], "<u4").tolist(), 2]
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
         for p in range(0, len(ids), 64):
-            expected[(r.doc_id, p // 64, zlib.crc32(np.array(ids[p : p + 64] + [0] * (64 - len(ids[p : p + 64])), "<u2").tobytes()))] += 1
-    assert collections.Counter((r.doc_id, r.part, r.ids_crc32) for r in rows) == expected
-    assert sorted(r.slot for r in rows) == list(range(len(rows))) and len({r.shard for r in rows}) > 1
-    at = {(r.shard, r.place): r.ids_crc32 for r in rows}
-    read = {(r.shard, r.place): zlib.crc32(np.array(r.ids, "<u2").tobytes()) for r in training_order.read_from(spark, to, 64).collect()}
-    assert read == at
-    later = training_order.read_from(spark, to, 64, shard=1, place=3).collect()
-    assert {(r.shard, r.place) for r in later} == {k for k in at if k >= (1, 3)}
-    again = training_order.materialise(odd, registry.vocabulary(), f"file://{tmp_path}/again", stride=64, shard_bytes=20_000).collect()
+            expected[(r.doc_id, p // 64, len(ids[p : p + 64]), zlib.crc32(np.array(ids[p : p + 64] + [0] * (64 - len(ids[p : p + 64])), "<u2").tobytes()))] += 1
+    assert collections.Counter((r.doc_id, r.part, r.n_ids, r.ids_crc32) for r in rows) == expected
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and len({r.shard for r in rows}) > 2
+    assert all(r.slot == r.shard * 300 + r.place and r.place < 300 for r in rows)
+    at = {r.slot: r.ids_crc32 for r in rows}
+    read = training_order.read_from(spark, to, block=128).collect()
+    assert [r.slot for r in read] == list(range(len(rows)))
+    assert {r.slot: zlib.crc32(np.array(r.ids, "<u2").tobytes()) for r in read} == at
+    later = training_order.read_from(spark, to, 303, 777, block=128).collect()
+    assert [r.slot for r in later] == list(range(303, 777)) and [r.ids for r in later] == [r.ids for r in read[303:777]]
+    again = training_order.materialise(odd, registry.vocabulary(), f"file://{tmp_path}/again", stride=64, shard_rows=300).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
     assert training_order.materialise(none, registry.vocabulary(), f"file://{tmp_path}/none").count() == 0
+    assert training_order.read_from(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def test_mixing_against_sql_and_limits(spark, odd, none):

@@ -1,16 +1,17 @@
 """Operator 5: training-order materialisation as fixed-stride binary shards.
 
-Documents are encoded and cut into sequences of `stride` ids, the last one filled up. A sequence's index is its
-document's row number times the most parts a document can have, plus its part; a keyed Feistel network with
-cycle-walking permutes these indices, so the key alone decides the order and sorting needs no random numbers.
-Equal ranges of permuted indices are the shards: about equal in size, since the permutation is uniform, and known
-before anything is encoded, so texts are encoded once and ids shuffled once. Each task sorts its shards and writes
-them as files of 2-byte ids under temporary names, renamed when whole; a task that runs again writes the same bytes.
-The global slot of a sequence is its shard's first slot plus its place in the shard; sequence k of a shard lies at
-byte 2 * stride * k, so reading can resume at any slot.
-
-The input should be a table scan: rows are numbered by its partitions, and a job whose partitions differ from those
-counted before stops with an error.
+1. Documents are encoded once and cut into sequences of `stride` ids; each task numbers its own, and the unpadded ids are
+   kept as a table. The number of sequences is then known exactly.
+2. A sequence's index is the first of its task plus its number there; a keyed Feistel network with cycle-walking permutes
+   the indices 0 to n - 1, so the permuted index is the sequence's global slot, known before anything is sorted.
+3. Shard s holds the slots from s * `shard_rows` on. Each task takes a range of shards, sorts by slot and writes them as
+   files of fixed-width ids under temporary names, renamed when whole; a task that runs again writes the same bytes.
+
+Slot t lies in shard t // shard_rows at byte (t % shard_rows) * stride * width. A manifest (shard, first slot, number of
+sequences, stride, width) is kept beside the shards; read_from() reads byte ranges from any slot on.
+
+Ids take two bytes where the vocabulary fits, else four. The order depends on the key, on the number of sequences and on
+the order of the input's rows.
 
 Defined results: a null or empty text is one sequence of the end id alone; repeated rows are sequences of their own;
 an empty table gives no shards; other columns are ignored.
@@ -25,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, text_bytes
-from .tokens import ChunkIds, worker
+from .common import Scratch, slices
+from .tokens import ChunkIds, load, worker
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -67,94 +68,114 @@ class Feistel:
         return self._walk(slot, self.keys[::-1])
 
 
-def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, order_key: int = 1, end_id: int = 2, fill_id: int = 0, shard_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Most tasks that write shards.
+MOST_TASKS = 20_000
+
+
+def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, order_key: int = 1, end_id: int = 2, fill_id: int = 0, shard_rows: int = 32_768, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards into the folder `to`; a row per sequence: slot, shard, place, key, part, n_ids, ids_crc32."""
     spark = df.sparkSession
     scratch = Scratch(spark, "order")
     src = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = src.schema["key"].dataType.simpleString()
-    sizes = df.select(text_bytes(text).alias("b")).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("b").alias("longest"), F.sum("b").alias("b")).collect()  # a row per input split
-    rows, longest = sum(r["n"] for r in sizes), max((r["longest"] for r in sizes), default=0)
-    base = dict(zip([r["p"] for r in sorted(sizes)], np.cumsum([0, *[r["n"] for r in sorted(sizes)]]).tolist()))
-    counted = {r["p"]: r["n"] for r in sizes}
-    parts = 3 * longest // stride + 1  # normal form may treble a text; each id has a byte at least
-    domain = max(1, rows * parts)
-    shards = max(1, sum(r["b"] for r in sizes) // shard_bytes)
-    permute, width = Feistel(domain, order_key), -(-domain // shards)
+    width = 2 if load(vocabulary).get_vocab_size() <= 1 << 16 else 4
+    id_type = np.dtype(f"<u{width}")
+    line = stride * width
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, task, at = worker(ChunkIds, vocabulary), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], id_type).tobytes()
+        for whole in batches:
+            for batch in slices(whole):
+                ids = [np.frombuffer(raw, "<u4").astype(id_type).tobytes() + end for raw in table.of(batch.column("text").to_pylist())]
+                n = np.array([-(-len(i) // line) for i in ids], np.int64)
+                yield pa.record_batch([pa.array([task] * len(ids), pa.int32()), pa.array(at + np.cumsum(n) - n), batch.column("key"), pa.array(n), pa.array(ids, pa.binary())], ["task", "number", "key", "n", "ids"])
+                at += int(n.sum())
+
+    texts = scratch.keep(src.mapInArrow(encoded, f"task int, number long, key {kind}, n long, ids binary"), "ids", "zstd")
+    sizes = {r["task"]: r["n"] for r in texts.groupBy("task").agg(F.sum("n").alias("n")).collect()}  # a row per input split
+    base, total = {}, 0
+    for task in sorted(sizes):
+        base[task] = total
+        total += sizes[task]
+    permute, shards = Feistel(max(1, total), order_key), max(1, -(-total // shard_rows))
+    per_task = -(-shards // MOST_TASKS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, number_of = worker(ChunkIds, vocabulary), TaskContext.get().partitionId()
-        at = first = base.get(number_of, 0)
         for whole in batches:
             for batch in slices(whole):
-                keys, part, index, number, ids = [], [], [], [], []
-                for k, raw in zip(batch.column("key").to_pylist(), table.of(batch.column("text").to_pylist())):
-                    own = np.append(np.frombuffer(raw, "<u4").astype("<u2"), np.uint16(end_id))
-                    n = -(-len(own) // stride)
-                    full = np.full(n * stride, fill_id, "<u2")
-                    full[: len(own)] = own
-                    data = full.tobytes()
-                    for p in range(n):
-                        keys.append(k)
-                        part.append(p)
-                        index.append(at * parts + p)
-                        number.append(min(stride, len(own) - p * stride))
-                        ids.append(data[2 * stride * p : 2 * stride * (p + 1)])
-                    at += 1
-                order = permute.slot(np.array(index, np.uint64))
-                yield pa.record_batch([pa.array(order // width, pa.int32()), pa.array(order, pa.int64()), pa.array(keys, batch.schema.field("key").type), pa.array(part, pa.int32()), pa.array(number, pa.int32()), pa.array(ids, pa.binary())], ["shard", "permuted", "key", "part", "n_ids", "ids"])
-        if at - first != counted.get(number_of, 0):
-            raise ValueError("the input's partitions have changed since they were counted; write it to a table first")
-
-    cut_up = src.mapInArrow(cut, f"shard int, permuted long, key {kind}, part int, n_ids int, ids binary")
+                first = [base[t] + k for t, k in zip(batch.column("task").to_pylist(), batch.column("number").to_pylist())]
+                n, ids = batch.column("n").to_numpy(), batch.column("ids").to_pylist()
+                slot = permute.slot(np.concatenate([np.arange(a, a + k, dtype=np.uint64) for a, k in zip(first, n.tolist())] or [np.zeros(0, np.uint64)]))
+                part = np.concatenate([np.arange(k, dtype=np.int32) for k in n.tolist()] or [np.zeros(0, np.int32)])
+                keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(n)), n)))
+                data = [raw[at : at + line] for raw in ids for at in range(0, len(raw), line)]
+                yield pa.record_batch([pa.array((slot // shard_rows // per_task).astype(np.int32)), pa.array(slot), keys, pa.array(part), pa.array(data, pa.binary())], ["writer", "slot", "key", "part", "ids"])
+
+    cut_up = texts.mapInArrow(cut, f"writer int, slot long, key {kind}, part int, ids binary")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(to)
-        shard, place, out, temporary = None, 0, None, ""
+        shard, out, temporary = None, None, ""
+        fill = np.array([fill_id], id_type).tobytes()
 
         def close() -> None:
             if out is not None:
                 out.close()
-                store.move(temporary, f"{folder}/shard-{shard:06d}.bin")
+                store.move(temporary, f"{folder}/shard-{shard:09d}.bin")
 
         store.create_dir(folder, recursive=True)
         for whole in batches:
             for batch in slices(whole, 4096):
-                places, sums = [], []
-                for s, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()):
-                    if s != shard:
+                slots, number, sums = batch.column("slot").to_pylist(), [], []
+                for slot, ids in zip(slots, batch.column("ids").to_pylist()):
+                    if slot // shard_rows != shard:
                         close()
-                        shard, place, temporary = s, 0, f"{folder}/.{uuid.uuid4().hex}"
+                        shard, temporary = slot // shard_rows, f"{folder}/.{uuid.uuid4().hex}"
                         out = store.open_output_stream(temporary)
-                    out.write(ids)
-                    places.append(place)
-                    sums.append(zlib.crc32(ids))
-                    place += 1
-                yield pa.record_batch([batch.column("shard"), pa.array(places, pa.int64()), batch.column("key"), batch.column("part"), batch.column("n_ids"), pa.array(sums, pa.int64())], ["shard", "place", "key", "part", "n_ids", "ids_crc32"])
+                    full = ids + fill * ((line - len(ids)) // width)
+                    out.write(full)
+                    number.append(len(ids) // width)
+                    sums.append(zlib.crc32(full))
+                yield pa.record_batch([batch.column("slot"), batch.column("key"), batch.column("part"), pa.array(number, pa.int32()), pa.array(sums, pa.int64())], ["slot", "key", "part", "n_ids", "ids_crc32"])
         close()
 
-    sorted_up = cut_up.repartitionById(int(shards), "shard").sortWithinPartitions("shard", "permuted")  # a task per shard
-    log = scratch.keep(sorted_up.mapInArrow(written, f"shard int, place long, key {kind}, part int, n_ids int, ids_crc32 long"), "log")
-    counts = log.groupBy("shard").agg(F.count("*").alias("n"))  # a row per shard
-    first = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = scratch.keep(counts.select("shard", first.alias("first")), "firsts")
-    return log.join(firsts, "shard").select((F.col("first") + F.col("place")).alias("slot"), "shard", "place", F.col("key").alias(key), "part", "n_ids", "ids_crc32")
-
-
-def read_from(spark: SparkSession, folder: str, stride: int, shard: int = 0, place: int = 0) -> DataFrame:
-    """shard, place and ids (array of int) in training order from a position on."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
-    files = files.withColumn("shard", F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("int")).where(F.col("shard") >= shard).select("shard", "content")
+    sorted_up = cut_up.repartitionById(-(-shards // per_task), "writer").sortWithinPartitions("slot")  # a task per range of shards
+    log = scratch.keep(sorted_up.mapInArrow(written, f"slot long, key {kind}, part int, n_ids int, ids_crc32 long"), "log")
+    scratch.drop("ids")
+    first = F.col("id") * shard_rows
+    manifest = spark.range(-(-total // shard_rows)).select(F.col("id").cast("int").alias("shard"), first.alias("first"), F.least(F.lit(shard_rows), F.lit(total) - first).alias("n"), F.lit(stride).alias("stride"), F.lit(width).alias("width"))
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{to}/manifest")
+    shard, place = F.floor(F.col("slot") / shard_rows).cast("int"), F.pmod("slot", F.lit(shard_rows))
+    return log.select("slot", shard.alias("shard"), place.alias("place"), F.col("key").alias(key), "part", "n_ids", "ids_crc32")
+
+
+def read_from(spark: SparkSession, folder: str, slot: int = 0, end: int | None = None, block: int = 4096) -> DataFrame:
+    """slot and ids (array of long) of the slots from `slot` up to `end`, in order: partitions and their rows follow the
+    training order, and each block of sequences is one read of its byte range."""
+    stored = spark.read.parquet(f"{folder}/manifest").agg(F.max("n"), F.max(F.col("first") + F.col("n")), F.max("stride"), F.max("width")).first()  # a full shard's rows, all rows
+    if stored[1] is None:
+        return spark.createDataFrame([], "slot long, ids array<long>")
+    shard_rows, total, stride, width = stored
+    end = min(total, total if end is None else end)
+    blocks = spark.range(slot // block, max(slot // block, -(-end // block)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s, content in zip(whole.column("shard").to_pylist(), whole.column("content").to_pylist()):
-                ids = np.frombuffer(content, "<u2").reshape(-1, stride)
-                skip = place if s == shard else 0
-                for at in range(skip, len(ids), 1024):
-                    some = ids[at : at + 1024].astype(np.int32)
-                    yield pa.record_batch([pa.array([s] * len(some), pa.int32()), pa.array(range(at, at + len(some)), pa.int64()), pa.array(list(some), pa.list_(pa.int32()))], ["shard", "place", "ids"])
-
-    return files.mapInArrow(read, "shard int, place long, ids array<int>").orderBy("shard", "place")
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for b in batch.column("id").to_pylist():
+                at, stop = max(slot, b * block), min(end, (b + 1) * block)
+                while at < stop:
+                    shard, place = divmod(at, shard_rows)
+                    n = min(stop - at, shard_rows - place)
+                    with store.open_input_file(f"{path}/shard-{shard:09d}.bin") as file:
+                        file.seek(place * stride * width)
+                        ids = np.frombuffer(file.read(n * stride * width), f"<u{width}").reshape(n, stride).astype(np.int64)
+                    yield pa.record_batch([pa.array(range(at, at + n), pa.int64()), pa.array(list(ids), pa.list_(pa.int64()))], ["slot", "ids"])
+                    at += n
+
+    return blocks.mapInArrow(read, "slot long, ids array<long>")
