@@ -8,12 +8,13 @@
    is within five standard errors of it; then full sets decide.
 4. Components of these links, by alternating large-star and small-star steps over checkpointed tables.
 5. Buckets that still hold several components have their remaining cross-component pairs tested too, in blocks of
-   about `block` classes, each pair only in its first common band; then components again.
+   about `block` classes, each pair only in its first common band: first by sizes and estimates, then, with the texts of
+   those members that may have a link, on full sets; then components again.
 
 A link at the threshold is missed by all bands with probability (1 - 0.85^5)^25 = 4e-7. No bucket is capped.
 
 Defined results: null or empty texts and texts of blanks have an empty set and are linked with nothing; with fewer
-words than a shingle, the whole sequence is the one shingle; rows that share a doc_id stay or go together; rows
+words than a shingle, the whole sequence is the one shingle; rows that share a doc_id each have a row; rows
 with a null doc_id take part, and their component is the smallest doc_id in it (null if there is none); an empty
 table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -173,39 +174,59 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         at, before = new, state
 
 
+def _likely(pdf: pd.DataFrame, root: np.ndarray, percent: int, allowance: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a block those whose sizes and estimate allow a link, in a component of their own as `root` stands
+    at the time; a pair is given only in its first common band, and the bucket's lead is left out."""
+    lo, hi, chunk, lead = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["chunk"].to_numpy(), pdf["lead"].iat[0]
+    bands, planes = np.stack(pdf["bands"].to_numpy()), np.stack(pdf["planes"].to_numpy()).astype(np.int64).view(np.uint64)  # unsigned: numpy counts the bits of absolute values
+    n, key = pdf["n"].to_numpy(np.int64), pdf["set_key"].to_numpy()
+    chance, half = 2.0**-BITS, HASHES // 64
+    band = int(np.flatnonzero(bands[0] == pdf["bkey"].iat[0])[0])
+    for i in np.flatnonzero(chunk == lo):
+        if key[i] == lead:
+            continue
+        other = chunk == hi
+        if lo == hi:
+            other &= np.arange(len(n)) > i
+        other &= (root != root[i]) & (key != lead) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        j = np.flatnonzero(other)
+        differ = np.bitwise_or.reduce((planes[j] ^ planes[i]).reshape(len(j), BITS, half), axis=1)
+        equal = 1 - np.bitwise_count(differ).sum(axis=1) / HASHES
+        j = j[(equal - chance) / (1 - chance) >= percent / 100 - allowance]
+        yield int(i), j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+
+
+def _block_members(percent: int, allowance: float):
+    """The members of a block that may have a link in it: only their texts are needed."""
+
+    def members(pdf: pd.DataFrame) -> pd.DataFrame:
+        wanted = np.zeros(len(pdf), bool)
+        for i, j in _likely(pdf, pd.factorize(pdf["root"])[0], percent, allowance):
+            if len(j):
+                wanted[i] = wanted[j] = True
+        return pdf.loc[wanted, ["bkey", "lo", "hi", "set_key"]]
+
+    return members
+
+
 def _block_links(percent: int, allowance: float, words: int):
     """Confirmed links between different components within a block of a bucket.
 
-    A pair is looked at only in its first common band, and exactly compared only if the estimate allows it and the
-    block's own links have not joined its components already; so a block gives fewer links than it has members.
+    A pair is exactly compared only if the estimate allows it and the block's own links have not joined its components
+    already; so a block gives fewer links than it has members.
     """
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, chunk = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["chunk"].to_numpy()
-        bands, planes = np.stack(pdf["bands"].to_numpy()), np.stack(pdf["planes"].to_numpy()).astype(np.int64).view(np.uint64)  # unsigned: numpy counts the bits of absolute values
-        n, key, texts, lead = pdf["n"].to_numpy(np.int64), pdf["set_key"].to_numpy(), pdf["text"].to_numpy(), pdf["lead"].iat[0]
-        root = pd.factorize(pdf["root"])[0]
-        chance, half, sets, found = 2.0**-BITS, HASHES // 64, Shingles(words), []
-        band, known = int(np.flatnonzero(bands[0] == pdf["bkey"].iat[0])[0]), {}
+        n, key, texts = pdf["n"].to_numpy(np.int64), pdf["set_key"].to_numpy(), pdf["text"].to_numpy()
+        root, sets, found, known = pd.factorize(pdf["root"])[0], Shingles(words), [], {}
 
         def shingles(k: int) -> np.ndarray:
             if k not in known:
                 known[k] = sets.of(texts[k])
             return known[k]
 
-        for i in np.flatnonzero(chunk == lo):
-            if key[i] == lead:
-                continue
-            other = chunk == hi
-            if lo == hi:
-                other &= np.arange(len(n)) > i
-            other &= (root != root[i]) & (key != lead) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            j = np.flatnonzero(other)
-            differ = np.bitwise_or.reduce((planes[j] ^ planes[i]).reshape(len(j), BITS, half), axis=1)
-            equal = 1 - np.bitwise_count(differ).sum(axis=1) / HASHES
-            j = j[(equal - chance) / (1 - chance) >= percent / 100 - allowance]
-            j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
-            for k in j:
+        for i, others in _likely(pdf, root, percent, allowance):
+            for k in others:
                 if root[k] != root[i]:
                     both = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
                     if 100 * both >= percent * (n[i] + n[k] - both):
@@ -216,14 +237,14 @@ def _block_links(percent: int, allowance: float, words: int):
     return links
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 85, key: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:
-    """One row per document: key, n_shingles, component_id (smallest key reachable over links) and kept."""
+def _grouped(df: DataFrame, words: int, percent: int, key: str, text: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: key, text_key, n_shingles, set_key; sets: set_key, component_id, and the text_key of the row of that id)."""
     spark = df.sparkSession
     scratch, allowance = Scratch(spark, "near-dup"), slack(percent)
     docs = scratch.keep(sketch(df, key, text, words), "sketch")
     classes = docs.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_key")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     classes = scratch.keep(classes.select("set_key", F.col("first.key").alias("first_key"), F.col("first.text_key").alias("text_key"), "n", "bands", "planes"), "classes")
-    rows = scratch.keep(docs.select("key", "n_shingles", "set_key"), "rows")
+    rows = scratch.keep(docs.select("key", "text_key", "n_shingles", "set_key"), "rows")
 
     members = classes.select(F.explode("bands").alias("bkey"), "set_key", F.xxhash64("set_key").alias("h"))
     shared = members.groupBy("bkey").agg(F.count("*").alias("size"), F.min("h").alias("lead_h")).where("size > 1")
@@ -249,29 +270,51 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 85, key: str =
 
     placed = members.where("size > 2").join(roots, members["set_key"] == roots["node"], "left").select("bkey", "set_key", "size", F.coalesce("root", "set_key").alias("root"))
     mixed = placed.groupBy("bkey").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bkey")
-    rest = placed.join(mixed, "bkey").join(leads, "bkey").join(classes.select("set_key", "n", "bands", "planes"), "set_key").join(texts, "set_key")
+    rest = placed.join(mixed, "bkey").join(leads, "bkey").join(classes.select("set_key", "n", "bands", "planes"), "set_key")
     blocks = F.ceil(F.col("size") / block).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("chunk", F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    more = rest.select("bkey", "lo", "hi", "chunk", "set_key", "root", "lead", "n", "bands", "planes", "text").groupBy("bkey", "lo", "hi").applyInPandas(_block_links(percent, allowance, words), "a binary, b binary")
+    by = ["bkey", "lo", "hi"]
+    rest = scratch.keep(rest.select(*by, "chunk", "set_key", "root", "lead", "n", "bands", "planes"), "rest")
+    likely = scratch.keep(rest.groupBy(*by).applyInPandas(_block_members(percent, allowance), "bkey long, lo int, hi int, set_key binary"), "likely")
+    more = rest.join(likely, [*by, "set_key"]).join(texts, "set_key").groupBy(*by).applyInPandas(_block_links(percent, allowance, words), "a binary, b binary")
     more = scratch.keep(more, "more")
     if more.isEmpty():
         final = roots
     else:
         final = components(scratch, links.union(more), "last")
     final = scratch.keep(final, "roots")
-    scratch.drop("sketch", "members", "texts", "star", "more")
+    scratch.drop("sketch", "members", "texts", "star", "rest", "likely", "more")
+
+    labelled = classes.select("set_key", "first_key", "text_key").join(final, F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key"))
+    first = F.min(F.struct(F.col("first_key").isNull().alias("none"), F.col("first_key").alias("key"), "text_key"))
+    smallest = labelled.groupBy("root").agg(first.alias("first")).select("root", F.col("first.key").alias("component_id"), F.col("first.text_key").alias("first_text"))
+    return rows, scratch.keep(labelled.join(smallest, "root").select("set_key", "component_id", "first_text"), "sets")
 
-    labelled = classes.select("set_key", "first_key").join(final, F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key"))
-    smallest = labelled.groupBy("root").agg(F.min("first_key").alias("component_id"))
-    ids = labelled.join(smallest, "root").select("set_key", "component_id")
-    linked = rows.where("n_shingles > 0").join(ids, "set_key").select("key", "n_shingles", "component_id")
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 85, key: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:
+    """One row per document: key, n_shingles, component_id (smallest key reachable over links) and kept."""
+    rows, sets = _grouped(df, words, percent, key, text, block)
+    linked = rows.where("n_shingles > 0").join(sets, "set_key").select("key", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).withColumnRenamed("key", key)
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that another document of their group stands for; columns as they are."""
-    gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 85, key: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:
+    """The documents without those that another document of their group stands for; columns as they are.
+
+    Each row is decided by its own id and text: of a group, one row with the smallest id stays, also where ids are null or
+    repeat, or rows are equal throughout. Rows without words all stay.
+    """
+    rows, sets = _grouped(docs, words, percent, key, text, block)
+    row_of = lambda k, t: F.md5(F.concat(F.coalesce(k.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(t, F.lit("null"))))
+    own = row_of(F.col("key"), F.col("text_key"))
+    linked = rows.where("n_shingles > 0").join(sets, "set_key").groupBy(own.alias("row_key")).agg(F.count("*").alias("n"), F.first(own == row_of(F.col("component_id"), F.col("first_text"))).alias("stays"))
+    out = linked.where("NOT stays OR n > 1")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    plain = docs.toDF(*names)
+    keyed = plain.withColumn("row_key", row_of(F.col(names[docs.columns.index(key)]), F.md5(F.col(names[docs.columns.index(text)]))))
+    single = keyed.join(out.select("row_key"), "row_key", "left_anti")
+    repeated = keyed.join(out.where("stays").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return single.unionByName(repeated).select(*names).toDF(*docs.columns)
