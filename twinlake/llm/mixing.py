@@ -7,8 +7,8 @@ cap / weight, the capped sources come first, so one running sum gives the level
 Selection: each document is taken once for every complete epoch of its target; the rest of the target is filled in
 the order of Efraimidis-Spirakis keys -ln(u) / weight. Whole documents are taken: up to the one whose middle passes
 the rest, so a source misses its target by half a document at most. Keys fall into buckets on a log scale; sums by
-(source, bucket) show in which single bucket a source's cut lies, and only that bucket's rows are sorted. A hot
-source is thus never sorted or gathered whole.
+(source, bucket) show in which single bucket a source's cut lies, sums of its 4,096 parts in which part, and only that
+part's rows are sorted: less than a millionth of a source. A hot source is thus never sorted or gathered whole.
 
 Defined results: null texts have size 0; a null source is a source of its own, the last; sources without words get
 target 0; rows with equal doc_id and size share a key and are taken or left together, null doc_ids too; an empty
@@ -55,7 +55,8 @@ def targets(sizes: DataFrame, ratio: float = 1.5, most: int = 2, pattern: tuple[
 def _keyed(df: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
     sized = df.select(F.struct("*").alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), words_count(F.col(text)).alias("size"), F.col(text).alias("text"))
     keyed = sized.withColumn("k", sampling_key(F.col("doc_id"), quality(F.col("text"), F.col("size")), seed)).drop("text")
-    return keyed.withColumn("bucket", F.floor(256 * F.log2("k")).cast("int"))
+    fine = F.floor((1 << 20) * F.log2("k")).cast("long")
+    return keyed.withColumn("fine", fine).withColumn("bucket", F.shiftright("fine", 12).cast("int"))
 
 
 def _plan(scratch: Scratch, keyed: DataFrame, ratio: float, most: int) -> DataFrame:
@@ -68,20 +69,25 @@ def _plan(scratch: Scratch, keyed: DataFrame, ratio: float, most: int) -> DataFr
     cuts = sums.withColumn("upto", upto).join(wanted.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
     cuts = cuts.where("rest > 0 AND upto >= rest AND upto - s < rest").select(F.col("name").alias("cut_source"), F.col("bucket").alias("cut_bucket"), (F.col("upto") - F.col("s")).alias("before"), "rest")
     cuts = scratch.keep(cuts, "cuts")
-    inside = keyed.select("source", "bucket", "k", "doc_id", "size").join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("bucket") == F.col("cut_bucket")))
-    peers = inside.groupBy("cut_source", "cut_bucket", "before", "rest", "k", "doc_id", "size").agg(F.sum("size").alias("tied"))
-    run = F.col("before") + F.sum("tied").over(Window.partitionBy("cut_source").orderBy("k", "doc_id", "size"))
+    inside = keyed.select("source", "bucket", "fine", "k", "doc_id", "size").join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("bucket") == F.col("cut_bucket")))
+    fines = inside.groupBy("cut_source", "cut_bucket", "fine", "before", "rest").agg(F.sum("size").alias("s"))  # at most 4,096 for a source
+    fines = fines.withColumn("upto", F.col("before") + F.sum("s").over(Window.partitionBy("cut_source").orderBy("fine")))
+    cuts = fines.where("upto >= rest AND upto - s < rest").select(F.col("cut_source").alias("c_source"), F.col("cut_bucket").alias("c_bucket"), F.col("fine").alias("cut_fine"), (F.col("upto") - F.col("s")).alias("base"))
+    cuts = scratch.keep(cuts, "fine_cuts")
+    inside = inside.join(cuts, F.col("cut_source").eqNullSafe(F.col("c_source")) & (F.col("fine") == F.col("cut_fine")))
+    peers = inside.groupBy("cut_source", "base", "rest", "k", "doc_id", "size").agg(F.sum("size").alias("tied"))
+    run = F.col("base") + F.sum("tied").over(Window.partitionBy("cut_source").orderBy("k", "doc_id", "size"))
     taken = peers.withColumn("run", run).where("2 * run - tied <= 2 * rest").groupBy("cut_source").agg(F.max(F.struct("k", "doc_id", "size")).alias("last"))
-    ends = cuts.join(taken.withColumnRenamed("cut_source", "taken_source"), F.col("cut_source").eqNullSafe(F.col("taken_source")), "left").select("cut_source", "cut_bucket", "last")
-    plan = wanted.join(ends, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    return scratch.keep(plan.select(F.col("source").alias("name"), "source_size", "target", "epochs", "rest", "cut_bucket", "last"), "plan")
+    ends = cuts.join(taken.withColumnRenamed("cut_source", "taken_source"), F.col("c_source").eqNullSafe(F.col("taken_source")), "left").select("c_source", F.lit(True).alias("is_cut"), "cut_fine", "last")
+    plan = wanted.join(ends, F.col("source").eqNullSafe(F.col("c_source")), "left")
+    return scratch.keep(plan.select(F.col("source").alias("name"), "source_size", "target", "epochs", "rest", "is_cut", "cut_fine", "last"), "plan")
 
 
 def _times(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     """keyed with source_size, target and how often each row is taken; the plan has a row per source and is
     broadcast only where its files are below spark.sql.autoBroadcastJoinThreshold."""
-    below = F.coalesce(F.struct("k", "doc_id", "size") <= F.col("last"), F.lit(False)) & (F.col("bucket") == F.col("cut_bucket"))
-    part = F.when(F.col("cut_bucket").isNull(), F.lit(False)).otherwise((F.col("bucket") < F.col("cut_bucket")) | below)
+    below = F.coalesce(F.struct("k", "doc_id", "size") <= F.col("last"), F.lit(False)) & (F.col("fine") == F.col("cut_fine"))
+    part = F.when(F.col("is_cut"), (F.col("fine") < F.col("cut_fine")) | below).otherwise(F.lit(False))
     joined = keyed.join(plan, F.col("source").eqNullSafe(F.col("name")))
     return joined.withColumn("times", F.col("epochs") + part.cast("long"))
 
