@@ -35,6 +35,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many "_" behind it as it takes to differ (in lower case, as Spark compares them)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short pieces of a batch, so that Python holds few texts at once."""
     for at in range(0, batch.num_rows, rows):

@@ -1,17 +1,20 @@
 """Operator 8: severity of toxicity by cumulative-link ordinal regression over sparse text features.
 
-Grades are ordered: 0 for labelled clean, 1 and 2 for labelled toxic documents with at most and with more than the
-median number of marked features. One weight vector serves all thresholds: P(grade > k) = logistic(w.x - cut_k), cut_0 < cut_1. The
-expected severity is the sum of these probabilities; a document is rejected where P(grade > 0) >= 0.25 (two marked words of a language suffice).
+Grades are ordered: 0 for labelled clean, 1 and 2 for labelled toxic documents. The labels say no more than toxic or not, so
+the upper grade takes evidence from outside: the sample is dealt into two folds, marked features are found in each fold
+alone, and a toxic document has grade 2 if it holds more than the median number of features that the OTHER fold marks.
+One weight vector serves all thresholds: P(grade > k) = logistic(w.x - cut_k), cut_0 < cut_1. The expected severity is the
+sum of these probabilities; a document is rejected where P(grade > 0) >= 0.25 (two marked words of a language suffice).
 
 Features are the lower-cased words of the whole text and the first four and five letters of longer words, each
-present or absent, by 64-bit hash. Features are counted over the labelled sample by Spark; the `most_features`
-with the largest log-likelihood ratio that are more frequent in toxic documents are marked (`least_g` at least),
-so the model has a fixed bound whatever the corpus and no word can excuse another. The sample is bounded too: the `fit_rows` labelled rows of least hashed id.
+present or absent, by 64-bit hash. Features are counted over the labelled sample by Spark; those whose log-likelihood
+ratio is `least_g` at least and that are more frequent in toxic documents are marked, and the weights are regularised by
+their squares; no word can excuse another. Only the sample is bounded: the `fit_rows` labelled rows of least hashed id.
 
 Defined results: null or empty texts have no feature and severity as the cuts alone give it, and are never rejected;
 without both clean and toxic labels there is no evidence: severity 0, nothing rejected; labels that are null or
-for unknown documents are skipped, repeated ones count as often; extra columns stay as they are.
+for unknown documents are skipped, repeated ones count as often; extra columns stay as they are, and where one has the name
+of a result, the result's name gets "_" behind it.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Scratch, slices
+from .common import Scratch, free_name, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,7 +55,7 @@ class Ordinal:
         return [float(1 / (1 + np.exp(np.clip(c - x, -40, 40)))) for c in self.cuts]
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, columns: list[int], cuts: int = 2, l2: float = 0.1, steps: int = 400) -> Ordinal:
+def fit(rows: list[list[int]], grades: np.ndarray, columns: list[int], cuts: int = 2, l2: float = 0.3, steps: int = 400) -> Ordinal:
     """Maximum penalised likelihood by gradient steps scaled by their running moments; rows hold positions in `columns`."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([c for r in rows for c in r], np.int64)
@@ -76,63 +80,104 @@ def fit(rows: list[list[int]], grades: np.ndarray, columns: list[int], cuts: int
     return Ordinal(dict(zip(columns, w.tolist())), cut.tolist())
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_features: int = 2_000, least_g: float = 18.0, key: str = "doc_id", text: str = "text") -> Ordinal:
-    """The model of the labelled sample. Only counts of significant features and sample rows cut to them reach the driver."""
+def _marked(seen: tuple[str, str], n: dict[int, int], least_g: float) -> F.Column:
+    """Whether a feature with (rows, toxic rows) of that name speaks for toxicity, in a sample of n clean and toxic rows."""
+    hits, t = (F.col(c) for c in seen)
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not n0 or not n1:
+        return F.lit(False)
+    part = lambda some, n: F.when(some > 0, some * F.ln(some * float(n0 + n1) / (hits * n))).otherwise(0.0)
+    return (hits > 0) & (2 * (part(t, n1) + part(hits - t, n0)) >= least_g) & (t * n0 > (hits - t) * n1)
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, least_g: float = 18.0, key: str = "doc_id", text: str = "text") -> Ordinal:
+    """The model of the labelled sample. Only counts of marked features and sample rows cut to them reach the driver."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     some = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("label_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, 1.2 * fit_rows / max(1, some.count()) + 1e-3)  # by hash before the sort: a few more than wanted
     some = some.where(F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40))).orderBy(F.xxhash64("label_id"), "toxic").limit(fit_rows)
-    found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(some, F.col("id") == F.col("label_id")).select("toxic", "text")
+    fold = F.pmod(F.xxhash64("label_id", F.lit(9)), F.lit(2)).cast("int")
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(some, F.col("id") == F.col("label_id")).select("toxic", fold.alias("fold"), "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                yield pa.record_batch([batch.column("toxic"), pa.array([sorted(features(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["toxic", "present"])
-
-    sample = scratch.keep(found.mapInArrow(hashed, "toxic int, present array<long>"), "sample")
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 or not n1:
+                yield pa.record_batch([batch.column("toxic"), batch.column("fold"), pa.array([sorted(features(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["toxic", "fold", "present"])
+
+    sample = scratch.keep(found.mapInArrow(hashed, "toxic int, fold int, present array<long>"), "sample")
+    n: list[dict[int, int]] = [{}, {}, {}]  # rows by label: of each fold, of both
+    for r in sample.groupBy("fold", "toxic").count().collect():
+        for which in (r["fold"], 2):
+            n[which][r["toxic"]] = n[which].get(r["toxic"], 0) + r["count"]
+    if len(n[2]) < 2:
         return Ordinal()
-    hits, t = F.col("hits"), F.col("t")
-    part = lambda seen, n: F.when(seen > 0, seen * F.ln(seen * float(n0 + n1) / (hits * n))).otherwise(0.0)
-    counted = sample.select("toxic", F.explode("present").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.count("*").alias("hits"))
-    marked = counted.withColumn("g", 2 * (part(t, n1) + part(hits - t, n0))).where((F.col("g") >= least_g) & (t * n0 > (hits - t) * n1))
-    top = marked.orderBy(F.desc("g"), "feature").limit(most_features).collect()
-    columns = [r["feature"] for r in top]
+    in_fold = lambda k, c: F.sum(F.when(F.col("fold") == k, c).otherwise(0))
+    rows = sample.select("toxic", "fold", F.explode("present").alias("feature")).groupBy("feature")
+    counted = rows.agg(*[in_fold(k, F.lit(1)).alias(f"h{k}") for k in (0, 1)], *[in_fold(k, F.col("toxic")).alias(f"t{k}") for k in (0, 1)], F.count("*").alias("h2"), F.sum("toxic").alias("t2"))
+    flags = counted.select("feature", *[_marked((f"h{k}", f"t{k}"), n[k], least_g).alias(f"m{k}") for k in (0, 1, 2)])
+    found = flags.where("m0 OR m1 OR m2").collect()  # significant features of the sample
+    columns = sorted(r["feature"] for r in found if r["m2"])
     if not columns:
         return Ordinal()
-    ids = F.array(*map(F.lit, columns)).cast("array<long>")
-    cut = sample.select("toxic", F.array_intersect("present", ids).alias("present")).collect()
     place = {c: k for k, c in enumerate(columns)}
-    cut = sorted(cut, key=lambda r: (r["toxic"], sorted(r["present"])))  # the same order on every run
-    marked = np.array([len(r["present"]) for r in cut])
-    toxic = np.array([r["toxic"] for r in cut])
-    grades = np.where(toxic == 0, 0, 1 + (marked > np.median(marked[toxic == 1])))
-    return fit([[place[f] for f in r["present"]] for r in cut], grades, columns)
+    by_fold = [{r["feature"] for r in found if r[f"m{k}"]} for k in (0, 1)]
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            present, folds = batch.column("present").to_pylist(), batch.column("fold").to_pylist()
+            cut = [[place[f] for f in p if f in place] for p in present]
+            outside = [len(by_fold[1 - k].intersection(p)) for k, p in zip(folds, present)]
+            yield pa.record_batch([batch.column("toxic"), batch.column("fold"), pa.array(cut, pa.list_(pa.int32())), pa.array(outside, pa.int32())], ["toxic", "fold", "cut", "outside"])
+
+    cut = sample.mapInArrow(reduced, "toxic int, fold int, cut array<int>, outside int").collect()
+    cut = sorted(cut, key=lambda r: (r["toxic"], r["fold"], r["outside"], sorted(r["cut"])))  # the same order on every run
+    toxic, folds, outside = (np.array([r[c] for r in cut]) for c in ("toxic", "fold", "outside"))
+    median = [np.median(outside[(toxic == 1) & (folds == k)]) if ((toxic == 1) & (folds == k)).any() else 0 for k in (0, 1)]
+    grades = np.where(toxic == 0, 0, 1 + (outside > np.where(folds == 0, *median)))
+    return fit([r["cut"] for r in cut], grades, columns)
+
+
+class _Scorer:
+    """Severity and rejection of texts, with what is known of the words met."""
+
+    def __init__(self, model: Ordinal, reject_at: float):
+        self.model, self.reject_at, self.known = model, reject_at, {}
+
+    def __call__(self, text: str | None) -> tuple[float, bool]:
+        words, known, weights = set(_WORD.findall((text or "").lower())), self.known, self.model.weights
+        for w in words.difference(known):
+            known[w] = tuple(h for h in (xxhash.xxh3_64_intdigest(n) - (1 << 63) for n in names(w)) if h in weights)
+        present = {h for w in words if known[w] for h in known[w]}
+        if len(known) > 400_000:
+            self.known = {}
+        above = self.model.above(sum(weights[h] for h in sorted(present)))
+        return sum(above), bool(words) and above[0] >= self.reject_at
 
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text", reject_at: float = 0.25) -> DataFrame:
     """The documents with toxic_severity (expected grade) and toxic_rejected; no shuffle."""
-    kept = [c for c in docs.columns if c not in ("toxic_severity", "toxic_rejected")]
-    place = kept.index(text)
-    schema = docs.select(kept).schema.add("toxic_severity", "double").add("toxic_rejected", "boolean")
+    place, schema = docs.columns.index(text), StructType(docs.schema.fields[:])
+    for name, kind in (("toxic_severity", "double"), ("toxic_rejected", "boolean")):
+        schema = schema.add(free_name(name, schema.names), kind)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        of = _Scorer(model, reject_at)
+        for whole in batches:
+            for batch in slices(whole):
+                found = [of(t) for t in batch.column(place).to_pylist()]
+                yield pa.record_batch([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([r for _, r in found], pa.bool_())], schema.names)
+
+    return docs.mapInArrow(scored, schema)
+
+
+def accepted(docs: DataFrame, model: Ordinal, text: str = "text", reject_at: float = 0.25) -> DataFrame:
+    """The documents that are not rejected; columns as they are."""
+    place = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Scorer(model, reject_at)
         for whole in batches:
             for batch in slices(whole):
-                severity, rejected = [], []
-                for t in batch.column(place).to_pylist():
-                    words = set(_WORD.findall((t or "").lower()))
-                    for w in words.difference(known):
-                        known[w] = tuple(h for h in (xxhash.xxh3_64_intdigest(n) - (1 << 63) for n in names(w)) if h in model.weights)
-                    present = {h for w in words if known[w] for h in known[w]}
-                    above = model.above(sum(model.weights[h] for h in sorted(present)))
-                    severity.append(sum(above))
-                    rejected.append(bool(words) and above[0] >= reject_at)
-                    if len(known) > 400_000:
-                        known = {}
-                yield pa.record_batch([*batch.columns, pa.array(severity, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "toxic_severity", "toxic_rejected"])
-
-    return docs.select(kept).mapInArrow(scored, schema)
+                yield batch.filter(pa.array([not of(t)[1] for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
