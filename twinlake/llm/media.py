@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import webp
-from .common import slices, text_bytes
+from .common import free_name, slices, text_bytes
 
 
 def encode_bytes(payload: bytes, unit: int, rows: int) -> bytes:
@@ -54,11 +54,12 @@ def store(df: DataFrame, unit: int = 576, rows: int = 512, key: str = "doc_id",
 
 
 def load(df: DataFrame, media: str = "media") -> DataFrame:
-    """The rows with samples (row by row), width, height and feature."""
+    """The rows with samples (row by row), width, height and feature; where the input has a column of such a name, the new
+    one's name gets "_" behind it."""
     place = df.columns.index(media)
     schema = StructType(df.schema.fields[:])
     for name, kind in (("samples", "binary"), ("width", "integer"), ("height", "integer"), ("feature", "string")):
-        schema = schema.add(name, kind)
+        schema = schema.add(free_name(name, schema.names), kind)
 
     def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
