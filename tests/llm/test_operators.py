@@ -74,12 +74,25 @@ def test_near_duplicates_odd_rows(odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_deduplicate_decides_by_row(spark, odd, none):
+    copy, other = "a b c d e f g h", "another text that is like no other one here"
+    rows = [(None, copy), (None, copy), (5, copy), (5, copy), (5, other), (7, copy.upper()), (None, other + " x y z"), (8, ""), (8, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).withColumn("row_key", F.lit("clash")).withColumn("C0", F.lit(1))
+    kept = near_dup.deduplicate(df)
+    assert kept.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(5, copy), (5, other), (None, other + " x y z"), (8, ""), (8, "")])
+    assert near_dup.deduplicate(none).count() == 0 and near_dup.deduplicate(odd).columns == odd.columns
+
+
 def test_media_round_trip(odd, none):
     stored = media.load(media.store(odd, rows=7))
     texts = collections.Counter((r.doc_id, (r.text or "").encode()) for r in odd.collect())
     back = collections.Counter((r.doc_id, bytes(r.samples)[: r.n_bytes]) for r in stored.collect())
     assert back == texts and all(len(r.samples) == r.width * r.height and r.width == 576 for r in stored.collect())
     assert media.load(media.store(none)).count() == 0
+    clash = media.load(media.store(odd).withColumns({"width": F.lit("mine"), "Feature": F.lit("mine")}))
+    assert clash.columns == ["doc_id", "n_bytes", "media", "width", "Feature", "samples", "width_", "height", "feature_"]
+    assert {(r.width, r.width_) for r in clash.collect()} == {("mine", 576)}
     assert media.load(media.store(odd).withColumn("media", F.lit(None).cast("binary"))).where("samples IS NOT NULL").count() == 0
 
 
@@ -238,6 +251,10 @@ def test_toxicity_held_out(spark, odd, none):
     assert sum(r.toxic_rejected for r in toxic) > 0.9 * len(toxic) and sum(r.toxic_rejected for r in clean) < 0.01 * len(clean)
     assert np.mean([r.toxic_severity for r in toxic]) > 5 * np.mean([r.toxic_severity for r in clean])
     assert toxicity.score(odd, model).where("toxic_rejected").count() == 0 and toxicity.score(none, model).count() == 0
+    clash = docs.limit(20).withColumn("toxic_severity", F.lit("mine"))
+    assert toxicity.accepted(clash, model).columns == clash.columns
+    assert toxicity.score(clash, model).columns[-3:] == ["toxic_severity", "toxic_severity_", "toxic_rejected"]
+    assert toxicity.accepted(docs, model).count() == toxicity.score(docs, model).where("NOT toxic_rejected").count()
     blank = toxicity.train(docs, labels.limit(0))
     assert not blank.weights and toxicity.score(docs.limit(5), blank).where("toxic_rejected").count() == 0
 
