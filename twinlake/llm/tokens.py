@@ -187,7 +187,7 @@ class _Table:
 class ChunkIds(_Table):
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    _doubled = re.compile(r"(?:[^\w ]|_)[.,](?= |$)")
+    _doubled = re.compile(r"[.,](?<=[^\w ].|_.)(?= |$)")  # looks behind, so that the search stops at points and commas only
 
     def split(self, text: str) -> list[str]:
         text = blanks(text)
