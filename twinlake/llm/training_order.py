@@ -1,7 +1,7 @@
 """Operator 5: training-order materialisation as fixed-stride binary shards.
 
-1. Documents are encoded once and cut into sequences of `stride` ids; each task numbers its own, and the unpadded ids are
-   kept as a table. The number of sequences is then known exactly.
+1. Each task counts the sequences of `stride` ids that its documents make, so that their number is known exactly. Only a
+   count and a checksum for each input split are kept; documents are encoded again to be cut, which costs time but no disk.
 2. A sequence's index is the first of its task plus its number there; a keyed Feistel network with cycle-walking permutes
    the indices 0 to n - 1, so the permuted index is the sequence's global slot, known before anything is sorted.
 3. Shard s holds the slots from s * `shard_rows` on. Each task takes a range of shards, sorts by slot and writes them as
@@ -11,7 +11,8 @@ Slot t lies in shard t // shard_rows at byte (t % shard_rows) * stride * width.
 sequences, stride, width) is kept beside the shards; read_from() reads byte ranges from any slot on.
 
 Ids take two bytes where the vocabulary fits, else four. The order depends on the key, on the number of sequences and on
-the order of the input's rows.
+the order of the input's rows. The input is read twice and must give the same rows in the same partitions, as a table in
+files does; where the checksums differ, the job fails (write such an input as a table first).
 
 Defined results: a null or empty text is one sequence of the end id alone; repeated rows are sequences of their own;
 an empty table gives no shards; other columns are ignored.
@@ -82,37 +83,49 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
     id_type = np.dtype(f"<u{width}")
     line = stride * width
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, task, at = worker(ChunkIds, vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], id_type).tobytes()
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray, int]]:
+        """Keys, encoded documents, their numbers of sequences, and a checksum of all texts so far."""
+        table, end, seen = worker(ChunkIds, vocabulary), np.array([end_id], id_type).tobytes(), 0
         for whole in batches:
             for batch in slices(whole):
-                ids = [np.frombuffer(raw, "<u4").astype(id_type).tobytes() + end for raw in table.of(batch.column("text").to_pylist())]
-                n = np.array([-(-len(i) // line) for i in ids], np.int64)
-                yield pa.record_batch([pa.array([task] * len(ids), pa.int32()), pa.array(at + np.cumsum(n) - n), batch.column("key"), pa.array(n), pa.array(ids, pa.binary())], ["task", "number", "key", "n", "ids"])
-                at += int(n.sum())
-
-    texts = scratch.keep(src.mapInArrow(encoded, f"task int, number long, key {kind}, n long, ids binary"), "ids", "zstd")
-    sizes = {r["task"]: r["n"] for r in texts.groupBy("task").agg(F.sum("n").alias("n")).collect()}  # a row per input split
-    base, total = {}, 0
-    for task in sorted(sizes):
-        base[task] = total
-        total += sizes[task]
+                texts = batch.column("text").to_pylist()
+                for t in texts:
+                    seen = zlib.crc32(b"\xff", zlib.crc32(t.encode(), seen))
+                ids = [np.frombuffer(raw, "<u4").astype(id_type).tobytes() + end for raw in table.of(texts)]
+                yield batch.column("key"), ids, np.array([-(-len(i) // line) for i in ids], np.int64), seen
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = 0, 0
+        for _, _, n, seen in lines(batches):
+            total += int(n.sum())
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total]), pa.array([seen], pa.int64())], ["task", "n", "seen"])
+
+    # A row per input split.
+    splits = src.mapInArrow(counted, "task int, n long, seen long").collect()
+    count, checks = np.zeros((2, 1 + max((r["task"] for r in splits), default=-1)), np.int64)
+    for r in splits:
+        count[r["task"]], checks[r["task"]] = r["n"], r["seen"]
+    base, total = np.cumsum(count) - count, int(count.sum())
     permute, shards = Feistel(max(1, total), order_key), max(1, -(-total // shard_rows))
     per_task = -(-shards // MOST_TASKS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                first = [base[t] + k for t, k in zip(batch.column("task").to_pylist(), batch.column("number").to_pylist())]
-                n, ids = batch.column("n").to_numpy(), batch.column("ids").to_pylist()
-                slot = permute.slot(np.concatenate([np.arange(a, a + k, dtype=np.uint64) for a, k in zip(first, n.tolist())] or [np.zeros(0, np.uint64)]))
-                part = np.concatenate([np.arange(k, dtype=np.int32) for k in n.tolist()] or [np.zeros(0, np.int32)])
-                keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(n)), n)))
-                data = [raw[at : at + line] for raw in ids for at in range(0, len(raw), line)]
-                yield pa.record_batch([pa.array((slot // shard_rows // per_task).astype(np.int32)), pa.array(slot), keys, pa.array(part), pa.array(data, pa.binary())], ["writer", "slot", "key", "part", "ids"])
-
-    cut_up = texts.mapInArrow(cut, f"writer int, slot long, key {kind}, part int, ids binary")
+        task = TaskContext.get().partitionId()
+        first, n_all, check = (int(x[task]) if task < len(count) else 0 for x in (base, count, checks))
+        at, last, seen = first, first + n_all, 0
+        for names, ids, n, seen in lines(batches):
+            size = int(n.sum())
+            slot = permute.slot(np.arange(at, at + size, dtype=np.uint64))
+            at += size
+            if at > last:
+                break
+            part = np.arange(size, dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+            data = [raw[k : k + line] for raw in ids for k in range(0, len(raw), line)]
+            yield pa.record_batch([pa.array((slot // shard_rows // per_task).astype(np.int32)), pa.array(slot), names.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(part.astype(np.int32)), pa.array(data, pa.binary())], ["writer", "slot", "key", "part", "ids"])
+        if at != last or seen != check:
+            raise RuntimeError("the input has other rows at its second reading; write it as a table first")
+
+    cut_up = src.mapInArrow(cut, f"writer int, slot long, key {kind}, part int, ids binary")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -144,7 +157,6 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
 
     sorted_up = cut_up.repartitionById(-(-shards // per_task), "writer").sortWithinPartitions("slot")  # a task per range of shards
     log = scratch.keep(sorted_up.mapInArrow(written, f"slot long, key {kind}, part int, n_ids int, ids_crc32 long"), "log")
-    scratch.drop("ids")
     first = F.col("id") * shard_rows
     manifest = spark.range(-(-total // shard_rows)).select(F.col("id").cast("int").alias("shard"), first.alias("first"), F.least(F.lit(shard_rows), F.lit(total) - first).alias("n"), F.lit(stride).alias("stride"), F.lit(width).alias("width"))
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{to}/manifest")
