@@ -134,6 +134,16 @@ def test_pii_rows(odd, none, spark):
         assert registered[r.doc_id].base_sha256 == pii.digest(listed(base)) and registered[r.doc_id].spans == listed(every)
 
 
+@pytest.mark.parametrize("most", [1, 192, 193, 255, 15_552, 15_553, 49_408, training_order.MOST_RANKS])
+def test_training_order_compact_ranks(most):
+    edges = [r for r in (0, 191, 192, 255, 256, 15_551, 15_552, 15_553, 81_087, 81_088, most - 1) if r < most]
+    rank = np.concatenate([edges, np.random.default_rng(most).integers(0, most, 300)]).astype(np.int64)
+    for some in (rank, rank[:1], rank[:0]):
+        raw = training_order.compact(some)
+        assert training_order.spread(raw, len(some)).tolist() == some.tolist()
+        assert len(raw) == sum(1 + (r >= 192) + (r >= 15_552) for r in some.tolist())
+
+
 def test_training_order_round_trip(spark, odd, none, tmp_path):
     to = f"file://{tmp_path}/shards"
     rows = training_order.materialise(odd, registry.vocabulary(), to, stride=64, shard_rows=300).collect()
@@ -154,6 +164,8 @@ def test_training_order_round_trip(spark, odd, none, tmp_path):
     assert [r.slot for r in later] == list(range(303, 777)) and [r.ids for r in later] == [r.ids for r in read[303:777]]
     again = training_order.materialise(odd, registry.vocabulary(), f"file://{tmp_path}/again", stride=64, shard_rows=300).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
+    gaps = odd.repartition(7).where(F.spark_partition_id() % 3 == 1)  # partitions without rows
+    assert [r.slot for r in training_order.materialise(gaps, registry.vocabulary(), f"file://{tmp_path}/gaps", stride=64).orderBy("slot").collect()] == list(range(training_order.read_from(spark, f"file://{tmp_path}/gaps").count()))
     assert training_order.materialise(none, registry.vocabulary(), f"file://{tmp_path}/none").count() == 0
     assert training_order.read_from(spark, f"file://{tmp_path}/none").count() == 0
 

@@ -4,6 +4,7 @@
    kept as a table. The number of sequences is then known exactly.
 2. A sequence's index is the first of its task plus its number there; a keyed Feistel network with cycle-walking permutes
    the indices 0 to n - 1, so the permuted index is the sequence's global slot, known before anything is sorted.
+   On their way to the shards ids are written as ranks by frequency over the whole table, in one to three bytes each.
 3. Shard s holds the slots from s * `shard_rows` on. Each task takes a range of shards, sorts by slot and writes them as
    files of fixed-width ids under temporary names, renamed when whole; a task that runs again writes the same bytes.
 
@@ -68,6 +69,35 @@ class Feistel:
         return self._walk(slot, self.keys[::-1])
 
 
+# Ranks in compact form: one byte below ONE, two below ONE + TWO, else three.
+ONE, LEADS = 192, 60
+TWO = LEADS << 8
+MOST_RANKS = ONE + TWO + ((256 - ONE - LEADS) << 16)
+
+
+def compact(rank: np.ndarray) -> bytes:
+    """The first bytes of all ranks, then the second bytes, then the third bytes of those that have one."""
+    lead, more = rank.copy(), rank[rank >= ONE] - ONE
+    three = more >= TWO
+    far, first, second = more[three] - TWO, more >> 8, more & 255
+    first[three], second[three] = LEADS + (far >> 16), far >> 8 & 255
+    lead[rank >= ONE] = ONE + first
+    return b"".join(x.astype(np.uint8).tobytes() for x in (lead, second, far & 255))
+
+
+def spread(raw: bytes, n: int) -> np.ndarray:
+    """The n ranks in compact form."""
+    codes = np.frombuffer(raw, np.uint8).astype(np.int64)
+    rank = codes[:n].copy()
+    longer = rank >= ONE
+    first = rank[longer] - ONE
+    second, third, three = codes[n : n + len(first)], codes[n + len(first) :], first >= LEADS
+    more = first << 8 | second
+    more[three] = TWO + ((first[three] - LEADS) << 16 | second[three] << 8 | third)
+    rank[longer] = ONE + more
+    return rank
+
+
 #: Most tasks that write shards.
 MOST_TASKS = 20_000
 
@@ -78,7 +108,10 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
     scratch = Scratch(spark, "order")
     src = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = src.schema["key"].dataType.simpleString()
-    width = 2 if load(vocabulary).get_vocab_size() <= 1 << 16 else 4
+    known = max(load(vocabulary).get_vocab_size(), end_id + 1)
+    if known > MOST_RANKS:
+        raise ValueError(f"more than {MOST_RANKS} different ids")
+    width = 2 if known <= 1 << 16 else 4
     id_type = np.dtype(f"<u{width}")
     line = stride * width
 
@@ -94,6 +127,18 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
 
     texts = scratch.keep(src.mapInArrow(encoded, f"task int, number long, key {kind}, n long, ids binary"), "ids", "zstd")
     sizes = {r["task"]: r["n"] for r in texts.groupBy("task").agg(F.sum("n").alias("n")).collect()}  # a row per input split
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(known, np.int64)
+        for whole in batches:
+            for batch in slices(whole):
+                n += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), id_type), minlength=known)
+        yield pa.record_batch([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["id", "n"])
+
+    used = texts.select("ids").mapInArrow(frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id
+    id_of = np.array([r["id"] for r in sorted(used, key=lambda r: (-r["n"], r["id"]))], np.int64)
+    rank_of = np.zeros(known, np.int64)
+    rank_of[id_of] = np.arange(len(id_of))
     base, total = {}, 0
     for task in sorted(sizes):
         base[task] = total
@@ -109,10 +154,10 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
                 slot = permute.slot(np.concatenate([np.arange(a, a + k, dtype=np.uint64) for a, k in zip(first, n.tolist())] or [np.zeros(0, np.uint64)]))
                 part = np.concatenate([np.arange(k, dtype=np.int32) for k in n.tolist()] or [np.zeros(0, np.int32)])
                 keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(n)), n)))
-                data = [raw[at : at + line] for raw in ids for at in range(0, len(raw), line)]
-                yield pa.record_batch([pa.array((slot // shard_rows // per_task).astype(np.int32)), pa.array(slot), keys, pa.array(part), pa.array(data, pa.binary())], ["writer", "slot", "key", "part", "ids"])
+                data = [rank[at : at + stride] for rank in (rank_of[np.frombuffer(raw, id_type)] for raw in ids) for at in range(0, len(rank), stride)]
+                yield pa.record_batch([pa.array((slot // shard_rows // per_task).astype(np.int32)), pa.array(slot), keys, pa.array(part), pa.array([*map(len, data)], pa.int32()), pa.array([*map(compact, data)], pa.binary())], ["writer", "slot", "key", "part", "n", "ranks"])
 
-    cut_up = texts.mapInArrow(cut, f"writer int, slot long, key {kind}, part int, ids binary")
+    cut_up = texts.mapInArrow(cut, f"writer int, slot long, key {kind}, part int, n int, ranks binary")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -129,17 +174,16 @@ def materialise(df: DataFrame, vocabulary: str, to: str, stride: int = 256, orde
         store.create_dir(folder, recursive=True)
         for whole in batches:
             for batch in slices(whole, 4096):
-                slots, number, sums = batch.column("slot").to_pylist(), [], []
-                for slot, ids in zip(slots, batch.column("ids").to_pylist()):
+                slots, number, sums = batch.column("slot").to_pylist(), batch.column("n"), []
+                for slot, n, ranks in zip(slots, number.to_pylist(), batch.column("ranks").to_pylist()):
                     if slot // shard_rows != shard:
                         close()
                         shard, temporary = slot // shard_rows, f"{folder}/.{uuid.uuid4().hex}"
                         out = store.open_output_stream(temporary)
-                    full = ids + fill * ((line - len(ids)) // width)
+                    full = id_of[spread(ranks, n)].astype(id_type).tobytes() + fill * (stride - n)
                     out.write(full)
-                    number.append(len(ids) // width)
                     sums.append(zlib.crc32(full))
-                yield pa.record_batch([batch.column("slot"), batch.column("key"), batch.column("part"), pa.array(number, pa.int32()), pa.array(sums, pa.int64())], ["slot", "key", "part", "n_ids", "ids_crc32"])
+                yield pa.record_batch([batch.column("slot"), batch.column("key"), batch.column("part"), number, pa.array(sums, pa.int64())], ["slot", "key", "part", "n_ids", "ids_crc32"])
         close()
 
     sorted_up = cut_up.repartitionById(-(-shards // per_task), "writer").sortWithinPartitions("slot")  # a task per range of shards
