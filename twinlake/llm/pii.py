@@ -4,8 +4,12 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers as they st
 through two transducers: one maps look-alike letters and foreign digits to ASCII, code point by code point; the
 other rewrites "at" and "dot" disguises, runs of spelled digits and invisible characters, and notes for each written
 character the source characters it came from. Spelled digits are English; fewer than seven are rewritten only around
-"dot" or next to digits, and the detectors' length and Luhn tests decide. The same detectors run on the rewritten text, and a match that holds
-a rewritten character is mapped back and added, if no base span is the same. Base spans always stay.
+"dot" or next to digits, and the detectors' length and Luhn tests decide. The same detectors run on the rewritten text,
+and a match that holds a rewritten character is mapped back and added, if no base span is the same. Base spans always stay.
+
+Left out for precision: "-at-" before a plain host ("stay-at-home.com" is a host), "at" before "www.", a one-sided "@"
+with a blank (handles look alike), and long spelled numbers without "plus", since the same digits, written plainly, are no
+phone number either. Spelled digits of other languages are not known.
 
 Defined results: a null text counts as empty: no spans; a plain text costs a few substring searches; spans count
 code points, end exclusive; repeated rows give repeated results; an empty table gives an empty result; other columns
@@ -97,13 +101,14 @@ _SHORT = rf"(?<![A-Za-z])(?:plus{_GAP})?{_NUMBER}(?:{_GAP}{_NUMBER}){{0,2}}(?![A
 _JOINT = rf"(?:[\x20\t,-]{{0,3}}|\.|\)[\x20-]?|[\x20-]?\(|[\x20]dot[\x20]|_dot_)"
 _AFTER_DIGIT, _DIGIT_NEXT = re.compile(rf"[0-9]{_JOINT}$", re.IGNORECASE), re.compile(rf"{_JOINT}[0-9]", re.IGNORECASE)
 _OPEN, _CLOSE = r"[\x20]*[\[({<][\x20]*", r"[\x20]*[\])}>][\x20]*"
-_PLAIN_DOT = r"(?:[\x20]+dot[\x20]+|_dot_)(?=[A-Za-z0-9-])"
+_PLAIN_DOT = r"(?:[\x20]+dot[\x20]+|_dot_|-dot-)(?=[A-Za-z0-9-])"
 _DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}"
+_DASHED_HOST = r"[A-Za-z0-9]+(?:-dot-[A-Za-z0-9]+)+(?![A-Za-z0-9-])"
 #: A host behind a plain "at": with a disguised dot, or with a plain one before a name of at least two letters.
 _HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT}|[\x20]+dot[\x20]+|_dot_)[A-Za-z0-9-]+)*(?:{_DOT}|[\x20]+dot[\x20]+|_dot_)[A-Za-z]"
 _PLAIN_HOST = r"(?!www\.)(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2}"
 _REWRITE = re.compile(
-    rf"(?P<none>[{_INVISIBLE}]+)|(?P<run>{_RUN}|{_SHORT})|(?P<at>(?<=[A-Za-z0-9_%+-]){_OPEN}(?:at|@){_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9_%+-])(?:[\x20]+at[\x20]+|_at_)(?={_HOST}|{_PLAIN_HOST}))"
+    rf"(?P<none>[{_INVISIBLE}]+)|(?P<run>{_RUN}|{_SHORT})|(?P<at>(?<=[A-Za-z0-9_%+-]){_OPEN}(?:at|@){_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9_%+-])(?:[\x20]+(?:at|@)[\x20]+|_at_)(?={_HOST}|{_PLAIN_HOST})|(?<=[A-Za-z0-9])-at-(?={_DASHED_HOST}))"
     rf"|(?P<dot>(?<=[A-Za-z0-9-])(?:{_DOT}|{_PLAIN_DOT}))",
     re.IGNORECASE,
 )
@@ -111,7 +116,7 @@ _INSIDE = re.compile(rf"(?P<number>{_NUMBER})|(?P<dot>dot|point)|(?P<plus>plus)"
 _FOREIGN = re.compile("[" + "".join(map(re.escape, LOOK_ALIKES)) + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff" + "]")
 #: Implied by every branch of _REWRITE that can lead to a span: brackets, dots, plain "at", invisible characters, long runs, digits next to spelled ones.
 _DISGUISED = re.compile(
-    rf"[\[({{<][\x20]*(?:at|dot|@|\.)[\x20]*[\])}}>]|[\x20_]dot[\x20_]|[\x20_]at[\x20_]+(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2}}|[{_INVISIBLE}]"
+    rf"[\[({{<][\x20]*(?:at|dot|@|\.)[\x20]*[\])}}>]|[\x20_-]dot[\x20_-]|[\x20_](?:at|@)[\x20_]+(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2}}|[{_INVISIBLE}]"
     rf"|{_NUMBER}(?:{_GAP}(?:(?:dot|point){_GAP})?{_NUMBER}){{3}}|[0-9]{_JOINT}(?:plus{_GAP})?{_NUMBER}|{_NUMBER}{_JOINT}[0-9]",
     re.IGNORECASE,
 )
