@@ -331,23 +331,30 @@ def _predicted(mode: int, left, top, top_left, top_right):
 
 
 def _predict(p: np.ndarray, modes: np.ndarray, block: int, invert: bool) -> np.ndarray:
-    """Adds predictions to residuals (invert) or takes them from pixels."""
+    """Adds predictions to residuals (invert) or takes them from pixels.
+
+    A pixel needs its left, upper and upper right neighbours, so all pixels with equal x + 2 y are done at once.
+    """
     given = _split(p)
     height, width = p.shape
+    mode = np.repeat(np.repeat(modes & np.uint32(15), 1 << block, 0), 1 << block, 1)[:height, :width].astype(np.int64)
+    mode[mode > 13] = 0
+    mode[0], mode[:, 0], mode[0, 0] = 1, 2, 0  # the edges have modes of their own
     full = np.zeros_like(given) if invert else given
     out = np.zeros_like(given)
-    for y in range(height):
-        for x in range(width):
-            if y == 0:
-                guess = full[0, x - 1] if x else np.array([255, 0, 0, 0])
-            elif x == 0:
-                guess = full[y - 1, 0]
-            else:
-                corner = full[y - 1, x + 1] if x + 1 < width else full[y, 0]
-                guess = _predicted(int(modes[y >> block, x >> block]) % 14, full[y, x - 1], full[y - 1, x], full[y - 1, x - 1], corner)
-            out[y, x] = (given[y, x] + guess if invert else given[y, x] - guess) & 255
-            if invert:
-                full[y, x] = out[y, x]
+    for t in range(width + 2 * (height - 1)):
+        y = np.arange(max(0, (t - width + 2) // 2), min(height - 1, t // 2) + 1)
+        x = t - 2 * y
+        inside = x + 1 < width  # behind the last column stands the row's own first pixel
+        around = full[y, x - 1], full[y - 1, x], full[y - 1, x - 1], full[y - inside, np.where(inside, x + 1, 0)]
+        here, guess = mode[y, x], np.zeros((len(y), 4), np.int32)
+        for m in np.unique(here).tolist():
+            mine = here == m
+            guess[mine] = _predicted(m, *(c[mine] for c in around))
+        done = (given[y, x] + guess if invert else given[y, x] - guess) & 255
+        out[y, x] = done
+        if invert:
+            full[y, x] = done
     return _join(out)
 
 
