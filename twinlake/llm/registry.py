@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, media, mixing, pii, sharding, toxicity, training_order
+from . import ann, media, mixing, pii, prefix_trie, quality, sharding, toxicity, training_order, vector_codes
 from .common import Scratch, documents
 from .near_dup import near_duplicates
 from .packing import pack
@@ -86,6 +86,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of whole texts, learned from labels that are not held out."""
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as four bytes after four rounds, with their errors and the codebooks' digest."""
+    rows, books, _ = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return vector_codes.with_label_errors(rows).select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations whose first turns are those of every twentieth one."""
+    turns = prefix_trie.turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.prefix_trie(prefix_trie.regrafted(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_media": op2_media,
@@ -97,5 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_quality": op11_quality,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op12_vector_codes": vector_codes.SQL, "op13_prefix_trie": prefix_trie.SQL}
