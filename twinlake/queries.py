@@ -584,7 +584,7 @@ def _(s, d):
     "snk2_report",
     f"""WITH {RUN_EVENTS_SQL}, wrong AS (SELECT 'run-' || CAST(user_id % 16 AS VARCHAR) AS run_id, count(*) AS mismatches FROM events WHERE event_type = 'error' GROUP BY 1),
 log AS (SELECT run_id, seq // 10000 AS part, count(*) AS n, min(seq) AS first FROM re WHERE event <> 'done' GROUP BY 1, 2)
-SELECT s.run_id, NULL AS part, CASE WHEN s.errors = 0 AND coalesce(w.mismatches, 0) = 0 THEN 'success' ELSE 'failed' END AS status, s.copied, s.errors, coalesce(w.mismatches, 0) AS mismatches, (SELECT CAST(sum(n) AS BIGINT) FROM log l WHERE l.run_id = s.run_id) AS events, (SELECT count(*) FROM log l WHERE l.run_id = s.run_id) AS parts, NULL AS first
+SELECT s.run_id, NULL AS part, CASE WHEN s.errors = 0 AND coalesce(w.mismatches, 0) = 0 THEN 'success' ELSE 'failed' END AS status, s.copied, s.errors, coalesce(w.mismatches, 0) AS mismatches, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM log l WHERE l.run_id = s.run_id), 0) AS events, (SELECT count(*) FROM log l WHERE l.run_id = s.run_id) AS parts, NULL AS first
 FROM (SELECT run_id, {_STATS_SQL} FROM re GROUP BY run_id) s LEFT JOIN wrong w ON w.run_id = s.run_id
 UNION ALL SELECT run_id, part, NULL, NULL, NULL, NULL, n, NULL, first FROM log""",
 )
