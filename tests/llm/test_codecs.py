@@ -2,6 +2,7 @@
 
 import random
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 
 from twinlake.llm import ann, near_dup, packing, pii, sharding, toxicity, training_order, webp
 from twinlake.llm.registry import vocabulary
-from twinlake.llm.tokens import ChunkIds, PrefixCounts, load
+from twinlake.llm.tokens import ChunkIds, Composer, PrefixCounts, load
 
 RNG = np.random.default_rng(3)
 
@@ -66,7 +67,7 @@ def test_every_prefix_of_random_texts(parts):
     assert counts == [len(e) for e in t.encode_batch([text[:k] for k in range(1, len(text) + 1)], add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("letters", ["漢字", "abcdefgh", "1234567890", "-=+*&^%", "é", "привет", "e\u0301"])
+@pytest.mark.parametrize("letters", ["漢字", "abcdefgh", "1234567890", "-=+*&^%", "é", "привет", "e\u0301", "\u0301", "ᆨ", "\x01!", "\x01"])
 def test_long_runs_take_time_in_proportion(letters):
     t, _, p = _shared()
     text = letters * (200_000 // len(letters))
@@ -76,6 +77,16 @@ def test_long_runs_take_time_in_proportion(letters):
     assert total == len(t.encode(text[:20_000], add_special_tokens=False).ids) * 10 if len(set(letters)) < 3 else total > 1000
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("ae\u0301\u0300\u0323\u0327\u0338\u0345\u0f73ᄀ가ᅡᆨéǖṩΩÅ\u09c7\u09be>"), max_size=12))
+def test_normal_form_character_by_character(text):
+    form, out = Composer(), ""
+    for k, c in enumerate(text):
+        gone, new = form.add(c)
+        out = out[: len(out) - gone] + new
+        assert out == unicodedata.normalize("NFC", text[: k + 1])
+
+
 def _shared(kept=[]):  # noqa: B006
     if not kept:
         kept.append((load(vocabulary()), ChunkIds(vocabulary()), PrefixCounts(vocabulary(), limit=50)))

@@ -26,6 +26,8 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Latin text: its lower case is the library's, and normal form C leaves it as it is.
 _LATIN = re.compile(r"[\x20-\x7eÀ-ÖØ-öø-įı-ž]*")
 _END = "\x01"
+#: Stands for the end of a word where any character may be in it: no UTF-8 has this byte.
+_MARK = b"\xff"
 
 
 def load(path: str):
@@ -59,17 +61,21 @@ class WordBpe:
         end, vocab = model["end_of_word_suffix"], model["vocab"]
         rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         ranks: dict[bytes, int] = {}
+        self.marked: dict[bytes, int] = {}  # the same with byte 255 as the end of a word
         self.ends = np.zeros(len(vocab) + 2, bool)
         for token, n in vocab.items():
             if _SPECIAL.fullmatch(token) or not self._arises(token, end, rank):
                 continue
             body = token.removesuffix(end)
             self.ends[n] = body != token
-            ranks[bytes(byte_of[c] for c in body) + _END.encode() * (body != token)] = n
+            raw = bytes(byte_of[c] for c in body)
+            ranks[raw + _END.encode() * (body != token)] = n
+            self.marked[raw + _MARK * (body != token)] = n
         if b"\x01" in ranks:  # byte 1 is in no Latin chunk; its place is taken by the end of a word
             ranks = {k: v for k, v in ranks.items() if k == b"\x01" or k.find(b"\x01", 0, -1) < 0}
         self.ranks, self.fits, self.known = ranks, {}, 0
         self.encoding = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
+        self._tokens_of = None
 
     @staticmethod
     def _arises(token: str, end: str, rank: dict) -> bool:
@@ -125,9 +131,13 @@ class WordBpe:
         return self.fits.setdefault(first, {})
 
     def compatible(self, first: bytes, second: bytes, behind: dict[bytes, bool]) -> bool:
-        """Whether two tokens stay side by side when their bytes are merged; kept in `behind`, that of the first."""
+        """Whether two tokens of `marked` stay side by side when their bytes are merged; kept in `behind`, that of the first."""
+        if self._tokens_of is None:
+            import tiktoken
+
+            self._tokens_of = tiktoken.Encoding("prefixes", pat_str="(?s:.+)", mergeable_ranks=self.marked, special_tokens={})._core_bpe.encode_single_piece
         self.known += 1
-        fit = behind[second] = self.encoding._core_bpe.encode_single_piece(first + second) == [self.ranks[first], self.ranks[second]]
+        fit = behind[second] = self._tokens_of(first + second) == [self.marked[first], self.marked[second]]
         return fit
 
 
@@ -210,29 +220,88 @@ def joining() -> set[str]:
     front of all others."""
     found = {chr(c) for r in (range(0x1161, 0x1176), range(0x11A8, 0x11C3)) for c in r}  # Hangul vowels and finals
     for c in map(chr, range(0x300, 0x110000)):
-        if unicodedata.combining(c) or unicodedata.combining(unicodedata.normalize("NFD", c)[0]):
+        if unicodedata.combining(c):
             found.add(c)
-        parts = unicodedata.decomposition(c).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            found.add(chr(int(parts[1], 16)))
+        elif made := unicodedata.decomposition(c):
+            if unicodedata.combining(unicodedata.normalize("NFD", c)[0]):
+                found.add(c)
+            parts = made.split()
+            if len(parts) == 2 and parts[0][0] != "<":
+                found.add(chr(int(parts[1], 16)))
     return found
 
 
+class Composer:
+    """Normal form C of a text that grows by a character at a time: of its end, the last starter and the marks behind it.
+
+    Marks are kept by combining class, in order of arrival; the starter takes up the first ones of a class, so a further
+    mark of a class with a mark left over changes nothing but its own place.
+    """
+
+    def __init__(self) -> None:
+        self.head, self.joined, self.marks, self.taken = "", "", {}, {}
+
+    def add(self, c: str) -> tuple[int, str]:
+        """One more character: how many characters of the form go at its end, and what comes instead."""
+        gone, new = 0, ""
+        for x in unicodedata.normalize("NFD", c):
+            less, more = self._one(x)
+            gone, new = (gone + less - len(new), more) if less > len(new) else (gone, new[: len(new) - less] + more)
+        return gone, new
+
+    def _left(self, above: int = -1) -> int:
+        """How many marks of classes above that one stand behind the starter."""
+        return sum(len(m) - self.taken[k] for k, m in self.marks.items() if k > above)
+
+    def _one(self, x: str) -> tuple[int, str]:
+        kind = unicodedata.combining(x)
+        if kind == 0:
+            both = unicodedata.normalize("NFC", self.joined + x) if self.head and not self.marks else ""
+            if len(both) == 1:
+                self.head = self.joined = both
+                return 1, both
+            self.head = self.joined = x
+            self.marks, self.taken = {}, {}
+            return 0, x
+        before, place = (self.joined, dict(self.taken)), self._left(kind)
+        size = len(self.joined) + self._left()
+        self.marks.setdefault(kind, []).append(x)
+        self.taken.setdefault(kind, 0)
+        if self.head and self.taken[kind] == len(self.marks[kind]) - 1:  # else one of its class, left over, stands between
+            self._compose()
+        if (self.joined, self.taken) != (before[0], {**self.taken, **before[1]}):
+            return size, self.joined + self._tail(-1)
+        return place, x + self._tail(kind)
+
+    def _compose(self) -> None:
+        self.joined = self.head
+        for kind in sorted(self.marks):
+            self.taken[kind] = 0
+            for x in self.marks[kind]:
+                if len(both := unicodedata.normalize("NFC", self.joined + x)) != 1:
+                    break
+                self.joined, self.taken[kind] = both, self.taken[kind] + 1
+
+    def _tail(self, above: int) -> str:
+        return "".join("".join(self.marks[k][self.taken[k] :]) for k in sorted(self.marks) if k > above)
+
+
 class PrefixScan:
     """Token counts of all prefixes of a text without ASCII blanks, by dynamic programming over its normalised bytes.
 
     A piece's plain encoding (no end of word yet) at a byte is the one at an earlier byte and one more token; the right
     token is the one compatible with the token before it, for tokens that are compatible in pairs are the encoding. A
-    prefix's count takes one last token, with the end of a word. The step at a byte depends on the bytes before it only,
-    so the time is in proportion to the text, for every script. The state behind each normalised character is kept, so
-    that a mark which changes the characters before it (normal form C) only takes those back.
+    prefix's count takes one last token, with the end of a word. The step at a byte depends on a token's length of bytes
+    before it. The state behind each normalised character is kept, so that a mark which changes the characters before it
+    (normal form C) only takes those back: time is in proportion to the text, but for a run of marks in which those of a
+    lower class keep following those of a higher one, all of which each of them moves.
     """
 
     def __init__(self, words: WordBpe):
         self.words, self.kinds, self.single, self.even, self.join = words, {}, {}, {}, None
         tails: dict[bool, set[bytes]] = {False: set(), True: set()}
-        for token in words.ranks:
-            ended = token.endswith(_END.encode()) and len(token) > 1
+        for token in words.marked:
+            ended = token.endswith(_MARK) and len(token) > 1
             body = token[:-1] if ended else token
             tails[ended].update(body[k:] for k in range(len(body)))
         self.plain_tails, self.end_tails = tails[False], tails[True]
@@ -247,16 +316,14 @@ class PrefixScan:
         return self.kinds[c]
 
     def normal(self, some: str) -> str:
-        """A stretch of text that normal form C takes on its own."""
+        """A character of a normal form C as the library has it: in lower case."""
         if some not in self.even:
-            if len(self.even) > 100_000:
-                self.even = {}
             self.even[some] = self.words.library.normalizer.normalize_str(some)
         return self.even[some]
 
     def _extend(self, start: int, tails: set[bytes], mark: bytes) -> tuple[bytes, int]:
         """The last token of the piece from `start` to the end, and how many tokens it has."""
-        raw, last, ranks = self.raw, self.last, self.words.ranks
+        raw, last, ranks = self.raw, self.last, self.words.marked
         stop, found, n = len(raw), [], 1
         while stop - n >= start and (token := bytes(raw[stop - n :])) in tails:
             if token + mark in ranks:
@@ -291,41 +358,39 @@ class PrefixScan:
         if new != kind or new == "N":
             base, start = total, size
         self._bytes(c, start)
-        if c == _END:
-            n = self.words.counts([bytes(self.raw[start:]).decode()])[0]
-        elif self.clean[-1] >= start:
-            n = self.words.counts([bytes(self.raw[start:]).decode()])[0]
-        else:
-            n = self._extend(start, self.end_tails, _END.encode())[1]
+        n = self._extend(start, self.end_tails, _MARK)[1]
         states.append((base, start, len(self.raw), "n" if new == "N" else new, base + n))
 
     def _bytes(self, c: str, start: int) -> None:
         for b in c.encode():
             self.raw.append(b)
-            if b == 1:
-                self.clean.append(len(self.raw) - 1)
             token, n = self._extend(start, self.plain_tails, b"")
             self.last.append(token)
             self.count.append(n)
 
     def _reset(self, total: int) -> None:
-        self.raw, self.last, self.count, self.clean = bytearray(), [], [], [-1]
+        self.raw, self.last, self.count = bytearray(), [], []
         self.states = [(total, 0, 0, "w", total)]
 
     def _cluster(self, some: str) -> Iterator[int]:
         """Counts behind each character of a stretch of its own."""
-        first, done = len(self.states), ""
-        for k in range(1, len(some) + 1):
-            text = self.normal(some[:k])
-            same = len(os.path.commonprefix([done, text]))
-            while len(self.states) > first + same:
-                size = self.states.pop() and self.states[-1][2]
-                del self.raw[size:], self.last[size:], self.count[size:]
-                while self.clean[-1] >= size:
-                    self.clean.pop()
-            for c in text[same:]:
+        if len(some) == 1 and (done := self.normal(some)):
+            for c in done:
                 self._push(c)
-            done = text
+            yield self.states[-1][4]
+            return
+        form, sizes = Composer(), []
+        for c in some:
+            gone, new = form.add(c)
+            if gone:
+                del self.states[len(self.states) - sum(sizes[-gone:]) :], sizes[-gone:]
+                size = self.states[-1][2]
+                del self.raw[size:], self.last[size:], self.count[size:]
+            for x in new:
+                small = self.normal(x)
+                sizes.append(len(small))
+                for y in small:
+                    self._push(y)
             yield self.states[-1][4]
 
     def _plain(self, text: str) -> Iterator[int]:
@@ -395,8 +460,8 @@ class PrefixCounts(_Table):
 
     def _piece(self, raw: bytes) -> bytes:
         """The changes within one short piece of Latin text: PrefixScan's step, with a table of the prefixes that words share."""
-        plain, ranks, words = self.plain, self.words.ranks, self.words
-        tails, end_tails, end, n, size = self.scan.plain_tails, self.scan.end_tails, _END.encode(), [0], len(raw)
+        plain, ranks, words = self.plain, self.words.marked, self.words
+        tails, end_tails, end, n, size = self.scan.plain_tails, self.scan.end_tails, _MARK, [0], len(raw)
         for stop in range(1, size + 1):
             before = raw[:stop]
             state = plain.get(before)
