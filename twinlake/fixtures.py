@@ -5,7 +5,7 @@ A destination is its source with documents removed, changed, touched, re-moded a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .sources.snapshots import keep
@@ -155,3 +155,20 @@ marks AS (SELECT path, pos, pos + 700 AS stop, block_idx FROM chosen UNION ALL S
 gaps AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY path ORDER BY pos, stop), 0) AS start FROM marks),
 ops AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY place) - 1 AS INTEGER) AS op_seq, op, CAST(block_idx AS INTEGER) AS block_idx, CAST(n AS INTEGER) AS n FROM (
   SELECT path, 'literal' AS op, NULL AS block_idx, pos - start AS n, start AS place FROM gaps WHERE pos > start UNION ALL SELECT path, 'copy', block_idx, NULL, pos FROM gaps WHERE block_idx IS NOT NULL) x)"""
+
+
+def long_contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(old, new) pieces (path, offset, bytes) of one content for each source: its documents joined by id; the old one lacks
+    some of them and holds longer ones."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    changed = docs.where(n % 7 != 0).withColumn("text", F.when(n % 11 == 0, F.concat("text", F.lit(" v1"))).otherwise(F.col("text")))
+
+    def placed(some: DataFrame) -> DataFrame:
+        before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        at = some.select("source", "doc_id", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("offset"))  # lengths only
+        return some.select("doc_id", F.col("text").cast("binary").alias("bytes")).join(at, "doc_id").select(F.col("source").alias("path"), "offset", "bytes")
+
+    return keep(placed(changed), "long"), keep(placed(docs), "long")
+
+
+LONG_SQL = """pairs AS (SELECT source AS path, string_agg(CASE WHEN doc_id % 11 = 0 THEN text || ' v1' ELSE text END, '' ORDER BY doc_id) FILTER (doc_id % 7 <> 0) AS old, string_agg(text, '' ORDER BY doc_id) AS new FROM documents GROUP BY source)"""

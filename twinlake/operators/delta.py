@@ -8,18 +8,18 @@ the same path become rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import block_size_for, strong_hash
+from ..sources.snapshots import keep
+from . import blocks
+from .sums import strong_of, window_sums
 
-_BASE = 1 << 16
 #: Window starts in a chunk.
 CHUNK = 1 << 18
 
@@ -31,20 +31,6 @@ def block_of(contents: DataFrame, block: int | None) -> Column:
     return F.col("block") if "block" in contents.columns else block_size_for(F.octet_length("content"))
 
 
-def window_sums(part: bytes, size: int) -> np.ndarray:
-    """The weak checksums of all windows of `size` bytes: a = sum of bytes, b = sum of (size - k) * byte k, both modulo 2^16."""
-    v = np.frombuffer(part, np.uint8).astype(np.int64)
-    at = np.arange(len(v) - size + 1, dtype=np.int64)
-    s, j = (np.concatenate([[0], np.cumsum(x)]) for x in (v, v * np.arange(len(v))))
-    a, j = s[size:] - s[: len(at)], j[size:] - j[: len(at)]
-    return a % _BASE + ((at + size) * a - j) % _BASE * _BASE
-
-
-def strong_of(part: bytes) -> str:
-    """strong_hash() of one value."""
-    return hashlib.sha256(part).hexdigest()[:32]
-
-
 def _columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in names))
@@ -90,39 +76,20 @@ def windows(new: DataFrame, block: int | None = 700) -> DataFrame:
 
 
 def match_blocks(new: DataFrame, sig: DataFrame, block: int | None = 700) -> DataFrame:
-    """path, pos, block_size, block_idx: the lowest block equal to the window; strong hashes only where weak ones agree."""
-    full = sig.where(F.col("len") == F.col("block_size"))
-    weak = full.groupBy("path").agg(F.collect_set("weak").alias("known"))  # eight bytes a block
-    joined = chunks(new, block).join(weak, "path")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, start, size, part, known in _columns(batches, "path", "start", "block", "part", "known"):
-            sums = window_sums(part, size)
-            at = np.flatnonzero(np.isin(sums, np.array(known, np.int64)))
-            strong = [strong_of(part[p : p + size]) for p in at.tolist()]
-            yield pa.record_batch([pa.array([path] * len(at), pa.string()), pa.array((at + start).astype(np.int32)), pa.array(sums[at]), pa.array(strong, pa.string())], ["path", "pos", "weak", "strong"])
-
-    found = joined.mapInArrow(likely, "path string, pos int, weak long, strong string")
-    first = full.groupBy("path", "weak", "strong").agg(F.min("block_idx").alias("block_idx"), F.first("block_size").alias("block_size"))
-    return found.join(first, ["path", "weak", "strong"]).select("path", "pos", "block_size", "block_idx")
+    """path, pos, block_size, block_idx: the lowest block equal to the window; strong hashes only where weak ones pass a
+    filter of the path's blocks."""
+    per = sig.groupBy("path").agg(F.count("*").alias("blocks"), F.first("block_size").alias("block"))
+    sizes = new.select("path", F.octet_length("content").cast("long").alias("n")).join(per, "path").withColumns({"old_n": F.lit(0).cast("long"), "span": blocks.span_of(F.col("block"))})
+    counted = sig.join(per.select("path", "blocks"), "path")
+    found = blocks.runs(keep(blocks.hits(blocks.pieces(new), counted, sizes), "hits"), counted)
+    run = found.select("path", "block", (F.col("chunk") * blocks.span_of(F.col("block"))).alias("base"), F.inline(F.arrays_zip("starts", "counts", "idx")))
+    at = F.explode(F.sequence("starts", F.col("starts") + F.col("counts") - 1))
+    return run.select("path", "base", "block", "idx", at.alias("at")).select("path", (F.col("base") + F.col("at")).cast("int").alias("pos"), F.col("block").alias("block_size"), F.col("idx").cast("int").alias("block_idx"))
 
 
 def select_matches(candidates: DataFrame) -> DataFrame:
-    """Greedy from the left: the matches (path, pos, block_size, block_idx) that do not overlap.
-
-    Where one ends decides about the next, so a path's positions come together: at most one for each byte of a content,
-    which is one value of a row itself.
-    """
-
-    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, size, kept, k = pdf["pos"].to_numpy(), int(pdf["block_size"].iat[0]), [], 0
-        while k < len(pos):
-            kept.append(k)
-            k = int(np.searchsorted(pos, pos[k] + size))
-        return pdf.iloc[kept]
-
-    return candidates.groupBy("path").applyInPandas(chosen, candidates.schema)
+    """Greedy from the left: the matches (path, pos, block_size, block_idx) that do not overlap, chunk by chunk."""
+    return blocks.select_rows(candidates)
 
 
 def tail_match(new: DataFrame, matches: DataFrame, sig: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from . import fixtures as fx
 from .fixtures import BENCH_SQL, CHECKSUM_SQL, CONTENTS_SQL, JOURNAL_SQL, QUICK_SQL, RUN_EVENTS_SQL, SNAPSHOTS_SQL, plan_sql
 from .functions import paths
 from .functions.globs import glob_match
-from .operators import aggregates, compare, delta, filters, index, planning
+from .operators import aggregates, blocks, compare, delta, filters, index, planning
 from .plans import mirror
 from .plans.options import Options
 from .sources import snapshots
@@ -469,6 +469,34 @@ def _(spark, d):
     return delta.delta_stats(delta.encode(*fx.contents(spark, d)))
 
 
+# The same of long contents, in pieces: one for each source
+
+_LONG = f"WITH RECURSIVE {fx.LONG_SQL}, {fx.delta_sql()}"
+
+
+@query("dlt1_long", f"WITH {fx.LONG_SQL} SELECT path, b AS block_idx, substr(sha256(unhex(substr(hex(old), 1400 * b + 1, 1400))), 1, 32) AS strong FROM (SELECT path, old, unnest(range(0, CAST(ceil(strlen(old) / 700.0) AS BIGINT))) AS b FROM pairs) x")
+def _(spark, d):
+    old = fx.long_contents(spark, d)[0]
+    return blocks.signature(old, blocks.sizes_of(old)).select("path", "block_idx", "strong")
+
+
+@query("dlt4_long", f"{_LONG} SELECT path, pos, block_idx, row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS seq FROM chosen")
+def _(spark, d):
+    return blocks.matches(*fx.long_contents(spark, d)).select("path", "pos", "block_idx", "seq")
+
+
+@query("dlt6_long", f"{_LONG} SELECT path, CAST(coalesce(sum(n), 0) AS BIGINT) AS literal_bytes, count(*) FILTER (op = 'copy') AS copies FROM ops GROUP BY path")
+def _(spark, d):
+    ops = blocks.encode(*fx.long_contents(spark, d))
+    return ops.groupBy("path").agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).cast("long").alias("literal_bytes"), F.count_if(F.col("op") == "copy").alias("copies"))
+
+
+@query("dlt7_long", f"WITH {fx.LONG_SQL}, parts AS (SELECT path, new, strlen(new) AS n, unnest(range(0, CAST(ceil(strlen(new) / 65536.0) AS BIGINT))) AS part FROM pairs) SELECT path, part, least(65536, n - 65536 * part) AS len, substr(sha256(unhex(substr(hex(new), 131072 * part + 1, 131072))), 1, 32) AS hash FROM parts")
+def _(spark, d):
+    old, new = fx.long_contents(spark, d)
+    return blocks.digests(blocks.rebuild(old, blocks.encode(old, new, None), None))
+
+
 # Index
 
 
