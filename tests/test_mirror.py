@@ -1,3 +1,5 @@
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import pytest
@@ -121,15 +123,96 @@ def test_sync_keeps_the_index_up_to_date(spark, sides, tmp_path):
     assert failed.status == "failed" and not failed.persist_index
 
 
-def test_publish_keeps_two_versions_and_recovers(spark, tmp_path):
-    at = f"file://{tmp_path}/p"
-    for n in range(4):
+def test_publish_keeps_versions_for_their_time(spark, tmp_path):
+    at, folder = f"file://{tmp_path}/p", tmp_path / "p"
+    for n in range(3):
         snapshots.publish(spark.range(n + 1), at)
-    assert len(list((tmp_path / "p").glob("v-*"))) == 2 and snapshots.read_published(spark, at).count() == 4
-    (tmp_path / "p/current").rename(tmp_path / "p/old-broken")
-    assert snapshots.read_published(spark, at).count() == 4
-    snapshots.publish(spark.range(9), at)
-    assert snapshots.read_published(spark, at).count() == 9 and not list((tmp_path / "p").glob("old-*"))
+    assert [c["number"] for c in snapshots.commits(spark, at)] == [3, 2, 1]
+    assert [snapshots.read_published(spark, at, n).count() for n in (1, 2, 3)] == [1, 2, 3] and snapshots.read_published(spark, at).count() == 3
+    (folder / "v-unfinished").mkdir()  # another writer's
+    snapshots.publish(spark.range(4), at)
+    assert (folder / "v-unfinished").exists() and len(list(folder.glob("v-*"))) == 5
+    time.sleep(1.1)
+    snapshots.publish(spark.range(5), at, retain_s=1)
+    assert [c["number"] for c in snapshots.commits(spark, at)] == [5, 4] and len(list(folder.glob("v-*"))) == 2  # the one just replaced stays
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_published(spark, at, 1)
+    (folder / "log" / f"{6:020d}.json").write_text("")  # a writer that died
+    assert snapshots.read_published(spark, at).count() == 5
+    snapshots.publish(spark.range(6), at)
+    assert snapshots.current_commit(spark, at)["number"] == 7 and snapshots.read_published(spark, at).count() == 6
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    at = f"file://{tmp_path}/p"
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda n: snapshots.publish(spark.range(n + 1), at), range(6)))
+    assert {c["version"] for c in snapshots.commits(spark, at)} == set(versions) and [c["number"] for c in snapshots.commits(spark, at)] == [6, 5, 4, 3, 2, 1]
+    with pytest.raises(snapshots.ConflictError):
+        snapshots.publish(spark.range(9), at, based_on=5)
+    assert len(list((tmp_path / "p").glob("v-*"))) == 6
+
+    def add(k):
+        """Adds a row to what stands there, however often others do the same."""
+        while True:
+            known = snapshots.current_commit(spark, f"{at}2")
+            try:
+                return snapshots.publish(snapshots.read_published(spark, f"{at}2", known["number"]).union(spark.range(k, k + 1)), f"{at}2", based_on=known["number"])
+            except snapshots.ConflictError:
+                continue
+
+    snapshots.publish(spark.range(0), f"{at}2")
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(add, range(5)))
+    assert sorted(r.id for r in snapshots.read_published(spark, f"{at}2").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_sync_plans_again_after_a_conflict(spark, sides, tmp_path, monkeypatch):
+    src, dst = sides
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    snapshots.publish(src, a)
+    snapshots.publish(dst, b)
+    calls = []
+
+    def late(df, target, **options):
+        if not calls:
+            calls.append(snapshots.publish(dst.limit(1), target))  # another writer is first
+        return snapshots.publish(df, target, **options)
+
+    monkeypatch.setattr(mirror, "publish", late)
+    run = mirror.sync(spark, a, b, ALL)
+    assert run.status == "success" and [c["number"] for c in snapshots.commits(spark, b)] == [3, 2, 1]
+    assert run.stats["copies"] >= src.count() - 1
+
+
+def test_a_damaged_index_is_a_full_plan(spark, sides, tmp_path):
+    src, dst = sides
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    snapshots.publish(dst, a)
+    for how in ("bytes", "values", "missing", "journal"):
+        home = tmp_path / how
+        snapshots.publish(dst, f"{b}{how}")
+        assert mirror.sync(spark, a, f"{b}{how}", ALL, index_dir=f"file://{home}").status == "success"
+        assert index.try_load_index(spark, f"file://{home}") is not None
+        part = max((home / "snapshot").glob("v-*/part-*.parquet"), key=lambda p: p.stat().st_size)
+        if how == "bytes":
+            raw = bytearray(part.read_bytes())
+            raw[len(raw) // 3 : len(raw) // 3 + 64] = bytes(64)
+            part.write_bytes(raw)
+        elif how == "values":
+            one = spark.read.parquet(f"file://{part}").toPandas()
+            one["len"] = one["len"] + 1
+            one.to_parquet(part)
+        elif how == "missing":
+            part.unlink()
+        else:
+            (home / "journal").mkdir()
+            (home / "journal" / "part-0.parquet").write_bytes(b"PAR1 torn PAR1")
+        for crc in (home / "snapshot").glob("v-*/.*.crc"):
+            crc.unlink()
+        assert index.try_load_index(spark, f"file://{home}") is None, how
+        run = mirror.sync(spark, a, f"{b}{how}", ALL, index_dir=f"file://{home}")
+        assert run.status == "success" and run.stats["skips"] == dst.count(), how
 
 
 def test_continuous_mirror(spark, sides, tmp_path):

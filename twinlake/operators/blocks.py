@@ -241,21 +241,19 @@ def _windows(r: dict, bits: int, words: np.ndarray | None) -> tuple:
         raw = np.frombuffer(data, np.uint8)
         edges = np.flatnonzero(np.concatenate([raw[1:] != raw[:-1], [True]])) + 1  # where a run of one byte ends
         same = edges[np.searchsorted(edges, at, "right")] - at >= size
-        number, last = {}, (-2, -1)
-        for p, constant in zip(at.tolist(), same.tolist()):
+        new = np.ones(len(at), bool)  # a run goes on where neighbouring windows are of one and the same byte
+        new[1:] = ~(same[1:] & same[:-1] & (at[1:] == at[:-1] + 1) & (raw[at[1:]] == raw[at[:-1]]))
+        begin = np.flatnonzero(new)
+        number: dict[bytes, int] = {}
+        for p, count, constant in zip(at[begin].tolist(), np.diff(np.append(begin, len(at))).tolist(), same[begin].tolist()):
             part = data[p : p + size]
             mark = part[:1] if constant else part
             if mark not in number:
                 number[mark] = len(strongs)
                 strongs.append(strong_of(part))
-            key = number[mark]
-            if last == (p - 1, key):
-                counts[-1] += 1
-            else:
-                starts.append(p)
-                counts.append(1)
-                keys.append(key)
-            last = (p, key)
+            starts.append(p)
+            counts.append(count)
+            keys.append(number[mark])
     tail = None
     short = (r["old_n"] or 0) % size
     if short and r["n"] >= short and (r["n"] - short) // r["span"] == r["chunk"]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ENTRIES, ENTRY_COLUMNS, INDEX_VERSION, JOURNAL
-from ..sources.snapshots import publish, published_bytes, read_published, remove, stored_bytes
+from ..sources.snapshots import damaged, publish, published_bytes, read_published, remove, stored_bytes
 
 COMPACT_BYTES = 64 << 20
 RECORD_COLUMNS = ENTRY_COLUMNS[1:]
@@ -122,15 +123,23 @@ def compact(spark: SparkSession, directory: str) -> None:
 
 
 def try_load_index(spark: SparkSession, directory: str) -> DataFrame | None:
-    """The published index with its journal replayed, or None where it is missing, unreadable or of another version: a
-    full plan is due."""
+    """The published index with its journal replayed, or None where it is missing, damaged or of another version: a full
+    plan is due.
+
+    The snapshot is read once against its manifest, the journal's records against their checksums in replay; a journal
+    that cannot be read makes the index unusable, too.
+    """
     try:
+        if not damaged(spark, f"{directory}/snapshot").isEmpty():
+            return None
         index = read_published(spark, f"{directory}/snapshot")
         if not index.where(~F.col("version").eqNullSafe(F.lit(INDEX_VERSION))).isEmpty():
             return None
-    except (PySparkException, FileNotFoundError):
+        journal = read_journal(spark, directory)
+        journal.agg(F.max(F.xxhash64(*journal.columns))).first()  # all of its pages
+    except (PySparkException, Py4JJavaError, FileNotFoundError):
         return None
-    return replayed(index, read_journal(spark, directory))
+    return replayed(index, journal)
 
 
 def persist_after_plan(plan: DataFrame, after: DataFrame, directory: str, with_hash: bool = False) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.paths import safe_mode
 from ..operators import aggregates, compare, filters, planning
 from ..operators import index as index_ops
-from ..sources.snapshots import publish, read_published
+from ..sources.snapshots import ConflictError, commits, publish, read_published, read_version
 from ..streaming.watch import relevant_paths, watch
 from .options import Options
 
@@ -119,21 +119,25 @@ def dry_run(src: DataFrame, dst: DataFrame, opts: Options, run_id: str = "dry-ru
     return stats, plan.select(F.lit(run_id).alias("run_id"), event.alias("event"), "path", "action", size.cast("long").alias("bytes"))
 
 
-def sync(spark: SparkSession, source: str, target: str, opts: Options, role: str = "push", index_dir: str | None = None) -> Run:
+def sync(spark: SparkSession, source: str, target: str, opts: Options, role: str = "push", index_dir: str | None = None, attempts: int = 5) -> Run:
     """Mirrors a published snapshot into another one; role pull swaps the sides.
 
-    With `index_dir`, a recorded state there speeds up the plan, and a run without fault brings it up to date.
+    With `index_dir`, a recorded state there speeds up the plan, and a run without fault brings it up to date. If another
+    writer publishes at the target meanwhile, the run plans again from what stands there then.
     """
     source, target = (source, target) if role == "push" else (target, source)
-    src = read_published(spark, source)
-    try:
-        dst = read_published(spark, target)
-    except FileNotFoundError:
-        dst = src.limit(0)
-    plan, after, errors = mirror(src, dst, opts, index_ops.try_load_index(spark, index_dir) if index_dir else None)
-    if not opts.dry_run:
-        publish(after, target)
-        after = read_published(spark, target)
+    for attempt in range(attempts):
+        src, known = read_published(spark, source), commits(spark, target)
+        dst = read_published(spark, target, known[0]["number"]) if known else src.limit(0)
+        plan, after, errors = mirror(src, dst, opts, index_ops.try_load_index(spark, index_dir) if index_dir else None)
+        if opts.dry_run:
+            break
+        try:
+            after = read_version(spark, target, publish(after, target, based_on=known[0]["number"] if known else 0))
+            break
+        except ConflictError:
+            if attempt == attempts - 1:
+                raise
     mismatches = compare.verify(src, after, "none" if opts.dry_run else opts.verify, plan, opts.tolerance_s)
     run = finish(plan, mismatches, errors, opts)
     if index_dir and run.persist_index:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,53 +94,157 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def _pointers(spark: SparkSession, target: str) -> list:
-    """Pointers set aside while a new one was put in place, newest first: more than none only behind a broken switch."""
-    fs, _ = _fs(spark, target)
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/old-*")) or []
-    return [s.getPath() for s in sorted(found, key=lambda s: -s.getModificationTime())]
+class ConflictError(RuntimeError):
+    """Another version was published since the one that was read."""
 
 
-def publish(df: DataFrame, target: str) -> str:
-    """Writes a new version beside the others and switches the pointer by renaming it; readers see old or new.
+#: A version, and what a broken run left behind, is removed this long after it was written.
+RETAIN_S = 7 * 86400
 
-    The version that was current stays for those who still read it; older ones, and what broken runs left, go.
+
+def _listed(spark: SparkSession, pattern: str) -> list:
+    fs, at = _fs(spark, pattern)
+    return list(fs.globStatus(at) or [])
+
+
+def commits(spark: SparkSession, target: str) -> list[dict]:
+    """The published versions, newest first: number, version, at (epoch milliseconds), rows.
+
+    A number whose file is still empty was taken by a writer that has not committed, and perhaps never will.
+    """
+    found = []
+    for status in _listed(spark, f"{target}/log/*.json"):
+        fs, at = _fs(spark, status.getPath().toString())
+        stream = fs.open(at)
+        try:
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        if text.endswith("}"):
+            found.append(json.loads(text))
+    return sorted(found, key=lambda c: -c["number"])
+
+
+def _taken(spark: SparkSession, target: str) -> int:
+    """The highest number that any writer has taken; 0 without one."""
+    return max([0, *(int(s.getPath().getName().removesuffix(".json")) for s in _listed(spark, f"{target}/log/*.json"))])
+
+
+def manifest(df: DataFrame) -> DataFrame:
+    """file, bytes, rows, digest of each file that a table of files is read from; the digest is of all values."""
+    name = F.col("_metadata.file_name")
+    hashed = df.select(name.alias("file"), F.col("_metadata.file_size").alias("bytes"), F.xxhash64(*df.columns).alias("h"))
+    return hashed.groupBy("file").agg(F.max("bytes").alias("bytes"), F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def publish(df: DataFrame, target: str, based_on: int | None = None, retain_s: float = RETAIN_S, attempts: int = 20) -> str:
+    """Writes a new version beside the others, then commits it under the next number; readers see old or new.
+
+    A commit is a file that is created only if its number is free, so of two writers one gets the number and the other
+    takes the next. A writer whose rows derive from a version names its number in `based_on`: if another one was
+    published since, nothing is committed and ConflictError tells to start again. Versions stay for `retain_s` seconds
+    after they were replaced; so does what has not been committed yet.
     """
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{target}/v-{version}")
-    staged = f"{target}/staged-{version}"
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(staged)
-    fs, _ = _fs(spark, target)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    current, old = path(f"{target}/current"), path(f"{target}/old-{version}")
+    manifest(spark.read.schema(df.schema).parquet(f"{target}/v-{version}")).coalesce(1).write.parquet(f"{target}/m-{version}")
+    for _ in range(attempts):
+        known = commits(spark, target)
+        if based_on is not None and (known[0]["number"] if known else 0) != based_on:
+            break
+        number = max(_taken(spark, target), known[0]["number"] if known else 0) + 1
+        if based_on is not None and number != based_on + 1 and not _stale(spark, target, based_on, number):
+            time.sleep(0.2)  # another writer holds the next number
+            continue
+        if _claimed(spark, f"{target}/log/{number:020d}.json", json.dumps({"number": number, "version": version, "at": int(time.time() * 1000)})):
+            _expire(spark, target, retain_s)
+            return version
+    for part in ("v", "m"):
+        remove(spark, f"{target}/{part}-{version}")
+    raise ConflictError(f"{target} has moved on from version {based_on}" if based_on is not None else f"no free number at {target}")
+
+
+def _claimed(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether the file did not exist and now holds the text."""
+    fs, at = _fs(spark, path)
+    if fs.getScheme() == "file":  # where Spark's own create is no single step
+        file = at.toUri().getPath()
+        os.makedirs(os.path.dirname(file), exist_ok=True)
+        draft = f"{file}.{uuid.uuid4().hex}"
+        with open(draft, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(draft, file)
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(draft)
+        return True
     try:
-        before = current_version(spark, target)
-    except FileNotFoundError:
-        before = version
-    if fs.exists(current):
-        fs.rename(current, old)
-    if not fs.rename(path(staged), current):
-        raise OSError(f"cannot switch {target} to {version}")
-    for pattern in ("old-*", "staged-*", "v-*"):
-        for status in fs.globStatus(path(f"{target}/{pattern}")) or []:
-            if status.getPath().getName() not in (f"v-{version}", f"v-{before}"):
-                fs.delete(status.getPath(), True)
-    return version
+        stream = fs.create(at, False)
+    except Py4JJavaError:
+        if fs.exists(at):
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def _stale(spark: SparkSession, target: str, after: int, before: int, wait_s: float = 60) -> bool:
+    """Whether all numbers between the two were taken so long ago that their writers must have failed."""
+    held = [s for s in _listed(spark, f"{target}/log/*.json") if after < int(s.getPath().getName().removesuffix(".json")) < before]
+    return all(s.getModificationTime() < (time.time() - wait_s) * 1000 for s in held)
+
+
+def _expire(spark: SparkSession, target: str, retain_s: float) -> None:
+    """Removes versions that were replaced, and parts of uncommitted ones that were written, more than `retain_s` ago."""
+    limit, known = (time.time() - retain_s) * 1000, commits(spark, target)
+    replaced = {c["version"]: later["at"] for later, c in zip(known, known[1:])}
+    for status in _listed(spark, f"{target}/[vm]-*"):
+        name = status.getPath().getName()[2:]
+        if (replaced.get(name, limit) < limit) or (name not in {c["version"] for c in known} and status.getModificationTime() < limit):
+            remove(spark, status.getPath().toString())
+    for c in known[1:]:
+        if replaced[c["version"]] < limit:
+            remove(spark, f"{target}/log/{c['number']:020d}.json")
+
+
+def current_commit(spark: SparkSession, target: str) -> dict:
+    known = commits(spark, target)
+    if not known:
+        raise FileNotFoundError(target)
+    return known[0]
 
 
 def current_version(spark: SparkSession, target: str) -> str:
-    """The version the pointer names; while it is being switched, the one it named before."""
-    fs, at = _fs(spark, f"{target}/current")
-    if not fs.exists(at):
-        olds = _pointers(spark, target)
-        if not olds:
-            raise FileNotFoundError(target)
-        at = olds[0]
-    return spark.read.text(at.toString()).first()["value"]
-
-
-def read_published(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/v-{current_version(spark, target)}")
+    return current_commit(spark, target)["version"]
+
+
+def read_published(spark: SparkSession, target: str, number: int | None = None) -> DataFrame:
+    """The newest version, or the one of a number."""
+    for c in commits(spark, target):
+        if number in (None, c["number"]):
+            return spark.read.parquet(f"{target}/v-{c['version']}")
+    raise FileNotFoundError(target if number is None else f"{target}, version {number}")
+
+
+def read_version(spark: SparkSession, target: str, version: str) -> DataFrame:
+    return spark.read.parquet(f"{target}/v-{version}")
+
+
+def damaged(spark: SparkSession, target: str) -> DataFrame:
+    """The files of the newest version that are missing, unknown, or differ from its manifest in length, rows or values.
+
+    Reading it fails where a file cannot be decoded.
+    """
+    version = current_version(spark, target)
+    there = manifest(spark.read.parquet(f"{target}/v-{version}")).alias("a")
+    noted = spark.read.parquet(f"{target}/m-{version}").alias("b")
+    same = F.lit(True)
+    for c in ("bytes", "rows", "digest"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return there.join(noted, F.col("a.file") == F.col("b.file"), "full_outer").where(~same).select(F.coalesce("a.file", "b.file").alias("file"))
 
 
 def published_bytes(spark: SparkSession, target: str) -> int:
