@@ -1,12 +1,14 @@
+import random
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinlake import fixtures as fx
-from twinlake.operators import compare, index, planning
+from twinlake.operators import blocks, compare, index, planning
 from twinlake.plans import mirror
 from twinlake.plans.options import Options
 from twinlake.schemas import ENTRIES, INDEX_VERSION
@@ -289,9 +291,53 @@ def test_session_forms_agree(spark):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def bursts_of(rows, window):
+    """{(key, start): events} by going through each key's times."""
+    found, open_at = {}, {}
+    for k, t in sorted(((k, t) for k, t in rows if t is not None), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        if k not in open_at or t >= open_at[k] + window:
+            open_at[k] = t
+        found[k, open_at[k]] = found.get((k, open_at[k]), 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("fan", [3, 64])
+def test_anchored_bursts_by_definition(spark, monkeypatch, fan):
+    monkeypatch.setattr(blocks, "FAN", fan)
+    monkeypatch.setattr(watch, "STRETCH", 2 if fan == 3 else 16)
+    rng = random.Random(fan)
+    rows = [(k, int(rng.choice([1, 1, 5, 90]) * rng.random() * 5e4) + rng.choice([0, 0, -70000, 900000])) for k in (0, 1, 2, None) for _ in range(400)]
+    rows += [(3, t) for t in range(0, 60000, 7)] + [(4, 5)] * 3 + [(5, None)]
+    df = spark.createDataFrame(rows, "k int, t long").select("k", F.timestamp_micros("t").alias("ts"))
+    got = {(r.k, r.t): r.events for r in watch.debounce_anchored(df.repartition(3), "k", 1).select("k", F.unix_micros("start").alias("t"), "events").collect()}
+    assert got == bursts_of(rows, 1000)
+
+
+def test_a_hot_key_without_rest(spark):
+    """A million events of one key, each within the window of the one before."""
+    n, step, window = 1_000_000, 700, 1_000_000
+    events = spark.range(n).select(F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * step).alias("ts"))
+    got = watch.debounce_anchored(events, "k", window // 1000).select(F.unix_micros("start").alias("t"), "events").orderBy("t").collect()
+    each = -(-window // step)
+    assert [(r.t, r.events) for r in got] == [(k * each * step, min(each, n - k * each)) for k in range(-(-n // each))]
+
+
 def test_anchored_bursts_as_a_stream(spark, tmp_path):
-    events = fx.table(spark, DATA, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    events.coalesce(1).write.parquet(f"{tmp_path}/b")
-    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/b")
-    watch.stream_bursts(stream, "user_id", 1_800_000).writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/s").start().awaitTermination(180)
-    assert spark.table("bursts").count() == watch.debounce_anchored(events, "user_id", 1_800_000).count()
+    """Shuffled micro-batches, within the watermark's delay, give what the batch gives."""
+    events = fx.table(spark, DATA, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).toPandas().sort_values("ts")
+    rng = random.Random(5)
+    order = sorted(range(len(events)), key=lambda k: k + rng.randint(0, len(events) // 20))
+    parts = [order[k : k + len(order) // 4 + 1] for k in range(0, len(order), len(order) // 4 + 1)]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(events.iloc[part]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+        time.sleep(0.05)
+    far = events["ts"].max().to_pydatetime() + timedelta(days=400)
+    for k in range(2):
+        spark.createDataFrame([(-1, far + timedelta(days=k))], "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+        time.sleep(0.05)
+    stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/b")
+    span = events["ts"].max() - events["ts"].min()
+    watch.stream_bursts(stream, "user_id", 1_800_000, f"{int(span.total_seconds())} seconds").writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/s").start().awaitTermination(240)
+    got = {(int(r.key), r.start): r.events for r in spark.table("bursts").where("key != '-1'").collect()}
+    want = watch.debounce_anchored(fx.table(spark, DATA, "events"), "user_id", 1_800_000).select("user_id", F.unix_micros("start").alias("t"), "events").collect()
+    assert got == {(r.user_id, r.t): r.events for r in want}

@@ -330,21 +330,24 @@ def tables(some: DataFrame) -> DataFrame:
 
 
 def _composed(level: DataFrame) -> DataFrame:
-    """The functions of FAN neighbours as one."""
+    """The functions of FAN neighbours as one. Where the first has no slope, neither has what follows from it."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[tuple]:
-            at = None
+            at, block, steps, leaves, n = None, 0, None, None, None
+            done = lambda: (*at, block, (_table(leaves, n) if steps is None else np.stack([steps, leaves, np.zeros_like(steps), n])).tobytes())
             for r in _rows(batches):
+                table = _read(r["table"])
                 if (r["path"], r["k"] // FAN) != at:
                     if at is not None:
-                        yield (*at, block, _table(leaves, n).tobytes())
-                    at, block = (r["path"], r["k"] // FAN), r["block"]
-                    leaves, n = np.arange(block), np.zeros(block, np.int64)
-                leaves, more = _through(_read(r["table"]), leaves)
+                        yield done()
+                    at, block, steps = (r["path"], r["k"] // FAN), r["block"], None if table[2].any() else table[0]
+                    leaves = np.arange(block) if steps is None else steps
+                    n = np.zeros(len(leaves), np.int64)
+                leaves, more = _through(table, leaves)
                 n = n + more
             if at is not None:
-                yield (*at, block, _table(leaves, n).tobytes())
+                yield done()
 
         yield from _gathered(groups(), TABLES)
 

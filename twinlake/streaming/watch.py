@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.paths import under
+from ..operators import blocks
+from ..sources.snapshots import keep
 
 
 def relevant(events: DataFrame, reserved: str = ".twinlake", paths: str = "paths") -> DataFrame:
@@ -21,25 +26,91 @@ def relevant_paths(events: DataFrame, reserved: str = ".twinlake") -> DataFrame:
     return events.where(~under("path", reserved))
 
 
+#: Windows in a stretch of time that one task looks through.
+STRETCH = 16
+
+
+def _bursts_from(t: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the sorted times of a stretch, were it a burst's start: the next start's place, how far the last burst from
+    there on reaches into the next stretch, and how many bursts start."""
+    after = np.searchsorted(t, t + window)
+    at, n = np.arange(len(t)), np.ones(len(t), np.int64)
+    for _ in range(STRETCH + 1):
+        some = after[at] < len(t)
+        at, n = np.where(some, after[np.minimum(at, len(t) - 1)], at), n + some
+    return after, np.maximum(0, t[at] + window - length), n
+
+
 def debounce_anchored(events: DataFrame, key: str, window_ms: int, ts: str = "ts") -> DataFrame:
     """key, start, events: the first event opens a window of fixed length, the next one outside opens another.
 
-    A burst depends on where the one before began, so times are folded in order; but a quiet time as long as the
-    window always ends a burst, so only the times between two such gaps are gathered, not all of a key's.
+    Where a burst starts depends on the one before it, so time is cut into stretches of some windows: each is a function
+    from when the burst that reaches into it ends to when its own last burst ends. The functions are composed in a tree,
+    then each stretch finds its bursts. A stretch holds its distinct times; no task has all of a key's. Events without a
+    time take no part.
     """
-    burst = "array<struct<start:bigint,n:bigint>>"
-    sorted_up = F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
-    empty = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("n"), F.array().cast(burst).alias("done"))
-
-    def step(acc, t):
-        same = acc["start"].isNotNull() & (t < acc["start"] + window_ms * 1000)
-        closed = F.when(acc["start"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["n"].alias("n")))))
-        return F.when(same, F.struct(acc["start"].alias("start"), (acc["n"] + 1).alias("n"), acc["done"].alias("done"))).otherwise(F.struct(t.alias("start"), F.lit(1).cast("bigint").alias("n"), closed.alias("done")))
-
-    last = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["n"].alias("n"))))
-    quiet = F.session_window(F.col(ts).cast("timestamp"), f"{window_ms} milliseconds")
-    folded = events.groupBy(key, quiet).agg(F.aggregate(sorted_up, empty, step, last).alias("bursts"))
-    return folded.select(key, F.inline("bursts")).select(key, F.timestamp_micros("start").alias("start"), F.col("n").alias("events"))
+    window = window_ms * 1000
+    length, kind = STRETCH * window, events.schema[key].dataType
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    times = events.select(F.to_json(F.struct(F.col(key).alias("key"))).alias("path"), at.alias("t")).where("t IS NOT NULL").groupBy("path", "t").agg(F.count("*").alias("n"))
+    times = times.withColumn("stretch", F.floor(F.col("t") / length))
+    order = Window.partitionBy("path").orderBy("stretch")  # a row for each stretch
+    numbered = times.select("path", "stretch").distinct().select("path", "stretch", (F.row_number().over(order) - 1).cast("long").alias("k"), F.coalesce(F.col("stretch") - F.lag("stretch").over(order) != 1, F.lit(True)).alias("fresh"))
+    listed = keep(times.join(numbered, ["path", "stretch"]).select("path", "k", "fresh", (F.col("t") - F.col("stretch") * length).alias("t"), "n", (F.col("stretch") * length).alias("base")), "times")
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Rows in order of path, k and t as one dictionary of arrays for each (path, k)."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, k = batch.column("path").to_pylist(), batch.column("k").to_numpy()
+            cut = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1] or k[i] != k[i - 1]), len(path)]
+            for low, high in zip(cut, cut[1:]):
+                if held and (held[-1].column("path")[0].as_py(), held[-1].column("k")[0].as_py()) != (path[low], k[low]):
+                    yield _stretch(held)
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield _stretch(held)
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in stretches(batches):
+            t = r["t"]
+            _, leaves, n = _bursts_from(t, window, length)
+            near = 0 if r["fresh"] else int(np.searchsorted(t, window - 1))  # times that an earlier burst may cover
+            first = np.concatenate([[0], t[:near] + 1])
+            table = np.stack([first, np.append(leaves, 0)[: near + 1], np.zeros(near + 1, np.int64), np.append(n, 0)[: near + 1]]).astype(np.int64)
+            yield pa.record_batch([pa.array([r["path"]]), pa.array([r["k"]], pa.int64()), pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["path", "k", "block", "table"])
+
+    sorted_up = lambda df: df.repartition("path", "k").sortWithinPartitions("path", "k", "t")
+    where = blocks.entries(sorted_up(listed).mapInArrow(functions, blocks.TABLES)).select("path", F.col("chunk").alias("k"), "entry")
+
+    def bursts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in stretches(batches):
+            t, entry = r["t"], 0 if r["fresh"] else r["entry"]
+            after, _, _ = _bursts_from(t, window, length)
+            at, starts = int(np.searchsorted(t, entry)), []
+            while at < len(t):
+                starts.append(at)
+                at = int(after[at])
+            sums = np.concatenate([[0], np.cumsum(r["n"])])
+            begin = np.array(starts, np.int64)
+            found, n = t[begin] if starts else begin, np.diff(sums[np.append(begin, len(t))])
+            if (covered := int(sums[starts[0] if starts else len(t)])) and entry:
+                found, n = np.append(entry - window, found), np.append(covered, n)  # of the burst that reaches into the stretch
+            yield pa.record_batch([pa.array([r["path"]] * len(found), pa.string()), pa.array(found + r["base"]), pa.array(n)], ["path", "start", "events"])
+
+    parts = sorted_up(listed.join(where, ["path", "k"])).mapInArrow(bursts, "path string, start long, events long")
+    summed = parts.groupBy("path", "start").agg(F.sum("events").alias("events"))
+    own = F.from_json("path", StructType([StructField("key", kind)]))["key"]
+    return summed.select(own.alias(key), F.timestamp_micros("start").alias("start"), "events")
+
+
+def _stretch(held: list[pa.RecordBatch]) -> dict:
+    first = held[0]
+    one = {c: first.column(c)[0].as_py() for c in first.schema.names if c not in ("t", "n")}
+    return one | {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("t", "n")}
 
 
 def debounce_session(events: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame:
@@ -50,33 +121,63 @@ def debounce_session(events: DataFrame, key: str, gap: str, ts: str = "ts") -> D
 
 
 class AnchoredBursts(StatefulProcessor):
-    """The anchored window of each key, kept as state between micro-batches."""
+    """The anchored windows of each key, for events in any order within the watermark's delay.
+
+    Times are kept until the watermark has passed the end of the window that the earliest of them opens: then no event of
+    that burst can come any more, and it is emitted with its count. State goes with it.
+    """
 
     def __init__(self, window_ms: int):
-        self.window = pd.Timedelta(milliseconds=window_ms)
+        self.window = window_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.start = handle.getValueState("start", "start timestamp")
+        self.handle = handle
+        self.times = handle.getMapState("times", "t long", "n long")
+        self.until = handle.getValueState("until", "t long")
+
+    def _wake(self) -> None:
+        """One timer: the end of the window that the earliest time opens."""
+        for at in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(at)
+        if (first := min((k[0] for k in self.times.keys()), default=None)) is not None:
+            self.handle.registerTimer(-(-(first + self.window) // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start = self.start.get()[0] if self.start.exists() else None
-        opened = []
-        for t in pd.concat([r["ts"] for r in rows]).sort_values():
-            if start is None or t >= pd.Timestamp(start) + self.window:
-                start = t
-                opened.append(t)
-        if start is not None:
-            self.start.update((pd.Timestamp(start).to_pydatetime(),))
-        yield pd.DataFrame({"key": [key[0]] * len(opened), "start": opened})
+        until = self.until.get()[0] if self.until.exists() else None
+        for some in rows:
+            for t, n in some["t"].value_counts().items():
+                if until is None or t >= until:  # a closed burst takes no more events
+                    known = self.times.getValue((int(t),))[0] if self.times.containsKey((int(t),)) else 0
+                    self.times.updateValue((int(t),), (known + int(n),))
+        self._wake()
+        yield pd.DataFrame({"key": pd.Series([], dtype=str), "start": pd.Series([], dtype="int64"), "events": pd.Series([], dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, closed = timerValues.getCurrentWatermarkInMs() * 1000, []
+        known = dict(sorted((k[0], v[0]) for k, v in self.times.iterator()))
+        while known and (start := next(iter(known))) + self.window <= now:
+            mine = [t for t in known if t < start + self.window]
+            closed.append((key[0], start, sum(known.pop(t) for t in mine)))
+            for t in mine:
+                self.times.removeKey((t,))
+            self.until.update((start + self.window,))
+        if not known:
+            self.until.clear()  # the watermark is behind it: what is older comes late anyway
+        self._wake()
+        yield pd.DataFrame(closed, columns=["key", "start", "events"])
 
     def close(self) -> None:
         pass
 
 
-def stream_bursts(events: DataFrame, key: str, window_ms: int) -> DataFrame:
-    """key, start of every burst as it opens; needs the RocksDB state store. Events of later batches must be later."""
-    keyed = events.select(F.col(key).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return keyed.groupBy("key").transformWithStateInPandas(AnchoredBursts(window_ms), "key string, start timestamp", "Append", "None")
+def stream_bursts(events: DataFrame, key: str, window_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """key, start (microseconds), events of every burst once it is closed; needs the RocksDB state store.
+
+    Events may come in any order; those older than the watermark (`delay` behind the newest) are late and dropped.
+    """
+    at = F.col("ts").cast("timestamp")
+    keyed = events.select(F.col(key).cast("string").alias("key"), at.alias("ts"), F.unix_micros(at).alias("t")).where("t IS NOT NULL").withWatermark("ts", delay)
+    return keyed.groupBy("key").transformWithStateInPandas(AnchoredBursts(window_ms), "key string, start long, events long", "Append", "EventTime")
 
 
 def live_run_state(events: DataFrame) -> DataFrame:
