@@ -12,7 +12,7 @@ from twinlake.operators import blocks, compare, index, planning
 from twinlake.plans import mirror
 from twinlake.plans.options import Options
 from twinlake.schemas import ENTRIES, INDEX_VERSION
-from twinlake.sources import snapshots
+from twinlake.sources import buckets, snapshots
 from twinlake.streaming import watch
 
 DATA = "/root/testdata/sf0.001"
@@ -217,6 +217,44 @@ def test_a_damaged_index_is_a_full_plan(spark, sides, tmp_path):
         assert run.status == "success" and run.stats["skips"] == dst.count(), how
 
 
+def test_a_small_change_rewrites_its_buckets_only(spark, tmp_path):
+    at, n = f"file://{tmp_path}/b", 2000
+    rows = [_entry(f"d{k % 7}/f{k}", 1) for k in range(n)]
+    old = spark.createDataFrame(rows, ENTRIES)
+    assert buckets.publish_buckets(old, at, 32) == 1
+    new = spark.createDataFrame([_entry(f"d{k % 7}/f{k}", 2 if k in (10, 20) else 1) for k in range(n) if k != 30], ENTRIES)
+    files = lambda: {p.parent.name: p.name for p in (tmp_path / "b").glob("v-*/bucket=*/*.parquet")}
+    before = {p for p in (tmp_path / "b").rglob("*.parquet")}
+    touched = buckets.apply_changes(planning.mirror_plan(old, new).limit(0), at, ALL)
+    assert touched == [] and files()
+    touched = buckets.apply_changes(planning.mirror_plan(new, old), at, ALL)
+    written = {p.parent.name for p in (tmp_path / "b").rglob("*.parquet") if p not in before}
+    assert len(touched) <= 3 and written == {f"bucket={b}" for b in touched} and buckets.changed_buckets(spark, at, 1, 2) == touched
+    state = lambda df: sorted((r.path, r.len) for r in df.collect())
+    assert state(buckets.read_buckets(spark, at)) == state(new)
+    # Retention keeps folders that the newest version shares with older ones.
+    time.sleep(1.1)
+    snapshots._expire(spark, at, 0)
+    assert [c["number"] for c in snapshots.commits(spark, at)] == [2] and state(buckets.read_buckets(spark, at)) == state(new)
+    # Another writer in between: the changes go to what stands there then.
+    only = spark.createDataFrame([_entry("d0/f0", 9)], ENTRIES)
+    real, calls = buckets.commit, []
+
+    def late(*a, **k):
+        if not calls:
+            calls.append(1)
+            buckets.apply_changes(planning.mirror_plan(spark.createDataFrame([_entry("d1/f1", 8)], ENTRIES), new, delete=False), at, ALL)
+        return real(*a, **k)
+
+    buckets.commit = late
+    try:
+        buckets.apply_changes(planning.mirror_plan(only, new, delete=False), at, ALL)
+    finally:
+        buckets.commit = real
+    found = dict(state(buckets.read_buckets(spark, at)))
+    assert found["d0/f0"] == 9 and found["d1/f1"] == 8 and len(found) == n - 1
+
+
 def test_continuous_mirror(spark, sides, tmp_path):
     src, dst = sides
     a, b, changes = (f"file://{tmp_path}/{x}" for x in ("a", "b", "changes"))

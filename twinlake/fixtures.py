@@ -172,3 +172,29 @@ def long_contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 LONG_SQL = """pairs AS (SELECT source AS path, string_agg(CASE WHEN doc_id % 11 = 0 THEN text || ' v1' ELSE text END, '' ORDER BY doc_id) FILTER (doc_id % 7 <> 0) AS old, string_agg(text, '' ORDER BY doc_id) AS new FROM documents GROUP BY source)"""
+
+
+def all_kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(source, destination) with directories, and with symlinks on both sides: some alike, some with another target."""
+
+    def dirs(entries: DataFrame, level: int, mode: int) -> DataFrame:
+        found = entries.select(F.array_join(F.slice(F.split("path", "/"), 1, level), "/").alias("path")).distinct()
+        fill = {"len": 0, "mtime_s": level, "mtime_ns": 0, "mode": mode, "uid": 1000, "gid": 100}
+        kinds = entries.schema
+        return found.withColumns({"kind": F.lit("dir")} | {c: F.lit(v).cast(kinds[c].dataType) for c, v in fill.items()} | {c: F.lit(None).cast(kinds[c].dataType) for c in ("dev", "ino", "target", "hash")}).select(entries.columns)
+
+    n = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
+    s, d = source(spark, sf_dir).drop("text"), destination(spark, sf_dir).drop("text")
+    link = n % 23 == 0
+    s = s.withColumns({"kind": F.when(link, "symlink").otherwise(F.col("kind")), "len": F.when(link, 0).otherwise(F.col("len")), "target": F.when(link, F.when(n % 2 == 0, "elsewhere").otherwise("nowhere"))})
+    return s.union(dirs(s, 1, 16877)).union(dirs(s, 2, 16877)), d.union(dirs(d, 1, 16877)).union(dirs(d, 2, 16832))
+
+
+def all_kinds_sql() -> str:
+    """Further table expressions over SNAPSHOTS_SQL: src2 and dst2."""
+    columns = "path, kind, len, mtime_s, mtime_ns, mode, uid, gid, dev, ino, target, hash"
+    level = lambda name, k, mode: f"SELECT DISTINCT array_to_string(string_split(path, '/')[1:{k}], '/'), 'dir', 0, {k}, 0, {mode}, 1000, 100, NULL, NULL, NULL, NULL FROM {name}"
+    n = "CAST(regexp_extract(path, '([0-9]+)[.]txt$', 1) AS BIGINT)"
+    linked = f"SELECT * REPLACE (CASE WHEN {n} % 23 = 0 THEN 'symlink' ELSE kind END AS kind, CASE WHEN {n} % 23 = 0 THEN 0 ELSE len END AS len, CASE WHEN {n} % 23 = 0 THEN CASE WHEN {n} % 2 = 0 THEN 'elsewhere' ELSE 'nowhere' END END AS target) FROM src"
+    return f"""src1 AS ({linked}), src2 AS (SELECT {columns} FROM src1 UNION ALL {level("src1", 1, 16877)} UNION ALL {level("src1", 2, 16877)}),
+dst2 AS (SELECT {columns} FROM dst UNION ALL {level("dst", 1, 16877)} UNION ALL {level("dst", 2, 16832)})"""

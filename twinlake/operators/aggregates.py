@@ -80,6 +80,17 @@ def tree_bytes(entries: DataFrame, depth: int | None = None) -> DataFrame:
     return files.agg(*sums) if depth is None else files.groupBy(F.substring_index("path", "/", depth).alias("dir")).agg(*sums)
 
 
+def all_tree_bytes(entries: DataFrame) -> DataFrame:
+    """dir, bytes, files below every directory, the root ('') included.
+
+    Files are summed up by their own directory first; then only directories, not files, meet their ancestors.
+    """
+    own = entries.where("kind = 'file'").groupBy(parent("path").alias("own")).agg(F.sum("len").alias("b"), F.count("*").alias("n"))
+    parts = F.filter(F.split("own", "/"), lambda p: p != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return own.select(F.explode(above).alias("dir"), "b", "n").groupBy("dir").agg(F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("bytes"), F.sum("n").cast("long").alias("files"))
+
+
 def touched_dirs(plan: DataFrame) -> DataFrame:
     """Parents of changed entries, and the root ('')."""
     changed = plan.where("action != 'skip'").select(parent("path").alias("dir")).distinct()

@@ -15,6 +15,7 @@ from .functions.globs import glob_match
 from .operators import aggregates, blocks, compare, delta, filters, index, planning
 from .plans import mirror
 from .plans.options import Options
+from .sources import buckets as bucketed
 from .sources import snapshots
 from .streaming import watch
 
@@ -88,6 +89,34 @@ def _(spark, d):
     return snapshots.entries_from_table(fx.table(spark, d, "orders"), ["o_orderkey"], ["o_custkey", "o_orderstatus"])
 
 
+@query("src6_bench_csv", f"WITH {BENCH_SQL} SELECT 'warm' AS cache, scenario, tool, seconds, files, bytes, CASE WHEN seconds <> 0 THEN files / seconds END AS files_per_sec FROM bench")
+def _(spark, d):
+    """Benchmark rows written as CSV and read with their schema."""
+    at = f"{snapshots.shared_dir(spark)}/bench-{uuid.uuid4().hex}"
+    rate = F.when(F.col("seconds") != 0, F.col("files") / F.col("seconds"))
+    fx.bench_runs(spark, d).select(F.lit("warm").alias("cache"), "scenario", "tool", "seconds", "files", "bytes", rate.alias("files_per_sec"), F.lit(None).cast("double").alias("gib_per_sec"), F.lit("x").alias("filesystem")).write.option("header", True).csv(at)
+    return snapshots.read_bench(spark, at).select("cache", "scenario", "tool", "seconds", "files", "bytes", "files_per_sec")
+
+
+@over_snapshots("snk1_versions", "SELECT 1 AS number, path, len FROM dst UNION ALL SELECT 2, path, len FROM src UNION ALL SELECT 3, path, len FROM src WHERE len > 1000")
+def _(s, d):
+    """Three versions published one after the other, each read by its number."""
+    spark, at = s.sparkSession, f"{snapshots.shared_dir(s.sparkSession)}/versions-{uuid.uuid4().hex}"
+    for df in (d, s):
+        snapshots.publish(df, at)
+    snapshots.publish(snapshots.read_published(spark, at).where("len > 1000"), at, based_on=2)
+    made = [snapshots.read_published(spark, at, n).select(F.lit(n).alias("number"), "path", "len") for n in (1, 2, 3)]
+    return made[0].union(made[1]).union(made[2])
+
+
+@over_snapshots("snk1_manifest", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS damaged FROM dst")
+def _(s, d):
+    """The manifest of a published version holds all of its rows, and none of its files is damaged."""
+    spark, at = s.sparkSession, f"{snapshots.shared_dir(s.sparkSession)}/versions-{uuid.uuid4().hex}"
+    version = snapshots.publish(d, at)
+    return spark.read.parquet(f"{at}/m-{version}").agg(F.sum("rows").alias("rows")).withColumn("damaged", F.lit(snapshots.damaged(spark, at).count()).cast("long"))
+
+
 # Filters
 
 
@@ -163,7 +192,33 @@ def _(s, d):
 
 @over_snapshots("pln4_kinds", "SELECT s.path FROM src s JOIN dst d ON s.path = d.path WHERE s.kind <> d.kind")
 def _(s, d):
-    return planning.build_plan(s, d.where("kind = 'symlink'")).where("action = 'update'").select("path")
+    both = s.select("path", F.col("kind").alias("was")).join(planning.build_plan(d, s), "path")
+    return both.where("action = 'update' AND was != kind").select("path")
+
+
+_KINDS = f"{SNAPSHOTS_SQL}, {fx.all_kinds_sql()}"
+_KINDS_PLAN = """kinds_plan AS (SELECT coalesce(s.path, d.path) AS path, coalesce(s.kind, d.kind) AS kind, CASE WHEN s.path IS NULL THEN 'delete' WHEN d.path IS NULL THEN 'copy' WHEN s.kind <> d.kind THEN 'update'
+  WHEN s.kind = 'dir' THEN CASE WHEN (s.mode & 4095) <> (d.mode & 4095) OR s.mtime_s <> d.mtime_s THEN 'update' ELSE 'skip' END WHEN s.kind = 'symlink' THEN CASE WHEN s.target <> d.target OR s.mtime_s <> d.mtime_s THEN 'update' ELSE 'skip' END
+  WHEN s.len <> d.len OR (s.mode & 4095) <> (d.mode & 4095) OR s.mtime_s <> d.mtime_s THEN 'update' ELSE 'skip' END AS action FROM src2 s FULL OUTER JOIN dst2 d ON s.path = d.path)"""
+
+
+@query("pln4_all_kinds", f"WITH {_KINDS}, {_KINDS_PLAN} SELECT path, kind, action FROM kinds_plan")
+def _(spark, d):
+    return planning.mirror_plan(*fx.all_kinds(spark, d)).select("path", "kind", "action")
+
+
+@query("pln10_empty_guard", f"WITH {SNAPSHOTS_SQL} SELECT string_split(path, '/')[1] AS dir, count(*) FILTER (mode <> 33188) = 0 AS refused FROM dst GROUP BY 1")
+def _(spark, d):
+    """For each top directory, whether a mirror with deletions of its re-moded entries alone would be refused as empty."""
+    made, dst = [], fx.destination(spark, d).withColumn("dir", F.substring_index("path", "/", 1))
+    for r in dst.groupBy("dir").agg(F.count_if(F.col("mode") != 33188).alias("n")).orderBy("dir").collect():  # a row for each top directory
+        few = dst.where((F.col("dir") == r["dir"]) & (F.col("mode") != 33188)).limit(r["n"] and 1)
+        try:
+            planning.guard_empty(few, delete=True)
+            made.append((r["dir"], False))
+        except planning.EmptySourceError:
+            made.append((r["dir"], True))
+    return spark.createDataFrame(made, "dir string, refused boolean")
 
 
 @over_snapshots("pln5_deletions", "SELECT path FROM dst WHERE path NOT IN (SELECT path FROM src)")
@@ -266,6 +321,11 @@ def _(s, d):
     return aggregates.tree_bytes(s, 1)
 
 
+@over_snapshots("agg7_all_dirs", "SELECT dir, CAST(sum(len) AS BIGINT) AS bytes, count(*) AS files FROM (SELECT len, unnest(list_transform(range(0, len(string_split(path, '/'))), lambda k: array_to_string(string_split(path, '/')[1:k], '/'))) AS dir FROM dst WHERE kind = 'file') x GROUP BY dir")
+def _(s, d):
+    return aggregates.all_tree_bytes(d)
+
+
 @over_plan("agg8_touched_dirs", "SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS dir FROM plan WHERE action <> 'skip' UNION SELECT ''")
 def _(plan):
     return aggregates.touched_dirs(plan)
@@ -572,6 +632,33 @@ def _(s, d):
     return mirror.mirror(s, d, _approved())[1].select("path", "kind", "len", "mtime_s")
 
 
+@over_snapshots("apl1_buckets", "SELECT path, kind, len, mtime_s FROM src")
+def _(s, d):
+    """The destination published in buckets, the plan's changes merged into those that they touch."""
+    spark, at = s.sparkSession, f"{snapshots.shared_dir(s.sparkSession)}/buckets-{uuid.uuid4().hex}"
+    bucketed.publish_buckets(d, at, buckets=16)
+    bucketed.apply_changes(planning.mirror_plan(s, d), at, _approved())
+    return bucketed.read_buckets(spark, at).select("path", "kind", "len", "mtime_s")
+
+
+@query("apl4_all_kinds", f"WITH {_KINDS} SELECT path, kind, mode & 4095 AS bits, mtime_s, target FROM src2")
+def _(spark, d):
+    """A mirror with directories and symlinks leaves what the source has."""
+    return mirror.mirror(*fx.all_kinds(spark, d), _approved())[1].select("path", "kind", paths.mode_bits("mode").alias("bits"), "mtime_s", "target")
+
+
+@over_snapshots(
+    "apl7_outcome",
+    f"SELECT CASE WHEN m.n + e.n = 0 THEN 'success' ELSE 'failed' END AS status, m.n AS mismatches, e.n AS errors, false AS persist_index, (SELECT count(*) FROM plan WHERE action = 'delete') AS deletions FROM (SELECT count(*) AS n FROM verified WHERE detail IS NOT NULL) m, (SELECT count(*) AS n FROM src WHERE mtime_s % 29 = 0) e",
+    _verify_sql(_EXACT) + ", " + plan_sql(),
+)
+def _(s, d):
+    """The outcome of a run whose verification finds the two sides different and which could not read some files."""
+    plan, errors = planning.mirror_plan(s, d), s.where("mtime_s % 29 = 0").select("path", F.lit("unreadable source").alias("error"))
+    run = mirror.finish(plan, compare.verify(s, d, "all"), errors, _approved())
+    return s.sparkSession.createDataFrame([(run.status, run.mismatches, run.errors, run.persist_index, run.stats["deletions"])], "status string, mismatches long, errors long, persist_index boolean, deletions long")
+
+
 @over_snapshots("apl2_dry_run", "SELECT CASE WHEN action = 'delete' THEN 'deleted' ELSE 'planned' END AS event, path, action, CASE WHEN kind = 'file' AND action IN ('copy', 'update') THEN len ELSE 0 END AS bytes FROM plan", plan_sql())
 def _(s, d):
     return mirror.dry_run(s, d, Options(delete=True, yes=True))[1].select("event", "path", "action", "bytes")
@@ -602,10 +689,10 @@ def _(plan):
     return mirror.materialize_links(plan).select("path", "link_to", "bytes")
 
 
-@over_snapshots("apl6_errors", "SELECT path, 'unreadable source' AS error FROM src WHERE mtime_s % 29 = 0")
+@over_snapshots("apl6_errors", "SELECT s.path, 'unreadable source' AS error FROM src s WHERE mtime_s % 29 = 0")
 def _(s, d):
     unread = s.withColumn("len", F.when(F.col("mtime_s") % 29 != 0, F.col("len")))
-    return mirror.mirror(unread, d.limit(0), Options())[2]
+    return mirror.mirror(unread, d, Options())[2]
 
 
 @query(
@@ -648,6 +735,52 @@ def _(spark, d):
     return watch.debounce_session(fx.table(spark, d, "events"), "user_id", "30 minutes").select("user_id", F.unix_micros("start").alias("start"), "events")
 
 
+def _by_run(spark: SparkSession, d: str) -> str:
+    """A folder with a change file for each run, written one after the other."""
+    at, events = f"{snapshots.shared_dir(spark)}/changes-{uuid.uuid4().hex}", snapshots.keep(fx.run_events(spark, d).select("run_id", "seq", "path"), "events")
+    for r in events.select("run_id").distinct().orderBy("run_id").collect():  # 16 runs
+        events.where(F.col("run_id") == r["run_id"]).coalesce(1).write.mode("append").parquet(at)
+    return at
+
+
+@over_snapshots("str1_mirror", "SELECT path, kind, len, mtime_s FROM src")
+def _(s, d):
+    """A mirror that follows a stream of changed paths: first the destination's state, then, after a change, the source's."""
+    spark, at = s.sparkSession, f"{snapshots.shared_dir(s.sparkSession)}/follow-{uuid.uuid4().hex}"
+    a, b, changes = f"{at}/a", f"{at}/b", f"{at}/changes"
+    for k, side in enumerate((d, s)):
+        snapshots.publish(side, a)
+        planning.mirror_plan(s, d).where("action != 'skip'").select("path").coalesce(1).write.mode("append").parquet(changes)
+        mirror.mirror_on_changes(watch.changes_stream(spark, changes, "path string"), a, b, _approved(), f"{at}/c").awaitTermination()
+    return snapshots.read_published(spark, b).select("path", "kind", "len", "mtime_s")
+
+
+@query("str5_failed_cycles", f"WITH {RUN_EVENTS_SQL} SELECT run_id, count(*) AS rows, CASE WHEN count(*) % 3 = 0 THEN 'ArithmeticError' END AS error FROM re GROUP BY run_id")
+def _(spark, d):
+    """A batch for each run; cycles of runs whose number of events is a multiple of 3 fail and are logged, the others go on."""
+    at = _by_run(spark, d)
+
+    def cycle(batch: DataFrame, batch_id: int) -> None:
+        found = batch.groupBy("run_id").agg(F.count("*").alias("rows")).first()
+        if found["rows"] % 3 == 0:
+            raise ArithmeticError(f"{found['run_id']} {found['rows']}")
+        spark.createDataFrame([(found["run_id"], found["rows"])], "run_id string, rows long").write.mode("append").parquet(f"{at}-done")
+
+    spark.createDataFrame([], "run_id string, rows long").write.parquet(f"{at}-done")
+    spark.createDataFrame([], "batch_id long, error string, message string").write.parquet(f"{at}-errors")
+    watch.watch(watch.changes_stream(spark, at, "run_id string, seq long, path string", max_files=1), cycle, f"{at}-check", errors=f"{at}-errors").awaitTermination()
+    failed = spark.read.parquet(f"{at}-errors").select(F.substring_index("message", " ", 1).alias("run_id"), F.substring_index("message", " ", -1).cast("long").alias("rows"), "error")
+    return spark.read.parquet(f"{at}-done").withColumn("error", F.lit(None).cast("string")).union(failed)
+
+
+@query("str7_rate_caps", f"WITH {RUN_EVENTS_SQL} SELECT CAST(ceil(count(DISTINCT run_id) / 3.0) AS BIGINT) AS cycles, count(*) AS rows, CAST(3 AS BIGINT) AS most_runs FROM re")
+def _(spark, d):
+    """Cycles of at most three change files."""
+    at, seen = _by_run(spark, d), []
+    watch.watch(watch.changes_stream(spark, at, "run_id string, seq long, path string", max_files=3), lambda batch, n: seen.append(batch.agg(F.count("*"), F.count_distinct("run_id")).first()), f"{at}-check").awaitTermination()
+    return spark.createDataFrame([(len(seen), sum(r[0] for r in seen), max(r[1] for r in seen))], "cycles long, rows long, most_runs long")
+
+
 @query("str4_relevant", f"WITH {RUN_EVENTS_SQL} SELECT run_id, seq FROM re WHERE NOT (path = 'u/7' OR path LIKE 'u/7/%')")
 def _(spark, d):
     events = fx.run_events(spark, d).select("run_id", "seq", F.array("path").alias("paths"))

@@ -102,7 +102,7 @@ class ConflictError(RuntimeError):
 RETAIN_S = 7 * 86400
 
 
-def _listed(spark: SparkSession, pattern: str) -> list:
+def listed(spark: SparkSession, pattern: str) -> list:
     fs, at = _fs(spark, pattern)
     return list(fs.globStatus(at) or [])
 
@@ -113,7 +113,7 @@ def commits(spark: SparkSession, target: str) -> list[dict]:
     A number whose file is still empty was taken by a writer that has not committed, and perhaps never will.
     """
     found = []
-    for status in _listed(spark, f"{target}/log/*.json"):
+    for status in listed(spark, f"{target}/log/*.json"):
         fs, at = _fs(spark, status.getPath().toString())
         stream = fs.open(at)
         try:
@@ -127,7 +127,7 @@ def commits(spark: SparkSession, target: str) -> list[dict]:
 
 def _taken(spark: SparkSession, target: str) -> int:
     """The highest number that any writer has taken; 0 without one."""
-    return max([0, *(int(s.getPath().getName().removesuffix(".json")) for s in _listed(spark, f"{target}/log/*.json"))])
+    return max([0, *(int(s.getPath().getName().removesuffix(".json")) for s in listed(spark, f"{target}/log/*.json"))])
 
 
 def manifest(df: DataFrame) -> DataFrame:
@@ -145,9 +145,19 @@ def publish(df: DataFrame, target: str, based_on: int | None = None, retain_s: f
     published since, nothing is committed and ConflictError tells to start again. Versions stay for `retain_s` seconds
     after they were replaced; so does what has not been committed yet.
     """
-    spark, version = df.sparkSession, uuid.uuid4().hex
+    spark, version = df.sparkSession, new_version()
     df.write.parquet(f"{target}/v-{version}")
     manifest(spark.read.schema(df.schema).parquet(f"{target}/v-{version}")).coalesce(1).write.parquet(f"{target}/m-{version}")
+    commit(spark, target, version, based_on, retain_s, attempts)
+    return version
+
+
+def new_version() -> str:
+    return uuid.uuid4().hex
+
+
+def commit(spark: SparkSession, target: str, version: str, based_on: int | None = None, retain_s: float = RETAIN_S, attempts: int = 20, **noted: object) -> int:
+    """Commits a version that was written, with what is noted of it, and returns its number; ConflictError as publish() says."""
     for _ in range(attempts):
         known = commits(spark, target)
         if based_on is not None and (known[0]["number"] if known else 0) != based_on:
@@ -156,9 +166,9 @@ def publish(df: DataFrame, target: str, based_on: int | None = None, retain_s: f
         if based_on is not None and number != based_on + 1 and not _stale(spark, target, based_on, number):
             time.sleep(0.2)  # another writer holds the next number
             continue
-        if _claimed(spark, f"{target}/log/{number:020d}.json", json.dumps({"number": number, "version": version, "at": int(time.time() * 1000)})):
+        if _claimed(spark, f"{target}/log/{number:020d}.json", json.dumps({"number": number, "version": version, "at": int(time.time() * 1000)} | noted)):
             _expire(spark, target, retain_s)
-            return version
+            return number
     for part in ("v", "m"):
         remove(spark, f"{target}/{part}-{version}")
     raise ConflictError(f"{target} has moved on from version {based_on}" if based_on is not None else f"no free number at {target}")
@@ -193,7 +203,7 @@ def _claimed(spark: SparkSession, path: str, text: str) -> bool:
 
 def _stale(spark: SparkSession, target: str, after: int, before: int, wait_s: float = 60) -> bool:
     """Whether all numbers between the two were taken so long ago that their writers must have failed."""
-    held = [s for s in _listed(spark, f"{target}/log/*.json") if after < int(s.getPath().getName().removesuffix(".json")) < before]
+    held = [s for s in listed(spark, f"{target}/log/*.json") if after < int(s.getPath().getName().removesuffix(".json")) < before]
     return all(s.getModificationTime() < (time.time() - wait_s) * 1000 for s in held)
 
 
@@ -201,8 +211,11 @@ def _expire(spark: SparkSession, target: str, retain_s: float) -> None:
     """Removes versions that were replaced, and parts of uncommitted ones that were written, more than `retain_s` ago."""
     limit, known = (time.time() - retain_s) * 1000, commits(spark, target)
     replaced = {c["version"]: later["at"] for later, c in zip(known, known[1:])}
-    for status in _listed(spark, f"{target}/[vm]-*"):
+    held = {v for c in known if replaced.get(c["version"], limit) >= limit for v in c.get("folders", {}).values()}  # folders that a later version shares
+    for status in listed(spark, f"{target}/[vm]-*"):
         name = status.getPath().getName()[2:]
+        if name in held:
+            continue
         if (replaced.get(name, limit) < limit) or (name not in {c["version"] for c in known} and status.getModificationTime() < limit):
             remove(spark, status.getPath().toString())
     for c in known[1:]:
