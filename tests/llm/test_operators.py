@@ -93,7 +93,7 @@ def test_media_round_trip(odd, none):
     clash = media.load(media.store(odd).withColumns({"width": F.lit("mine"), "Feature": F.lit("mine")}))
     assert clash.columns == ["doc_id", "n_bytes", "media", "width", "Feature", "samples", "width_", "height", "feature_"]
     assert {(r.width, r.width_) for r in clash.collect()} == {("mine", 576)}
-    assert media.load(media.store(odd).withColumn("media", F.lit(None).cast("binary"))).where("samples IS NOT NULL").count() == 0
+    assert media.load(media.store(odd).withColumn("media", F.lit(None).cast("array<binary>"))).where("samples IS NOT NULL").count() == 0
 
 
 def test_shards(spark, odd, none):

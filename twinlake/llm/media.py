@@ -1,12 +1,13 @@
 """Operator 2: media columns of lossless WebP images.
 
-store() lays each text's bytes, filled up with 255 to a multiple of `unit`, out as 8-bit samples of `unit` columns
-and writes them as lossless WebP (several files in a row above `rows` rows, so that one image stays small).
+store() lays each text's bytes, filled up with 255 to a multiple of `unit`, out as 8-bit samples of `unit` columns and
+writes them as lossless WebP. A medium is an array of files: one, which any reader of the format can open, up to the
+format's 16,384 rows, and a further one for each 16,384 rows beyond.
 load() reads the stored bytes back: prefix codes, back-references, colour cache and the inverse transforms, and
 returns the pixel samples with a feature string.
 
 Defined results: a null or empty text is stored as one unit of 255; equal texts give equal values; bytes that are no
-lossless WebP stop the job with an error; a null medium gives null samples; repeated rows give repeated results; an
+lossless WebP stop the job with an error; a null or empty medium gives null samples; repeated rows give repeated results; an
 empty table gives an empty result; other columns are ignored. No shuffle: both are maps over the rows.
 """
 
@@ -24,9 +25,21 @@ from . import webp
 from .common import free_name, slices, text_bytes
 
 
-def encode_bytes(payload: bytes, unit: int, rows: int) -> bytes:
+#: The most rows of an image of the format.
+MOST_ROWS = 1 << 14
+
+
+def encode_bytes(payload: bytes, unit: int, rows: int = MOST_ROWS) -> list[bytes]:
     samples = np.frombuffer(payload, np.uint8).reshape(-1, unit)
-    return b"".join(webp.encode_samples(samples[k : k + rows]) for k in range(0, len(samples), rows))
+    return [webp.encode_samples(samples[k : k + rows]) for k in range(0, len(samples), rows)]
+
+
+def decode_files(files: list[bytes] | None) -> np.ndarray | None:
+    """The samples of a medium's files, one below the other."""
+    if not files:
+        return None
+    parts = [webp.decode_samples(f) for f in files]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def features(samples: np.ndarray) -> str:
@@ -37,7 +50,7 @@ def features(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};sum={int(levels @ np.arange(256))};min={used[0]};max={used[-1]};levels={len(used)};change={change}"
 
 
-def store(df: DataFrame, unit: int = 576, rows: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
+def store(df: DataFrame, unit: int = 576, rows: int = MOST_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes (before filling up), media."""
     src = df.select(F.col(key).alias("key"), text_bytes(text).alias("n_bytes"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -48,9 +61,9 @@ def store(df: DataFrame, unit: int = 576, rows: int = 512, key: str = "doc_id",
                 for t in batch.column("text").to_pylist():
                     raw = t.encode()
                     media.append(encode_bytes(raw + b"\xff" * (-len(raw) % unit if raw else unit), unit, rows))
-                yield pa.record_batch([batch.column("key"), batch.column("n_bytes"), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
+                yield pa.record_batch([batch.column("key"), batch.column("n_bytes"), pa.array(media, pa.list_(pa.binary()))], ["key", "n_bytes", "media"])
 
-    return src.mapInArrow(stored, f"key {src.schema['key'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("key", key)
+    return src.mapInArrow(stored, f"key {src.schema['key'].dataType.simpleString()}, n_bytes long, media array<binary>").withColumnRenamed("key", key)
 
 
 def load(df: DataFrame, media: str = "media") -> DataFrame:
@@ -64,7 +77,7 @@ def load(df: DataFrame, media: str = "media") -> DataFrame:
     def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 256):
-                found = [None if m is None else webp.decode_samples(m) for m in batch.column(place).to_pylist()]
+                found = [decode_files(m) for m in batch.column(place).to_pylist()]
                 own = [
                     pa.array([None if s is None else s.tobytes() for s in found], pa.binary()),
                     pa.array([None if s is None else s.shape[1] for s in found], pa.int32()),

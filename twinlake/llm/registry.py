@@ -28,7 +28,7 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as lossless WebP and read back: digests of payload and medium, and features of the samples."""
     stored = media.load(media.store(documents(spark, sf_dir), unit=576))
-    samples, medium = F.col("samples"), F.col("media")
+    samples, medium = F.col("samples"), F.aggregate("media", F.lit(b""), lambda a, b: F.concat(a, b))  # one file up to 9.4 MB of text
     return stored.select(
         "doc_id", "n_bytes", F.octet_length(samples).cast("long").alias("payload_bytes"), F.sha2(samples, 256).alias("payload_sha256"), F.crc32(F.substring(samples, -32, 32)).alias("tail_crc32"),
         F.octet_length(medium).cast("long").alias("media_bytes"), F.sha2(medium, 256).alias("media_sha256"), "feature",
