@@ -68,7 +68,8 @@ def test_op3(spark, texts):
         by[r.shard].append(r.slot)
         groups[texts[r.doc_id]].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert all(len(s) == 1 for s in groups.values())  # no group is above a shard here
+    whole, copies = sum(size.values()) / 40, Counter((t or "") for t in texts.values())
+    assert all(len(s) == 1 for t, s in groups.items() if (len((t or "").encode()) + 16) * copies[t or ""] <= whole)
 
 
 def test_op5(spark):
@@ -136,4 +137,4 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             got = corpus_pipeline.run(spark, f"file://{at}").collect()
             assert all(r.length > 0 for r in got) and (bool(got) == (rows.count() > 0))
             if got:
-                assert Counter(r.doc_id for r in got)[900003] <= 2 * 1 and None in {r.doc_id for r in got} | {None}
+                assert Counter(r.doc_id for r in got)[900003] <= 2  # one of the repeated rows, taken twice at most
