@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinlake import fixtures as fx
 from twinlake.operators import blocks, compare, index, planning
-from twinlake.plans import mirror
+from twinlake.plans import incremental, mirror
 from twinlake.plans.options import Options
 from twinlake.schemas import ENTRIES, INDEX_VERSION
 from twinlake.sources import buckets, snapshots
@@ -255,6 +255,30 @@ def test_a_small_change_rewrites_its_buckets_only(spark, tmp_path):
     assert found["d0/f0"] == 9 and found["d1/f1"] == 8 and len(found) == n - 1
 
 
+def test_a_cycle_reads_its_buckets_only(spark, tmp_path):
+    a, b, n = f"file://{tmp_path}/a", f"file://{tmp_path}/b", 400
+    rows = spark.createDataFrame([_entry(f"f{k}", 1) for k in range(n)], ENTRIES)
+    for at in (a, b):
+        buckets.publish_buckets(rows, at, 16)
+    change = spark.createDataFrame([_entry("f7", 9), _entry("new", 1)], ENTRIES)
+    gone = spark.createDataFrame([_entry("f8", 1)], ENTRIES)
+    buckets.apply_changes(planning.mirror_plan(change, rows.where("path IN ('f7')"), delete=False).union(planning.mirror_plan(gone.limit(0), gone)), a, ALL)
+    touched = {r.b for r in spark.createDataFrame([("f7",), ("f8",), ("new",)], "path string").select(buckets.bucket_of("path", 16).alias("b")).collect()}
+    for at in ("a", "b"):  # what no change falls into cannot be read
+        for p in (tmp_path / at).glob("v-*/bucket=*/*.parquet"):
+            if int(p.parent.name.removeprefix("bucket=")) not in touched:
+                p.rename(p.with_suffix(".away"))
+    changes = f"{tmp_path}/changes"
+    spark.createDataFrame([("f7",), ("f8",), ("new",), (".twinlake/x",)], "path string").write.parquet(changes)
+    incremental.follow(watch.changes_stream(spark, changes, "path string"), a, b, ALL, f"{tmp_path}/c").awaitTermination(120)
+    for p in tmp_path.glob("[ab]/v-*/bucket=*/*.away"):
+        p.rename(p.with_suffix(".parquet"))
+    state = lambda at: sorted((r.path, r.len) for r in buckets.read_buckets(spark, at).collect())
+    assert state(a) == state(b) and dict(state(b))["f7"] == 9 and "f8" not in dict(state(b)) and len(state(b)) == n
+    with pytest.raises(mirror.DeletesNotApprovedError):
+        incremental.sync_paths(spark, b, a, spark.createDataFrame([("f7",)], "path string"), replace(ALL, yes=False)) if buckets.apply_changes(planning.mirror_plan(change.limit(0), change.where("path = 'f7'")), b, ALL) else None
+
+
 def test_continuous_mirror(spark, sides, tmp_path):
     src, dst = sides
     a, b, changes = (f"file://{tmp_path}/{x}" for x in ("a", "b", "changes"))

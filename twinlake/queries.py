@@ -13,7 +13,7 @@ from .fixtures import BENCH_SQL, CHECKSUM_SQL, CONTENTS_SQL, JOURNAL_SQL, QUICK_
 from .functions import paths
 from .functions.globs import glob_match
 from .operators import aggregates, blocks, compare, delta, filters, index, planning
-from .plans import mirror
+from .plans import incremental, mirror
 from .plans.options import Options
 from .sources import buckets as bucketed
 from .sources import snapshots
@@ -755,6 +755,20 @@ def _(s, d):
     return snapshots.read_published(spark, b).select("path", "kind", "len", "mtime_s")
 
 
+@over_snapshots("str1_incremental", "SELECT path, kind, len, mtime_s FROM src")
+def _(s, d):
+    """The same in buckets: three versions of the source, the changes between them as a stream, only their buckets rewritten."""
+    spark, at = s.sparkSession, f"{snapshots.shared_dir(s.sparkSession)}/follow-{uuid.uuid4().hex}"
+    a, b, changes, plan = f"{at}/a", f"{at}/b", f"{at}/changes", snapshots.keep(planning.mirror_plan(s, d).where("action != 'skip'"), "plan")
+    bucketed.publish_buckets(d, a, 16)
+    for half in (None, 0, 1):
+        some = plan.limit(0) if half is None else plan.where(F.pmod(F.xxhash64("path"), F.lit(2)) == half)
+        bucketed.apply_changes(some, a, _approved())
+        some.select("path").coalesce(1).write.mode("append").parquet(changes)
+        incremental.follow(watch.changes_stream(spark, changes, "path string"), a, b, _approved(), f"{at}/c").awaitTermination()
+    return bucketed.read_buckets(spark, b).select("path", "kind", "len", "mtime_s")
+
+
 @query("str5_failed_cycles", f"WITH {RUN_EVENTS_SQL} SELECT run_id, count(*) AS rows, CASE WHEN count(*) % 3 = 0 THEN 'ArithmeticError' END AS error FROM re GROUP BY run_id")
 def _(spark, d):
     """A batch for each run; cycles of runs whose number of events is a multiple of 3 fail and are logged, the others go on."""
