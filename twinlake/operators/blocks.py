@@ -16,6 +16,7 @@ composed in a tree; then every chunk takes its own matches. No task holds the po
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield dict(zip(names, row))
 
 
-def _gathered(rows: Iterator[tuple], schema: str, most: int = 4000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(rows: Iterator[tuple], schema: str, most: int = 4000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of some rows and some MB."""
     some, size = [], 0
     for row in rows:
@@ -110,7 +111,7 @@ def _cut(table: DataFrame) -> DataFrame:
 
         names = [f.split()[0] for f in kinds.split(", ")]
         order = ", ".join([f for f in kinds.split(", ") if f.split()[0] not in ("offset", "bytes")] + ["offset long", "bytes binary", "chunk long"])
-        yield from _gathered(parts(), order)
+        yield from gathered(parts(), order)
 
     rest = [f for f in kinds.split(", ") if f.split()[0] not in ("offset", "bytes")]
     return table.mapInArrow(cut, ", ".join([*rest, "offset long", "bytes binary", "chunk long"]))
@@ -159,7 +160,7 @@ def signature(old: DataFrame, sizes: DataFrame) -> DataFrame:
                     part = own[k : k + size]
                     yield r["path"], first + k // size, size, int(window_sums(part, len(part))[0]), strong_of(part), len(part), -(-r["old_n"] // size)
 
-        yield from _gathered(blocks(), SIGNATURE)
+        yield from gathered(blocks(), SIGNATURE)
 
     return _whole_chunks(_sized(old, sizes.select("path", "old_n", "block", "span"), "old_n")).mapInArrow(signed, SIGNATURE)
 
@@ -222,7 +223,7 @@ def hits(new: DataFrame, sig: DataFrame, sizes: DataFrame) -> DataFrame:
                     continue
                 yield _windows(r, bits, words)
 
-        yield from _gathered(passed(), HITS)
+        yield from gathered(passed(), HITS)
 
     return both.mapInArrow(found, HITS)
 
@@ -324,7 +325,7 @@ def tables(some: DataFrame) -> DataFrame:
     """path, k, block, table: the function of each chunk (RUNS)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(((r["path"], r["chunk"], r["block"], transfer(np.array(r["starts"], np.int64), np.array(r["counts"], np.int64), r["own"], r["block"]).tobytes()) for r in _rows(batches)), TABLES)
+        yield from gathered(((r["path"], r["chunk"], r["block"], transfer(np.array(r["starts"], np.int64), np.array(r["counts"], np.int64), r["own"], r["block"]).tobytes()) for r in _rows(batches)), TABLES)
 
     return some.select("path", "chunk", "block", "own", "starts", "counts").mapInArrow(made, TABLES)
 
@@ -349,7 +350,7 @@ def _composed(level: DataFrame) -> DataFrame:
             if at is not None:
                 yield done()
 
-        yield from _gathered(groups(), TABLES)
+        yield from gathered(groups(), TABLES)
 
     return level.repartition("path", F.floor(F.col("k") / FAN)).sortWithinPartitions("path", "k").mapInArrow(made, TABLES)
 
@@ -375,7 +376,7 @@ def entries(level: DataFrame) -> DataFrame:
                 to, n = _through(_read(r["table"]), np.array([entry]))
                 entry, before = int(to[0]), before + int(n[0])
 
-        yield from _gathered(steps(), schema)
+        yield from gathered(steps(), schema)
 
     above = None
     for one in reversed(levels):
@@ -388,11 +389,12 @@ def entries(level: DataFrame) -> DataFrame:
     return above.withColumnRenamed("k", "chunk")
 
 
-def _taken(starts: np.ndarray, counts: np.ndarray, own: int, block: int, at: int) -> Iterator[tuple[int, int]]:
+def _taken(starts: list[int], counts: list[int], own: int, block: int, at: int) -> Iterator[tuple[int, int]]:
     """(position, run) of the matches taken from an entry on."""
-    ahead = next_match(starts, counts, own)
-    while at < own and (at := int(ahead[at])) < own:
-        yield at, int(np.searchsorted(starts, at, "right")) - 1
+    ends = [s + n for s, n in zip(starts, counts)]
+    while at < own and (run := bisect_right(ends, at)) < len(ends):
+        at = max(at, starts[run])
+        yield at, run
         at += block
 
 
@@ -406,10 +408,10 @@ def chosen(some: DataFrame, where: DataFrame, span: Column) -> DataFrame:
         def matches() -> Iterator[tuple]:
             for r in _rows(batches):
                 if r["starts"]:
-                    for k, (at, run) in enumerate(_taken(np.array(r["starts"]), np.array(r["counts"]), r["own"], r["block"], r["entry"])):
+                    for k, (at, run) in enumerate(_taken(r["starts"], r["counts"], r["own"], r["block"], r["entry"])):
                         yield r["path"], r["chunk"] * r["span"] + at, r["block"], r["idx"][run], r["before"] + k
 
-        yield from _gathered(matches(), CHOSEN)
+        yield from gathered(matches(), CHOSEN)
 
     return some.withColumn("span", span).join(where, ["path", "chunk"]).mapInArrow(made, CHOSEN)
 
@@ -455,14 +457,14 @@ def encode(old: DataFrame, new: DataFrame, block: int | None = 700) -> DataFrame
                 assert (r["path"], r["chunk"]) == at
                 data, size, base = r["bytes"][: r["span"]], r["block"], r["chunk"] * r["span"]
                 done = known["entry"]
-                for p, _ in _taken(np.array(known["starts"], np.int64), np.array(known["counts"], np.int64), len(data), size, done):
+                for p, _ in _taken(known["starts"], known["counts"], len(data), size, done):
                     if p > done:
                         yield r["path"], r["chunk"], base + done, p - done, "literal", None, data[done:p]
                     done = p + size
                 if done < len(data) or not r["n"]:
                     yield r["path"], r["chunk"], base + done, len(data) - done, "literal", None, data[done:]
 
-        yield from _gathered(parts(), OPS)
+        yield from gathered(parts(), OPS)
 
     cut = _cut(_sized(new, sizes.where("n IS NOT NULL").select("path", "n", "block", "span"), "n"))
     rows = cut.select("path", "chunk", F.lit(1).alias("tag"), "offset", "bytes", "n", "block", "span", *[F.lit(None).cast(t).alias(c) for c, t in (("starts", "array<int>"), ("counts", "array<int>"), ("entry", "long"))])
@@ -488,7 +490,7 @@ def rebuild(old: DataFrame, ops: DataFrame, block: int | None = 700) -> DataFram
                 for k in range(0, len(own), r["block"]):
                     yield r["path"], first + k // r["block"], own[k : k + r["block"]]
 
-        yield from _gathered(parts(), "path string, block_idx long, bytes binary")
+        yield from gathered(parts(), "path string, block_idx long, bytes binary")
 
     stored = _whole_chunks(_sized(old, sizes.select("path", "old_n", "block", "span"), "old_n")).mapInArrow(cut_blocks, "path string, block_idx long, bytes binary")
     sent = wanted.join(stored, ["path", "block_idx"]).select("path", "chunk", F.lit(0).alias("tag"), F.lit(None).cast("long").alias("pos"), "block_idx", "bytes")
@@ -511,7 +513,7 @@ def rebuild(old: DataFrame, ops: DataFrame, block: int | None = 700) -> DataFram
             if parts:
                 yield at[0], offset, b"".join(parts)
 
-        yield from _gathered(chunks(), schema)
+        yield from gathered(chunks(), schema)
 
     return sent.union(steps).repartition("path", "chunk").sortWithinPartitions("path", "chunk", "tag", "pos").mapInArrow(built, schema)
 
@@ -521,7 +523,7 @@ def digests(table: DataFrame, size: int = 1 << 16) -> DataFrame:
     cut = _cut(table.select("path", "offset", "bytes", F.lit(1).alias("block"), F.lit(size).cast("long").alias("span")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(((r["path"], r["chunk"], len(r["bytes"]), strong_of(r["bytes"])) for r in _chunks(_rows(batches))), "path string, part long, len long, hash string")
+        yield from gathered(((r["path"], r["chunk"], len(r["bytes"]), strong_of(r["bytes"])) for r in _chunks(_rows(batches))), "path string, part long, len long, hash string")
 
     return cut.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "offset").mapInArrow(hashed, "path string, part long, len long, hash string")
 

@@ -42,14 +42,19 @@ def signature(old: DataFrame, block: int | None = 700) -> DataFrame:
     Contents are cut in Arrow functions here and below: a column expression copies the whole value for each part of it.
     """
 
+    schema = "path string, block_idx int, block_size int, weak long, strong string, len int"
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, content, size in _columns(batches, "path", "content", "size"):
-            parts = [content[k : k + size] for k in range(0, len(content), size)]
-            made = [[path] * len(parts), [*range(len(parts))], [size] * len(parts), [int(window_sums(p, len(p))[0]) for p in parts], [*map(strong_of, parts)], [*map(len, parts)]]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(made, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32()))], ["path", "block_idx", "block_size", "weak", "strong", "len"])
+        def rows() -> Iterator[tuple]:
+            for path, content, size in _columns(batches, "path", "content", "size"):
+                for k in range(0, len(content), size):
+                    part = content[k : k + size]
+                    yield path, k // size, size, int(window_sums(part, len(part))[0]), strong_of(part), len(part)
+
+        yield from blocks.gathered(rows(), schema)
 
     sized = old.where(F.octet_length("content") > 0).select("path", "content", block_of(old, block).alias("size"))
-    return sized.mapInArrow(signed, "path string, block_idx int, block_size int, weak long, strong string, len int")
+    return sized.mapInArrow(signed, schema)
 
 
 def chunks(new: DataFrame, block: int | None = 700) -> DataFrame:
@@ -117,22 +122,26 @@ def encode(old: DataFrame, new: DataFrame, block: int | None = 700) -> DataFrame
     short = sig.where(F.col("len") < F.col("block_size")).select("path", F.struct("block_idx", "strong", "len").alias("short"))
     joined = new.select("path", "content").join(chosen, "path", "left").join(short, "path", "left")
 
+    schema = "path string, op_seq int, op string, block_idx int, bytes binary"
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, content, kept, short in _columns(batches, "path", "content", "kept", "short"):
-            ops, at = [], 0
-            for m in kept or []:
-                if m["pos"] > at:
-                    ops.append(("literal", None, content[at : m["pos"]]))
-                ops.append(("copy", m["idx"], None))
-                at = m["stop"]
-            if rest := content[at:]:
-                tail = short and len(rest) == short["len"] and strong_of(rest) == short["strong"]
-                ops.append(("copy", short["block_idx"], None) if tail else ("literal", None, rest))
-            for k in range(0, len(ops), 10_000):
-                op, idx, data = zip(*ops[k : k + 10_000])
-                yield pa.record_batch([pa.array([path] * len(op)), pa.array(range(k, k + len(op)), pa.int32()), pa.array(op), pa.array(idx, pa.int32()), pa.array(data, pa.binary())], ["path", "op_seq", "op", "block_idx", "bytes"])
-
-    return joined.mapInArrow(coded, "path string, op_seq int, op string, block_idx int, bytes binary")
+        def rows() -> Iterator[tuple]:
+            for path, content, kept, short in _columns(batches, "path", "content", "kept", "short"):
+                ops, at = [], 0
+                for m in kept or []:
+                    if m["pos"] > at:
+                        ops.append(("literal", None, content[at : m["pos"]]))
+                    ops.append(("copy", m["idx"], None))
+                    at = m["stop"]
+                if rest := content[at:]:
+                    tail = short and len(rest) == short["len"] and strong_of(rest) == short["strong"]
+                    ops.append(("copy", short["block_idx"], None) if tail else ("literal", None, rest))
+                for k, op in enumerate(ops):
+                    yield path, k, *op
+
+        yield from blocks.gathered(rows(), schema)
+
+    return joined.mapInArrow(coded, schema)
 
 
 def split_ops(old: DataFrame, ops: DataFrame, block: int | None = 700) -> tuple[DataFrame, DataFrame]:
@@ -152,13 +161,18 @@ def apply_delta(old: DataFrame, ops: DataFrame, block: int | None = 700) -> Data
     listed = good.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("op_seq", "op", "block_idx", "bytes"))).alias("ops"))
     sized = old.select("path", "content", block_of(old, block).alias("size"))
 
+    schema = "path string, content binary"
+
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, content, size, ops in _columns(batches, "path", "content", "size", "ops"):
-            size = size or 0
-            parts = [(content or b"")[o["block_idx"] * size : (o["block_idx"] + 1) * size] if o["op"] == "copy" else o["bytes"] for o in ops]
-            yield pa.record_batch([pa.array([path]), pa.array([b"".join(parts)], pa.binary())], ["path", "content"])
+        def rows() -> Iterator[tuple]:
+            for path, content, size, ops in _columns(batches, "path", "content", "size", "ops"):
+                size = size or 0
+                parts = [(content or b"")[o["block_idx"] * size : (o["block_idx"] + 1) * size] if o["op"] == "copy" else o["bytes"] for o in ops]
+                yield path, b"".join(parts)
+
+        yield from blocks.gathered(rows(), schema)
 
-    rebuilt = listed.join(sized, "path", "left").select("path", "content", "size", "ops").mapInArrow(built, "path string, content binary")
+    rebuilt = listed.join(sized, "path", "left").select("path", "content", "size", "ops").mapInArrow(built, schema)
     paths = old.select("path").union(ops.select("path")).distinct().join(rejected.select("path"), "path", "left_anti")
     return paths.join(rebuilt, "path", "left").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
 
