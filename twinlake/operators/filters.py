@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import glob_match
 from ..functions.paths import mode_bits, under, unsafe
+from ..functions.rulesets import decided
+
+#: So many rules stay regular expressions in the JVM; more are one automaton.
+FEW_RULES = 32
 
 
 def rules_of(filters: Iterable[str] = (), includes: Iterable[str] = (), excludes: Iterable[str] = ()) -> list[tuple[bool, str]]:
@@ -22,8 +26,22 @@ def rules_of(filters: Iterable[str] = (), includes: Iterable[str] = (), excludes
     return rules + [(True, p) for p in includes] + [(False, p) for p in excludes]
 
 
+class TooManyRulesError(ValueError):
+    """A table of rules is longer than allowed."""
+
+
+def read_rules(table: DataFrame, max_rules: int = 100_000) -> list[tuple[bool, str]]:
+    """Rules from a table with their place `n` and their text `rule`; they go to each worker, so their number is bounded."""
+    found = table.select("n", "rule").orderBy("n", "rule").limit(max_rules + 1).collect()
+    if len(found) > max_rules:
+        raise TooManyRulesError(f"more than {max_rules} rules")
+    return rules_of(r.rule for r in found)
+
+
 def included(rules: list[tuple[bool, str]], path: str = "path", kind: str = "kind") -> Column:
     """First match wins; unmatched entries and directories stay."""
+    if len(rules) > FEW_RULES:
+        return (F.col(kind) == "dir") | F.coalesce(decided(path, rules), F.lit(True))
     decision = F.lit(True)
     for include, pattern in reversed(rules):
         decision = F.when(glob_match(path, pattern), F.lit(include)).otherwise(decision)

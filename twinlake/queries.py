@@ -12,6 +12,7 @@ from . import fixtures as fx
 from .fixtures import BENCH_SQL, CHECKSUM_SQL, CONTENTS_SQL, JOURNAL_SQL, QUICK_SQL, RUN_EVENTS_SQL, SNAPSHOTS_SQL, plan_sql
 from .functions import paths
 from .functions.globs import glob_match
+from .functions.rulesets import first_rule
 from .operators import aggregates, blocks, compare, delta, filters, index, planning
 from .plans import incremental, mirror
 from .plans.options import Options
@@ -133,6 +134,43 @@ def _(s, d):
     return filters.apply_rules(d, filters.rules_of(["+ *7.txt", "- src1"], ["de"], ["stale/*.txt"])).select("path")
 
 
+#: A rule for each combination of words in `part` (at most 9,600, whatever its rows), first seen first.
+_RULES_SQL = """named AS (SELECT p_brand AS brand, p_type AS type, replace(p_name, ' ', '_') AS name, min(p_partkey) AS k FROM part GROUP BY ALL), rules AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS n FROM named),
+items AS (SELECT *, brand || '/' || type || '/' || name || '/' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS path FROM (
+  SELECT l_orderkey, l_linenumber, p_brand AS brand, p_type AS type, replace(p_name, ' ', '_') AS name FROM lineitem JOIN part ON l_partkey = p_partkey))"""
+
+
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(paths of ordered parts, rules)"""
+    words = [F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name")]
+    part, lines, k = fx.table(spark, d, "part"), fx.table(spark, d, "lineitem"), F.col("k")
+    leaf = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    items = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat_ws("/", *words, leaf).alias("path"), F.lit("file").alias("kind"))
+    rules = part.groupBy(*words).agg(F.min("p_partkey").alias("k")).select(
+        k.alias("n"),
+        F.concat(
+            F.when(k % 3 == 0, "+ ").otherwise("- "),
+            F.when(k % 4 == 0, F.concat_ws("/", "brand", "type", "name")).when(k % 4 == 1, F.concat(F.lit("**/"), "type", F.lit("/"), "name", F.lit("/*-"), (k % 7 + 1).cast("string")))
+            .when(k % 4 == 2, F.concat("brand", F.lit("/*/"), "name", F.lit("/{?,??,???}-*"))).otherwise(F.concat("brand", F.lit("/[A-M]*/"), "name")),
+        ).alias("rule"),
+    )
+    return items, rules
+
+
+@query(
+    "flt2_many_rules",
+    f"""WITH {_RULES_SQL}, hits AS (
+  SELECT path, min(n) AS n, arg_min(k % 3 = 0, n) AS stays FROM items i JOIN rules r ON i.name = r.name AND CASE r.k % 4
+    WHEN 0 THEN i.brand = r.brand AND i.type = r.type WHEN 1 THEN i.type = r.type AND l_linenumber = r.k % 7 + 1
+    WHEN 2 THEN i.brand = r.brand AND l_orderkey < 1000 ELSE i.brand = r.brand AND i.type < 'N' END GROUP BY ALL
+) SELECT path, n AS rule, coalesce(stays, true) AS stays FROM items LEFT JOIN hits USING (path)""",
+)
+def _(spark, d):
+    items, table = _items(spark, d)
+    rules = filters.read_rules(table)
+    return items.select("path", first_rule("path", [p for _, p in rules]).cast("long").alias("rule"), filters.included(rules).alias("stays"))
+
+
 @query("flt3_allowlist", f"WITH {SNAPSHOTS_SQL} SELECT path FROM src WHERE path IN (SELECT path FROM dst WHERE mode = 33152)")
 def _(spark, d):
     return filters.allowlist(fx.source(spark, d), fx.destination(spark, d).where("mode = 33152").select("path")).select("path")
