@@ -17,7 +17,7 @@ from .operators import aggregates, blocks, compare, delta, filters, index, plann
 from .plans import incremental, mirror
 from .plans.options import Options
 from .sources import buckets as bucketed
-from .sources import snapshots
+from .sources import listing, snapshots
 from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,26 @@ def _(spark, d):
     return snapshots.scan_files(spark, d, "*.parquet", with_hash=True).select("path", "kind", "len", "hash")
 
 
+_FOLDER = """coalesce(nullif({0}, ''), '__HIVE_DEFAULT_PARTITION__')"""
+
+
+@query(
+    "src1_listing",
+    f"""WITH kept AS (SELECT 'source=' || {_FOLDER.format("source")} AS upper, 'lang=' || {_FOLDER.format("lang")} AS lower, coalesce(strlen(text), 0) + 1 AS bytes FROM documents)
+SELECT upper || '/' || lower AS path, 'dir' AS kind, CAST(sum(bytes) AS BIGINT) AS bytes, true AS has_files FROM kept GROUP BY ALL
+UNION ALL SELECT DISTINCT upper, 'dir', CAST(0 AS BIGINT), false FROM kept""",
+)
+def _(spark, d):
+    """Every directory of a tree that Spark wrote, with the bytes of the files right in it; each file has a hidden one beside it, with its checksums."""
+    root = f"{snapshots.shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    fx.table(spark, d, "documents").select("source", "lang", "text").write.partitionBy("source", "lang").text(root)
+    found = listing.list_tree(spark, root, filters.rules_of(["- *_SUCCESS*"]))
+    parent, name = F.regexp_replace("path", "/?[^/]*$", ""), F.substring_index("path", "/", -1)
+    inner = found.where("kind = 'file'").groupBy(parent.alias("parent")).agg(F.sum(F.when(name.startswith("."), 0).otherwise(F.col("len"))).alias("bytes"), F.count_if(name.startswith(".")).alias("hidden"), F.count("*").alias("files"))
+    dirs = found.where("kind = 'dir'").join(inner, F.col("path") == F.col("parent"), "left")
+    return dirs.select("path", "kind", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.col("files") == 2 * F.col("hidden"), F.lit(False)).alias("has_files"))
+
+
 @query("src2_normalize", f"WITH {SNAPSHOTS_SQL} SELECT replace(path, 'stale/', '') AS path, kind, CASE WHEN kind = 'file' THEN len ELSE 0 END AS len FROM dst WHERE kind IN ('file', 'dir', 'symlink')")
 def _(spark, d):
     return snapshots.normalize_entries(fx.destination(spark, d), root="stale").select("path", "kind", "len")

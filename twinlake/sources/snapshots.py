@@ -19,7 +19,7 @@ from ..schemas import BENCH_RUNS
 def scan_files(spark: SparkSession, root: str, glob: str | None = None, with_hash: bool = False) -> DataFrame:
     """Entries of all files below a root. Contents are read only for hashes.
 
-    Spark lists no directories and no names that start with '.' or '_'; complete listings come in as tables.
+    Spark lists no directories and no names that start with '.' or '_'; `listing.list_tree` lists all of a mounted tree.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
