@@ -116,7 +116,7 @@ def encode(old: DataFrame, new: DataFrame, block: int | None = 700) -> DataFrame
     if block is None:
         sizes = old.select("path", block_of(old, None).alias("block"))
         old, new = old.drop("block").join(sizes, "path"), new.drop("block").join(sizes, "path", "left").withColumn("block", F.coalesce("block", block_size_for(F.lit(0))))
-    sig = signature(old, block)
+    sig = keep(signature(old, block), "signature")
     match = F.struct("pos", (F.col("pos") + F.col("block_size")).alias("stop"), F.col("block_idx").alias("idx"))
     chosen = select_matches(match_blocks(new, sig, block)).groupBy("path").agg(F.array_sort(F.collect_list(match)).alias("kept"))
     short = sig.where(F.col("len") < F.col("block_size")).select("path", F.struct("block_idx", "strong", "len").alias("short"))
@@ -157,6 +157,7 @@ def split_ops(old: DataFrame, ops: DataFrame, block: int | None = 700) -> tuple[
 def apply_delta(old: DataFrame, ops: DataFrame, block: int | None = 700) -> DataFrame:
     """path, content rebuilt for every path of `old` and `ops` but the rejected ones; a copy ends with the old content, and
     a path without operations is empty."""
+    ops = keep(ops, "ops")  # read three times below
     good, rejected = split_ops(old, ops, block)
     listed = good.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("op_seq", "op", "block_idx", "bytes"))).alias("ops"))
     sized = old.select("path", "content", block_of(old, block).alias("size"))
