@@ -78,10 +78,13 @@ def _(spark, d):
     root = f"{snapshots.shared_dir(spark)}/tree-{uuid.uuid4().hex}"
     fx.table(spark, d, "documents").select("source", "lang", "text").write.partitionBy("source", "lang").text(root)
     found = listing.list_tree(spark, root, filters.rules_of(["- *_SUCCESS*"]))
-    parent, name = F.regexp_replace("path", "/?[^/]*$", ""), F.substring_index("path", "/", -1)
-    inner = found.where("kind = 'file'").groupBy(parent.alias("parent")).agg(F.sum(F.when(name.startswith("."), 0).otherwise(F.col("len"))).alias("bytes"), F.count_if(name.startswith(".")).alias("hidden"), F.count("*").alias("files"))
-    dirs = found.where("kind = 'dir'").join(inner, F.col("path") == F.col("parent"), "left")
-    return dirs.select("path", "kind", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.col("files") == 2 * F.col("hidden"), F.lit(False)).alias("has_files"))
+    is_dir, hidden = F.col("kind") == "dir", F.substring_index("path", "/", -1).startswith(".")
+    owner = F.when(is_dir, F.col("path")).otherwise(F.regexp_replace("path", "/?[^/]*$", ""))
+    inner = found.groupBy(owner.alias("path")).agg(
+        F.max(F.when(is_dir, "dir")).alias("kind"), F.coalesce(F.sum(F.when(~is_dir & ~hidden, F.col("len"))), F.lit(0)).cast("long").alias("bytes"),
+        F.count_if(~is_dir & hidden).alias("hidden"), F.count_if(~is_dir & ~hidden).alias("files"),
+    )
+    return inner.where("kind IS NOT NULL").select("path", "kind", "bytes", ((F.col("files") > 0) & (F.col("files") == F.col("hidden"))).alias("has_files"))
 
 
 @query("src2_normalize", f"WITH {SNAPSHOTS_SQL} SELECT replace(path, 'stale/', '') AS path, kind, CASE WHEN kind = 'file' THEN len ELSE 0 END AS len FROM dst WHERE kind IN ('file', 'dir', 'symlink')")
