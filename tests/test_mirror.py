@@ -403,3 +403,14 @@ def test_anchored_bursts_as_a_stream(spark, tmp_path):
     got = {(int(r.key), r.start): r.events for r in spark.table("bursts").where("key != '-1'").collect()}
     want = watch.debounce_anchored(fx.table(spark, DATA, "events"), "user_id", 1_800_000).select("user_id", F.unix_micros("start").alias("t"), "events").collect()
     assert got == {(r.user_id, r.t): r.events for r in want}
+
+
+def test_short_chains_of_stretches_need_no_function(spark, monkeypatch):
+    """Only keys that rest in no stretch for long are composed from functions."""
+    asked, entries = [], blocks.entries
+    monkeypatch.setattr(blocks, "entries", lambda level: asked.append(level.count()) or entries(level))
+    rows = [(k, k * 1000 + t) for k in range(50) for t in (0, 5, 900, 17000, 90000)] + [(99, t) for t in range(0, 70 * 16000, 500)]
+    df = spark.createDataFrame(rows, "k int, t long").select("k", F.timestamp_micros("t").alias("ts"))
+    got = {(r.k, r.t): r.events for r in watch.debounce_anchored(df, "k", 1).select("k", F.unix_micros("start").alias("t"), "events").collect()}
+    assert got == bursts_of(rows, 1000)
+    assert asked == [70]

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -26,28 +27,91 @@ def relevant_paths(events: DataFrame, reserved: str = ".twinlake") -> DataFrame:
     return events.where(~under("path", reserved))
 
 
-#: Windows in a stretch of time that one task looks through.
-STRETCH = 16
-
-
-def _bursts_from(t: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of the sorted times of a stretch, were it a burst's start: the next start's place, how far the last burst from
-    there on reaches into the next stretch, and how many bursts start."""
-    after = np.searchsorted(t, t + window)
-    at, n = np.arange(len(t)), np.ones(len(t), np.int64)
-    for _ in range(STRETCH + 1):
-        some = after[at] < len(t)
-        at, n = np.where(some, after[np.minimum(at, len(t) - 1)], at), n + some
-    return after, np.maximum(0, t[at] + window - length), n
+#: Windows in a stretch of time that one task looks through, and distinct times that it goes through one after the other.
+STRETCH, MOST_TIMES = 16, 1 << 16
+
+
+class _Stretches:
+    """Stretches of time in rows that stand in order of chain, k and t, worked on all at once; `apart` is longer than any."""
+
+    def __init__(self, rows: pa.RecordBatch, starts: np.ndarray, window: int, apart: int):
+        self.rows, self.window, self.apart = rows, window, apart
+        self.low, self.high = starts, np.append(starts[1:], rows.num_rows)
+        self.own = np.repeat(np.arange(len(starts)), self.high - self.low)
+        self.t, self.n = (rows.column(c).to_numpy() for c in ("t", "n"))
+        self.line = self.own * apart + self.t  # so far apart that no window reaches the next stretch
+        #: The place of the next start, were a time a burst's start; the end of its stretch where there is none.
+        self.after = np.searchsorted(self.line, self.line + window)
+
+    def bursts_from(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each time, were it a burst's start: how far the last burst from there on reaches beyond `length`, and how many
+        bursts start."""
+        end, at, n = self.high[self.own], np.arange(len(self.t)), np.ones(len(self.t), np.int64)
+        while (some := self.after[at] < end).any():
+            at, n = np.where(some, self.after[at], at), n + some
+        return np.maximum(0, self.t[at] + self.window - length), n
+
+    def found(self, entry: np.ndarray) -> pa.RecordBatch:
+        """path, start, events of the bursts, if the one before ends at `entry` in each stretch; its events there, too."""
+        first = np.searchsorted(self.line, np.arange(len(entry)) * self.apart + entry)
+        at, starts = first[first < self.high], [np.empty(0, np.int64)]
+        while len(at):
+            starts.append(at)
+            at, end = self.after[at], self.high[self.own[at]]
+            at = at[at < end]
+        begin = np.sort(np.concatenate(starts))
+        end = np.minimum(np.append(begin[1:], len(self.t)), self.high[self.own[begin]])
+        sums = np.concatenate([[0], np.cumsum(self.n)])
+        covered = np.flatnonzero((first > self.low) & (entry > 0))
+        base = self.rows.column("base").to_numpy()
+        start = np.concatenate([base[begin] + self.t[begin], base[self.low[covered]] + entry[covered] - self.window])
+        events = np.concatenate([sums[end] - sums[begin], sums[first[covered]] - sums[self.low[covered]]])
+        path = self.rows.column("path").take(pa.array(np.concatenate([begin, self.low[covered]])))
+        return pa.record_batch([path, pa.array(start), pa.array(events)], ["path", "start", "events"])
+
+
+def _whole_stretches(batches: Iterator[pa.RecordBatch], window: int, apart: int) -> Iterator[_Stretches]:
+    most = max(1, (1 << 61) // apart)  # what numbers of 64 bits hold
+    held: list[pa.RecordBatch] = []
+
+    def made(some: list[pa.RecordBatch]) -> Iterator[_Stretches]:
+        rows = pa.concat_batches(some)
+        starts = np.append(0, _edges(rows))
+        for k in range(0, len(starts), most):
+            low, high = starts[k], starts[k + most] if k + most < len(starts) else rows.num_rows
+            yield _Stretches(rows.slice(low, high - low), starts[k : k + most] - low, window, apart)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edges = _edges(batch)
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("chain", "k")):
+            edges = np.append(0, edges)
+        if len(edges):
+            if some := [*held, batch.slice(0, edges[-1])] if edges[-1] else held:
+                yield from made(some)
+            held = []
+            batch = batch.slice(edges[-1])
+        held.append(batch)
+    if held:
+        yield from made(held)
+
+
+def _edges(rows: pa.RecordBatch) -> np.ndarray:
+    """Where another stretch begins than that of the row before."""
+    chain, k = rows.column("chain"), rows.column("k").to_numpy()
+    other = pc.not_equal(chain.slice(1), chain.slice(0, len(chain) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    return np.flatnonzero(other | (k[1:] != k[:-1])) + 1
 
 
 def debounce_anchored(events: DataFrame, key: str, window_ms: int, ts: str = "ts") -> DataFrame:
     """key, start, events: the first event opens a window of fixed length, the next one outside opens another.
 
     Where a burst starts depends on the one before it, so time is cut into stretches of some windows: each is a function
-    from when the burst that reaches into it ends to when its own last burst ends. The functions are composed in a tree,
-    then each stretch finds its bursts. A stretch holds its distinct times; no task has all of a key's. Events without a
-    time take no part.
+    from when the burst that reaches into it ends to when its own last burst ends. The functions of stretches that follow
+    on each other, a chain, are composed in a tree, then each stretch finds its bursts; a chain of up to FAN stretches with
+    few times is one stretch. A stretch holds its distinct times; no task has all of a key's. Events without a time take no
+    part.
     """
     window = window_ms * 1000
     length, kind = STRETCH * window, events.schema[key].dataType
@@ -55,64 +119,47 @@ def debounce_anchored(events: DataFrame, key: str, window_ms: int, ts: str = "ts
     times = events.select(F.to_json(F.struct(F.col(key).alias("key"))).alias("path"), at.alias("t")).where("t IS NOT NULL").groupBy("path", "t").agg(F.count("*").alias("n"))
     times = times.withColumn("stretch", F.floor(F.col("t") / length))
     order = Window.partitionBy("path").orderBy("stretch")  # a row for each stretch
-    numbered = times.select("path", "stretch").distinct().select("path", "stretch", (F.row_number().over(order) - 1).cast("long").alias("k"), F.coalesce(F.col("stretch") - F.lag("stretch").over(order) != 1, F.lit(True)).alias("fresh"))
-    listed = keep(times.join(numbered, ["path", "stretch"]).select("path", "k", "fresh", (F.col("t") - F.col("stretch") * length).alias("t"), "n", (F.col("stretch") * length).alias("base")), "times")
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Rows in order of path, k and t as one dictionary of arrays for each (path, k)."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            path, k = batch.column("path").to_pylist(), batch.column("k").to_numpy()
-            cut = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1] or k[i] != k[i - 1]), len(path)]
-            for low, high in zip(cut, cut[1:]):
-                if held and (held[-1].column("path")[0].as_py(), held[-1].column("k")[0].as_py()) != (path[low], k[low]):
-                    yield _stretch(held)
-                    held = []
-                held.append(batch.slice(low, high - low))
-        if held:
-            yield _stretch(held)
+    fresh = F.coalesce(F.col("stretch") - F.lag("stretch").over(order) != 1, F.lit(True))
+    begun = F.max(F.when(F.col("fresh"), F.col("stretch"))).over(order)
+    chained = times.groupBy("path", "stretch").agg(F.count("*").alias("times")).withColumn("fresh", fresh).select("path", "stretch", "times", begun.alias("begun"))
+    chain = Window.partitionBy("path", "begun")
+    short = (F.count("*").over(chain) <= blocks.FAN) & (F.sum("times").over(chain) <= MOST_TIMES)
+    first = F.when(F.col("short"), F.col("begun")).otherwise(F.col("stretch"))
+    numbered = chained.withColumn("short", short).select("path", "stretch", "short", first.alias("first"), (first - F.col("begun")).alias("k"), F.concat_ws(":", F.col("begun").cast("string"), "path").alias("chain"))
+    base = F.col("first") * length
+    listed = keep(times.join(numbered, ["path", "stretch"]).select("path", "chain", "k", "short", (F.col("t") - base).alias("t"), "n", base.alias("base")), "times")
+    apart = (blocks.FAN + 1) * length
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in stretches(batches):
-            t = r["t"]
-            _, leaves, n = _bursts_from(t, window, length)
-            near = 0 if r["fresh"] else int(np.searchsorted(t, window - 1))  # times that an earlier burst may cover
-            first = np.concatenate([[0], t[:near] + 1])
-            table = np.stack([first, np.append(leaves, 0)[: near + 1], np.zeros(near + 1, np.int64), np.append(n, 0)[: near + 1]]).astype(np.int64)
-            yield pa.record_batch([pa.array([r["path"]]), pa.array([r["k"]], pa.int64()), pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["path", "k", "block", "table"])
-
-    sorted_up = lambda df: df.repartition("path", "k").sortWithinPartitions("path", "k", "t")
-    where = blocks.entries(sorted_up(listed).mapInArrow(functions, blocks.TABLES)).select("path", F.col("chunk").alias("k"), "entry")
+        def tables() -> Iterator[tuple]:
+            for some in _whole_stretches(batches, window, apart):
+                leaves, n = some.bursts_from(length)
+                chain, number = (some.rows.column(c).take(pa.array(some.low)).to_pylist() for c in ("chain", "k"))
+                for low, high, path, k in zip(some.low, some.high, chain, number):
+                    t = some.t[low:high]
+                    near = 0 if k == 0 else int(np.searchsorted(t, window - 1))  # times that an earlier burst may cover
+                    table = np.zeros((4, near + 1), np.int64)
+                    stop = min(low + near + 1, high)
+                    table[0, 1:], table[1, : stop - low], table[3, : stop - low] = t[:near] + 1, leaves[low:stop], n[low:stop]
+                    yield path, k, 0, table.tobytes()
+
+        yield from blocks.gathered(tables(), blocks.TABLES)
+
+    sorted_up = lambda df: df.repartition("chain", "k").sortWithinPartitions("chain", "k", "t")
+    level = sorted_up(listed.where("NOT short").select("chain", "k", "t", "n")).mapInArrow(functions, blocks.TABLES)
+    where = blocks.entries(level).select(F.col("path").alias("chain"), F.col("chunk").alias("k"), "entry")
 
     def bursts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in stretches(batches):
-            t, entry = r["t"], 0 if r["fresh"] else r["entry"]
-            after, _, _ = _bursts_from(t, window, length)
-            at, starts = int(np.searchsorted(t, entry)), []
-            while at < len(t):
-                starts.append(at)
-                at = int(after[at])
-            sums = np.concatenate([[0], np.cumsum(r["n"])])
-            begin = np.array(starts, np.int64)
-            found, n = t[begin] if starts else begin, np.diff(sums[np.append(begin, len(t))])
-            if (covered := int(sums[starts[0] if starts else len(t)])) and entry:
-                found, n = np.append(entry - window, found), np.append(covered, n)  # of the burst that reaches into the stretch
-            yield pa.record_batch([pa.array([r["path"]] * len(found), pa.string()), pa.array(found + r["base"]), pa.array(n)], ["path", "start", "events"])
-
-    parts = sorted_up(listed.join(where, ["path", "k"])).mapInArrow(bursts, "path string, start long, events long")
+        for some in _whole_stretches(batches, window, apart):
+            yield some.found(some.rows.column("entry").to_numpy()[some.low])
+
+    entered = listed.join(where, ["chain", "k"], "left").select("path", "chain", "k", "t", "n", "base", F.coalesce("entry", F.lit(0).cast("long")).alias("entry"))
+    parts = sorted_up(entered).mapInArrow(bursts, "path string, start long, events long")
     summed = parts.groupBy("path", "start").agg(F.sum("events").alias("events"))
     own = F.from_json("path", StructType([StructField("key", kind)]))["key"]
     return summed.select(own.alias(key), F.timestamp_micros("start").alias("start"), "events")
 
 
-def _stretch(held: list[pa.RecordBatch]) -> dict:
-    first = held[0]
-    one = {c: first.column(c)[0].as_py() for c in first.schema.names if c not in ("t", "n")}
-    return one | {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("t", "n")}
-
-
 def debounce_session(events: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame:
     """key, start, events: a window lasts until `gap` passes without an event; batch, or stream with a watermark."""
     at = F.col(ts).cast("timestamp") if not events.isStreaming else F.col(ts)
