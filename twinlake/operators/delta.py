@@ -31,11 +31,6 @@ def block_of(contents: DataFrame, block: int | None) -> Column:
     return F.col("block") if "block" in contents.columns else block_size_for(F.octet_length("content"))
 
 
-def _columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in names))
-
-
 def signature(old: DataFrame, block: int | None = 700) -> DataFrame:
     """path, block_idx, block_size, weak, strong, len of every block; the last may be short; none for empty content.
 
@@ -46,7 +41,7 @@ def signature(old: DataFrame, block: int | None = 700) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for path, content, size in _columns(batches, "path", "content", "size"):
+            for path, content, size in blocks.columns(batches, "path", "content", "size"):
                 for k in range(0, len(content), size):
                     part = content[k : k + size]
                     yield path, k // size, size, int(window_sums(part, len(part))[0]), strong_of(part), len(part)
@@ -61,7 +56,7 @@ def chunks(new: DataFrame, block: int | None = 700) -> DataFrame:
     """path, start, block, part: stretches of CHUNK window starts each, overlapping by a block less one byte."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, content, size in _columns(batches, "path", "content", "block"):
+        for path, content, size in blocks.columns(batches, "path", "content", "block"):
             for start in range(0, len(content) - size + 1, CHUNK):
                 part = content[start : start + CHUNK + size - 1]
                 yield pa.record_batch([pa.array([path]), pa.array([start], pa.int32()), pa.array([size], pa.int32()), pa.array([part], pa.binary())], ["path", "start", "block", "part"])
@@ -73,7 +68,7 @@ def windows(new: DataFrame, block: int | None = 700) -> DataFrame:
     """path, pos, weak of every window: the rolling checksum."""
 
     def rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, start, size, part in _columns(batches, "path", "start", "block", "part"):
+        for path, start, size, part in blocks.columns(batches, "path", "start", "block", "part"):
             weak = window_sums(part, size)
             yield pa.record_batch([pa.array([path] * len(weak)), pa.array(np.arange(start, start + len(weak), dtype=np.int32)), pa.array(weak)], ["path", "pos", "weak"])
 
@@ -82,11 +77,11 @@ def windows(new: DataFrame, block: int | None = 700) -> DataFrame:
 
 def match_blocks(new: DataFrame, sig: DataFrame, block: int | None = 700) -> DataFrame:
     """path, pos, block_size, block_idx: the lowest block equal to the window; strong hashes only where weak ones pass a
-    filter of the path's blocks."""
+    filter of the path's blocks. The signature is read several times and should be kept."""
     per = sig.groupBy("path").agg(F.count("*").alias("blocks"), F.first("block_size").alias("block"))
     sizes = new.select("path", F.octet_length("content").cast("long").alias("n")).join(per, "path").withColumns({"old_n": F.lit(0).cast("long"), "span": blocks.span_of(F.col("block"))})
     counted = sig.join(per.select("path", "blocks"), "path")
-    found = blocks.runs(keep(blocks.hits(blocks.pieces(new), counted, sizes), "hits"), counted)
+    found = blocks.runs(keep(blocks.hits(blocks.pieces(new), counted, sizes), "hits"), sig)
     run = found.select("path", "block", (F.col("chunk") * blocks.span_of(F.col("block"))).alias("base"), F.inline(F.arrays_zip("starts", "counts", "idx")))
     at = F.explode(F.sequence("starts", F.col("starts") + F.col("counts") - 1))
     return run.select("path", "base", "block", "idx", at.alias("at")).select("path", (F.col("base") + F.col("at")).cast("int").alias("pos"), F.col("block").alias("block_size"), F.col("idx").cast("int").alias("block_idx"))
@@ -126,7 +121,7 @@ def encode(old: DataFrame, new: DataFrame, block: int | None = 700) -> DataFrame
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for path, content, kept, short in _columns(batches, "path", "content", "kept", "short"):
+            for path, content, kept, short in blocks.columns(batches, "path", "content", "kept", "short"):
                 ops, at = [], 0
                 for m in kept or []:
                     if m["pos"] > at:
@@ -166,7 +161,7 @@ def apply_delta(old: DataFrame, ops: DataFrame, block: int | None = 700) -> Data
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for path, content, size, ops in _columns(batches, "path", "content", "size", "ops"):
+            for path, content, size, ops in blocks.columns(batches, "path", "content", "size", "ops"):
                 size = size or 0
                 parts = [(content or b"")[o["block_idx"] * size : (o["block_idx"] + 1) * size] if o["op"] == "copy" else o["bytes"] for o in ops]
                 yield path, b"".join(parts)
