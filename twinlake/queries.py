@@ -549,20 +549,20 @@ def _(spark, d):
 @query("dlt3_matches", f"{_DELTA} SELECT path, CAST(pos AS INTEGER) AS pos, CAST(block_idx AS INTEGER) AS block_idx FROM cand")
 def _(spark, d):
     old, new = fx.contents(spark, d)
-    return delta.match_blocks(new, delta.signature(old)).select("path", "pos", "block_idx")
+    return delta.match_blocks(new, snapshots.keep(delta.signature(old), "signature")).select("path", "pos", "block_idx")
 
 
 @query("dlt4_selected", f"{_DELTA} SELECT path, CAST(pos AS INTEGER) AS pos, CAST(block_idx AS INTEGER) AS block_idx FROM chosen")
 def _(spark, d):
     old, new = fx.contents(spark, d)
-    return delta.select_matches(delta.match_blocks(new, delta.signature(old))).select("path", "pos", "block_idx")
+    return delta.select_matches(delta.match_blocks(new, snapshots.keep(delta.signature(old), "signature"))).select("path", "pos", "block_idx")
 
 
 @query("dlt5_tails", f"WITH RECURSIVE {SNAPSHOTS_SQL}, {CONTENTS_SQL}, {fx.delta_sql('new', chr(39) + '12345' + chr(39) + ' || new')} SELECT path, CAST(pos AS INTEGER) AS pos, CAST(block_idx AS INTEGER) AS block_idx FROM tails")
 def _(spark, d):
     old = fx.contents(spark, d)[1]
     new = old.select("path", F.concat(F.lit(b"12345"), "content").alias("content"))
-    sig = delta.signature(old)
+    sig = snapshots.keep(delta.signature(old), "signature")
     return delta.tail_match(new, delta.select_matches(delta.match_blocks(new, sig)), sig)
 
 
