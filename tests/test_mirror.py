@@ -414,3 +414,16 @@ def test_short_chains_of_stretches_need_no_function(spark, monkeypatch):
     got = {(r.k, r.t): r.events for r in watch.debounce_anchored(df, "k", 1).select("k", F.unix_micros("start").alias("t"), "events").collect()}
     assert got == bursts_of(rows, 1000)
     assert asked == [70]
+
+
+def test_changes_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The plan that tells the changed paths is joined by all tasks, not by the one that would write a single file."""
+    from twinlake.queries import QUERIES
+
+    monkeypatch.setattr(snapshots, "shared_dir", lambda _: str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        QUERIES["str1_mirror"](spark, DATA)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(tmp_path.glob("follow-*/changes/*.parquet"))) > 2

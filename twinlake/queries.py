@@ -812,7 +812,7 @@ def _(s, d):
     a, b, changes = f"{at}/a", f"{at}/b", f"{at}/changes"
     for k, side in enumerate((d, s)):
         snapshots.publish(side, a)
-        planning.mirror_plan(s, d).where("action != 'skip'").select("path").coalesce(1).write.mode("append").parquet(changes)
+        planning.mirror_plan(s, d).where("action != 'skip'").select("path").write.mode("append").parquet(changes)
         mirror.mirror_on_changes(watch.changes_stream(spark, changes, "path string"), a, b, _approved(), f"{at}/c").awaitTermination()
     return snapshots.read_published(spark, b).select("path", "kind", "len", "mtime_s")
 
@@ -826,7 +826,7 @@ def _(s, d):
     for half in (None, 0, 1):
         some = plan.limit(0) if half is None else plan.where(F.pmod(F.xxhash64("path"), F.lit(2)) == half)
         bucketed.apply_changes(some, a, _approved())
-        some.select("path").coalesce(1).write.mode("append").parquet(changes)
+        some.select("path").write.mode("append").parquet(changes)
         incremental.follow(watch.changes_stream(spark, changes, "path string"), a, b, _approved(), f"{at}/c").awaitTermination()
     return bucketed.read_buckets(spark, b).select("path", "kind", "len", "mtime_s")
 
