@@ -1,3 +1,4 @@
+import hashlib
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -323,6 +324,21 @@ def test_scan_and_path_list(spark, tmp_path):
         snapshots.read_path_list(spark, f"file://{tmp_path}/list", 3)
 
 
+def test_files_of_any_length_are_hashed_in_stretches(spark, tmp_path, monkeypatch):
+    with open(tmp_path / "above 2 GB%20.bin", "wb") as f:
+        f.truncate((1 << 31) + 5)  # takes no room
+    for n in (100, 101, 128, 129, 256, 257, 1000):
+        (tmp_path / f"{n}.bin").write_bytes(bytes(k * 7 % 251 for k in range(n)))
+    want = {}
+    for file in tmp_path.iterdir():
+        with open(file, "rb") as f:
+            want[file.name] = (file.stat().st_size, hashlib.file_digest(f, "sha256").hexdigest())
+    assert {r.path: (r.len, r.hash) for r in snapshots.scan_files(spark, f"file://{tmp_path}", with_hash=True).collect()} == want
+    monkeypatch.setattr(snapshots, "WHOLE", 100)
+    monkeypatch.setattr(snapshots, "STRETCH", 128)
+    assert {r.path: (r.len, r.hash) for r in snapshots.scan_files(spark, str(tmp_path), "[0-9]*", with_hash=True).collect()} == {p: x for p, x in want.items() if p[0] != "a"}
+
+
 def test_watch_mirrors_each_burst_and_survives_failures(spark, tmp_path):
     changes, seen = f"{tmp_path}/changes", []
     for k in range(3):

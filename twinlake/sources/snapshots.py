@@ -7,32 +7,86 @@ import os
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import components
+from ..functions.sha256 import Sha256
 from ..schemas import BENCH_RUNS
 
 
+#: Larger files of mounted trees are hashed by several tasks, one after the other; the most bytes that one of these reads.
+WHOLE, STRETCH = 64 << 20, 256 << 20
+
+
 def scan_files(spark: SparkSession, root: str, glob: str | None = None, with_hash: bool = False) -> DataFrame:
     """Entries of all files below a root. Contents are read only for hashes.
 
-    Spark lists no directories and no names that start with '.' or '_'; `listing.list_tree` lists all of a mounted tree.
+    Spark lists no directories, no empty files and no names that start with '.' or '_'; `listing.list_tree` lists all of a
+    mounted tree. A file of a mounted tree may have any length; elsewhere, Spark reads a file as one value of at most 2 GB.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    files = _hashed(files, root) if with_hash else files.withColumn("hash", F.lit(None).cast("string"))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     micros = F.unix_micros("modificationTime")
     path = F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*\Q{base}\E/", "")
     return files.select(
         path.alias("path"), F.lit("file").alias("kind"), F.col("length").alias("len"), F.floor(micros / 1_000_000).cast("long").alias("mtime_s"), (F.pmod(micros, F.lit(1_000_000)) * 1000).cast("int").alias("mtime_ns"),
         *[F.lit(None).cast(t).alias(c) for c, t in (("mode", "int"), ("uid", "int"), ("gid", "int"), ("dev", "bigint"), ("ino", "bigint"), ("target", "string"))],
-        (F.sha2("content", 256) if with_hash else F.lit(None).cast("string")).alias("hash"),
+        "hash",
     )
 
 
+def _hashed(files: DataFrame, root: str) -> DataFrame:
+    """The files (of binaryFile) with their SHA-256; those above WHOLE bytes are hashed at once, if they lie in a mounted tree."""
+    whole = F.sha2("content", 256).alias("hash")
+    if _fs(files.sparkSession, root)[0].getScheme() != "file":
+        return files.select("path", "modificationTime", "length", whole)
+    some, long = files.where(F.col("length") <= WHOLE).select("path", "modificationTime", "length", whole), files.where(F.col("length") > WHOLE).select("path", "modificationTime", "length")
+    sizes = {r.path: r.length for r in long.select("path", "length").collect()}  # no more than Spark's own listing holds
+    if not sizes:
+        return some
+    hashes = files.sparkSession.createDataFrame(list(_hash_long(files.sparkSession, sizes).items()), "path string, hash string")
+    return some.union(long.join(F.broadcast(hashes), "path"))
+
+
+def _hash_long(spark: SparkSession, sizes: dict[str, int]) -> dict[str, str]:
+    """The SHA-256 of each file. A task takes one stretch of a file, from the state (32 bytes) that the task before it left."""
+    stretch, done, open_ = STRETCH, {}, [(path, n, 0, b"") for path, n in sizes.items()]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                path, n, at, state = work[k]
+                sha, stop = Sha256(state, at), min(n, at + stretch)
+                with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as f:
+                    f.seek(at)
+                    while at < stop:
+                        part = f.read(min(stop - at, 4 << 20))
+                        if not part:
+                            raise OSError(f"{path} became shorter than its {n} bytes while it was read")
+                        sha.update(part)
+                        at += len(part)
+                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([sha.digest() if at == n else sha.state()])], ["k", "state"])
+
+    while open_:
+        work = open_
+        found = spark.range(0, len(work), 1, len(work)).mapInArrow(step, "k long, state binary").collect()
+        open_ = []
+        for k, state in found:
+            path, n, at, _ = work[k]
+            if at + stretch >= n:
+                done[path] = bytes(state).hex()
+            else:
+                open_.append((path, n, at + stretch, bytes(state)))
+    return done
+
+
 def normalize_entries(df: DataFrame, root: str | None = None) -> DataFrame:
     """Known kinds only, length 0 for what is no file, paths relative to the root."""
     out = df.where(F.col("kind").isin("file", "dir", "symlink"))
