@@ -161,14 +161,15 @@ def long_contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """(old, new) pieces (path, offset, bytes) of one content for each source: its documents joined by id; the old one lacks
     some of them and holds longer ones."""
     docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
-    changed = docs.where(n % 7 != 0).withColumn("text", F.when(n % 11 == 0, F.concat("text", F.lit(" v1"))).otherwise(F.col("text")))
-
-    def placed(some: DataFrame) -> DataFrame:
-        before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        at = some.select("source", "doc_id", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("offset"))  # lengths only
-        return some.select("doc_id", F.col("text").cast("binary").alias("bytes")).join(at, "doc_id").select(F.col("source").alias("path"), "offset", "bytes")
-
-    return keep(placed(changed), "long"), keep(placed(docs), "long")
+    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length("text")
+    old_size = F.when(n % 7 != 0, size + F.when(n % 11 == 0, len(" v1")).otherwise(0))
+    place = lambda of: F.coalesce(F.sum(of).over(before), F.lit(0))
+    at = docs.select("source", "doc_id", place(old_size).alias("old_at"), place(size).alias("new_at"))  # lengths only
+    both = docs.select("doc_id", F.col("text").cast("binary").alias("bytes")).join(at, "doc_id")
+    both = keep(both.select("doc_id", F.col("source").alias("path"), "old_at", "new_at", "bytes"), "long")
+    changed = F.when(n % 11 == 0, F.concat("bytes", F.lit(b" v1"))).otherwise(F.col("bytes"))
+    return both.where(n % 7 != 0).select("path", F.col("old_at").alias("offset"), changed.alias("bytes")), both.select("path", F.col("new_at").alias("offset"), "bytes")
 
 
 LONG_SQL = """pairs AS (SELECT source AS path, string_agg(CASE WHEN doc_id % 11 = 0 THEN text || ' v1' ELSE text END, '' ORDER BY doc_id) FILTER (doc_id % 7 <> 0) AS old, string_agg(text, '' ORDER BY doc_id) AS new FROM documents GROUP BY source)"""
